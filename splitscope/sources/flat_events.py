@@ -1,0 +1,94 @@
+"""Adapter from a flat ``events`` table to the nested event shape.
+
+The flat table has ``event_id, ts, user_id, event_type, value, props`` with
+``props`` holding one integer ``k``. The mapping is a fixture rule: it gives a
+user-day unit, two landing pages, sessions, traffic parameters and a few
+crossovers, so that every operator has something to work on. Needs a UTC
+session, as ``ts`` has no time zone.
+"""
+
+from __future__ import annotations
+
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+SITE = "https://shop.example.com"
+
+
+def _by_remainder(value: Column, names: dict[int, str]) -> Column:
+    return F.coalesce(*[F.when(value == r, F.lit(n)) for r, n in names.items()])
+
+
+def _param(
+    key: str, text: Column | None = None, number: Column | None = None, when: Column | None = None
+) -> Column:
+    """A key/value entry, or NULL where the key is absent."""
+    text = F.lit(None).cast("string") if text is None else text
+    number = F.lit(None).cast("bigint") if number is None else number.cast("bigint")
+    present = F.coalesce(text, number.cast("string")).isNotNull() if when is None else when
+    entry = F.struct(
+        F.lit(key).alias("key"),
+        F.struct(text.alias("string_value"), number.alias("int_value")).alias("value"),
+    )
+    return F.when(present, entry)
+
+
+def nest_events(
+    flat: DataFrame, start_date: str | None = None, end_date: str | None = None
+) -> DataFrame:
+    """Map flat events to the nested shape. The dates (``YYYYMMDD``) become a
+    filter on ``ts`` itself, so that they reach the file scan."""
+    ts = F.col("ts")
+    if start_date is not None:
+        first = datetime.strptime(start_date, "%Y%m%d")
+        flat = flat.where(ts >= F.lit(first).cast("timestamp_ntz"))
+    if end_date is not None:
+        end = datetime.strptime(end_date, "%Y%m%d") + timedelta(days=1)
+        flat = flat.where(ts < F.lit(end).cast("timestamp_ntz"))
+
+    rows = flat.select(
+        "ts",
+        "user_id",
+        "event_type",
+        F.date_format("ts", "yyyyMMdd").alias("event_date"),
+        F.regexp_extract("props", r"(\d+)", 1).cast("int").alias("k"),
+    )
+    k, user = F.col("k"), F.col("user_id")
+    own, other = F.lit(f"{SITE}/landing-v1"), F.lit(f"{SITE}/landing-v2")
+    even_user, even_k = user % 2 == 0, k % 2 == 0
+    page = (
+        F.when(k < 80, F.when(even_user, own).otherwise(other))
+        .when(k < 85, F.when(even_user, other).otherwise(own))
+        .when(k < 90, F.when(even_k, f"{SITE}/home?variant=A").otherwise(f"{SITE}/home?variant=B"))
+        .when(k < 95, F.concat(F.lit(f"{SITE}/product/"), k.cast("string")))
+    )
+    source = _by_remainder(user % 5, {0: "google", 1: "bing", 2: "facebook", 3: "partner"})
+    medium = _by_remainder(
+        user % 7,
+        {0: "cpc", 1: "organic", 2: "paid_social", 3: "email", 4: "referral", 5: "affiliate"},
+    )
+    kind = F.col("event_type")
+    name = (
+        F.when(kind == "view", "page_view")
+        .when(kind == "purchase", "purchase")
+        .when(kind == "signup", "add_to_cart")
+        .when(kind == "click", _by_remainder(k % 3, {0: "click", 1: "scroll", 2: "view_item"}))
+        .when(kind == "error", _by_remainder(k % 2, {0: "session_start", 1: "first_visit"}))
+    )
+    return rows.select(
+        "event_date",
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("event_timestamp"),
+        name.alias("event_name"),
+        F.concat(user.cast("string"), F.lit("."), "event_date").alias("user_pseudo_id"),
+        F.array_compact(
+            F.array(
+                _param("page_location", text=page),
+                _param("ga_session_id", number=F.floor(F.hour("ts") / 6), when=k % 25 != 13),
+                _param("experiment_id", text=F.lit("exp_1"), when=k % 10 == 7),
+                _param("source", text=F.when(even_k, source)),
+                _param("medium", text=F.when(even_k, medium)),
+            )
+        ).alias("event_params"),
+    )
