@@ -103,13 +103,14 @@ class PowerSettings:
 class HotKeyPolicy:
     """When a user's events stop fitting one window partition.
 
-    A key with more than ``min_rows`` events is handled in blocks of
-    ``block_micros``. At most ``max_keys`` keys are treated so, the largest
-    first; this bounds the broadcast list. The key ranked ``max_keys + 1``
-    holds less than ``1 / max_keys`` of all rows, so what stays on the plain
-    path is small by construction. Results do not depend on these numbers.
+    Users are hashed into ``buckets``, and a bucket with more than ``min_rows``
+    events is handled in blocks of ``block_micros``. At most ``max_hot`` buckets
+    are treated so, the largest first; this bounds the broadcast list. A user
+    outside them has fewer events than each of them, hence less than
+    ``1 / max_hot`` of all rows. Results do not depend on these numbers.
     """
 
     min_rows: int = 1_000_000
-    max_keys: int = 10_000
+    buckets: int = 65_536
+    max_hot: int = 1_024
     block_micros: int = 1_000_000

@@ -55,7 +55,8 @@ def round_half_away(value: Column, digits: int) -> Column:
     value = value.cast("double")
     scale = F.lit(float(10**digits))
     size = F.floor(F.abs(value) * scale + F.lit(0.5)).cast("double") / scale
-    return F.when((value < 0) & (size > 0), -size).otherwise(size)
+    # Adding zero turns -0.0 into 0.0.
+    return F.signum(value) * size + F.lit(0.0)
 
 
 def percent(share: Column, digits: int = 2) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splitscope.functions.traffic import DIRECT_SOURCE, NO_MEDIUM, channel_group
+from splitscope.operators.events import pin_column
 
 # Events the tracker sends by itself.
 AUTO_EVENTS = ("session_start", "first_visit")
@@ -30,11 +31,12 @@ def session_source(flat: DataFrame, with_first_event: bool = False) -> DataFrame
     candidate = F.struct(rank.alias("rank"), "event_timestamp", "source", "medium")
     extra = [F.min("event_timestamp").alias("first_event")] if with_first_event else []
     resolved = (
-        flat.where(F.col("session_id").isNotNull())
+        pin_column(flat, "session_id")
+        .where(F.col("session_id").isNotNull())
         .groupBy("user_pseudo_id", "session_id")
         .agg(F.min(candidate).alias("best"), *extra)
     )
-    result = resolved.select(
+    return resolved.select(
         "user_pseudo_id",
         "session_id",
         F.timestamp_micros(F.col("best.event_timestamp")).alias("session_start"),
@@ -42,7 +44,6 @@ def session_source(flat: DataFrame, with_first_event: bool = False) -> DataFrame
         F.coalesce("best.medium", F.lit(NO_MEDIUM)).alias("medium"),
         *([F.timestamp_micros("first_event").alias("first_event_at")] if with_first_event else []),
     )
-    return result
 
 
 def session_channel(flat: DataFrame) -> DataFrame:

@@ -23,7 +23,6 @@ def _small(frame: DataFrame, **columns: Column) -> DataFrame:
 
 def launch_decision(
     z_tests: DataFrame,
-    effects: DataFrame,
     guardrail_checks: DataFrame,
     srm_tests: DataFrame,
     min_relative_lift_pct: float = 15.0,
@@ -32,30 +31,26 @@ def launch_decision(
     follows from them. The inputs are results over a registry, so that they
     carry ``experiment_id``.
 
-    The effect is big enough when the relative lift reaches the minimum. A
+    The effect is big enough when the relative lift, which the z-test reports as
+    well as the effect size does, reaches the minimum. A
     broken split or guardrail makes the test invalid; a significant and big
     enough lift launches the variant, a significant loss keeps the control, and
     anything else asks for a follow-up test. A missing figure counts as a
     condition not met.
     """
+    big_enough = F.col("relative_improvement_pct") >= F.lit(float(min_relative_lift_pct))
     tests = _small(
         z_tests.withColumnRenamed("variant_name", ARM),
         significant=F.col("significance") == labels.SIGNIFICANT,
+        effect_ok=big_enough,
         z_score=F.col("z_score"),
     )
-    sizes = _small(
-        effects, effect_ok=F.col("relative_lift_pct") >= F.lit(float(min_relative_lift_pct))
-    )
     checks = [F.col(c) == labels.GUARDRAIL_PASS for c in ("bounce_check", "duration_check", "cart_check")]
     rails = _small(guardrail_checks, guardrails_ok=reduce(and_, checks))
     splits = srm_tests.select(
         KEY, (F.col("chi_square_statistic") <= CHI2_1PCT).alias("srm_ok")
     )
-    joined = (
-        splits.join(tests, KEY, "left")
-        .join(sizes, [KEY, ARM], "left")
-        .join(rails, [KEY, ARM], "left")
-    )
+    joined = splits.join(tests, KEY, "left").join(rails, [KEY, ARM], "left")
     flags = ["significant", "effect_ok", "guardrails_ok", "srm_ok"]
     joined = joined.withColumns({f: F.coalesce(F.col(f), F.lit(False)) for f in flags})
     valid = F.col("srm_ok") & F.col("guardrails_ok")

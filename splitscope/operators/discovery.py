@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from splitscope.functions.numeric import percent, ratio
 from splitscope.functions.urls import contains_any
-from splitscope.operators.events import pinned
+from splitscope.operators.events import pin_column
 
 # URL fragments that hint at a test page, and the report's size.
 TEST_URL_FRAGMENTS = ("/landing", "/v1", "/v2", "?variant=", "?test=", "?exp=")
@@ -47,8 +47,7 @@ def test_pages_by_url(
 ) -> DataFrame:
     """Pages whose URL looks like a test page. ``pageviews`` counts page views
     and purchases alike."""
-    rows = flat.where(_named("page_view", "purchase")).withColumnRenamed("page_location", "url")
-    pages = pinned(rows, F.col("url").alias("page_location"))
+    pages = pin_column(flat.where(_named("page_view", "purchase")), "page_location")
     return _top_pages(pages.where(contains_any(F.col("page_location"), fragments)), top)
 
 

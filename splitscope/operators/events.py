@@ -56,5 +56,11 @@ def pinned(frame: DataFrame, *columns: Column) -> DataFrame:
     return frame.select("*", F.inline_outer(F.array(F.struct(*columns))))
 
 
+def pin_column(frame: DataFrame, name: str) -> DataFrame:
+    """Keep a column that is about to be filtered on from being recomputed."""
+    others = [c for c in frame.columns if c != name]
+    return frame.select(*others, F.inline_outer(F.array(F.struct(name))))
+
+
 def page_views(flat: DataFrame) -> DataFrame:
     return flat.where(F.col("event_name") == "page_view")

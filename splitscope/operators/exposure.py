@@ -14,7 +14,7 @@ from splitscope.config import (
     experiment_keys,
 )
 from splitscope.functions.urls import contains_any, variant_label
-from splitscope.operators.events import page_views, pinned
+from splitscope.operators.events import page_views, pin_column
 
 # Fixed value: any landing page, tested or not.
 LANDING_FRAGMENT = "/landing"
@@ -74,11 +74,6 @@ def exposures(
     )
 
 
-def _pages(flat: DataFrame) -> DataFrame:
-    views = page_views(flat).withColumnRenamed("page_location", "url")
-    return pinned(views, F.col("url").alias("page_location"))
-
-
 def experiment_page_views(
     flat: DataFrame, experiment: Experiment = LANDING_PAGE, limit: int | None = None
 ) -> DataFrame:
@@ -87,7 +82,7 @@ def experiment_page_views(
     keys = ["user_pseudo_id", "session_id", "page_location"]
     fragments = [a.url_contains for a in experiment.arms]
     found = (
-        _pages(flat)
+        pin_column(page_views(flat), "page_location")
         .where(contains_any(F.col("page_location"), fragments))
         .groupBy(*keys)
         .agg(F.min("event_timestamp").alias("session_start"))
@@ -103,7 +98,7 @@ def classify_variants(
     keys = ["user_pseudo_id", "session_id", "page_location"]
     location = F.col("page_location")
     found = (
-        _pages(flat)
+        pin_column(page_views(flat), "page_location")
         .where(location.contains(LANDING_FRAGMENT))
         .select(*keys)
         .distinct()

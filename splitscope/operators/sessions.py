@@ -8,7 +8,7 @@ counts never grow with time, so the value at the first exposure is simply the
 maximum over the exposure's rows. For ordinary users this takes one shuffle,
 on the user, which the aggregation after the window reuses.
 
-A user whose events do not fit one task (see ``HotKeyPolicy``) is cut into
+Users whose events may not fit one task (see ``HotKeyPolicy``) are cut into
 blocks of time: totals are summed up to the microsecond first, running totals
 are taken inside each block, and the totals of later blocks are added. Neither
 level can hold more than ``block_micros`` rows or the number of blocks in the
@@ -62,22 +62,26 @@ def _indicators() -> dict[str, Column]:
     }
 
 
-def _hot_keys(events: DataFrame, keys: Sequence[str], policy: HotKeyPolicy) -> DataFrame:
-    """The largest keys above the limit; at most ``max_keys`` rows."""
+def _bucket(keys: Sequence[str], policy: HotKeyPolicy) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(policy.buckets))
+
+
+def _hot_buckets(flat: DataFrame, keys: Sequence[str], policy: HotKeyPolicy) -> DataFrame:
+    """The largest buckets of users above the limit; at most ``max_hot`` rows.
+
+    Counts of buckets, not of users: every task sends on at most one row per
+    bucket, and only the key columns are read.
+    """
     return (
-        events.groupBy(*keys)
+        flat.groupBy(_bucket(keys, policy).alias("bucket"))
         .agg(F.count("*").alias("n"))
         .where(F.col("n") > policy.min_rows)
-        .orderBy(F.desc("n"), *keys)
-        .limit(policy.max_keys)
-        .select(*[F.col(k).alias(f"hot_{k}") for k in keys])
+        .orderBy(F.desc("n"), "bucket")
+        .limit(policy.max_hot)
+        .select("bucket")
     )
 
 
-def _is_hot(events: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(and_, [events[k].eqNullSafe(F.col(f"hot_{k}")) for k in keys])
-
-
 def _first_rows(rows: DataFrame, experiments: Experiments, *values: Column) -> DataFrame:
     keys = [*experiment_keys(experiments), USER, "session_id", "variant"]
     return (
@@ -173,21 +177,22 @@ def session_metrics(
     keys = [USER, "session_id"] if scope == SESSION else [USER]
     is_view = F.col("event_name") == "page_view"
     seen = F.when(is_view, arm_column(experiments)).alias("_arm")
-    events = pinned(flat, seen).select(USER, "session_id", TS, "event_name", "_arm")
-    known = events.where(F.col(USER).isNotNull())
-    # Counted on the bare keys, so that this pass reads no parameters it can avoid.
-    hot_keys = F.broadcast(_hot_keys(flat.where(F.col(USER).isNotNull()), keys, hot))
-    ordinary = known.join(hot_keys, _is_hot(known, keys), "left_anti")
-    heavy = known.join(hot_keys, _is_hot(known, keys), "left_semi")
+    columns = [USER, "session_id", TS, "event_name", "_arm"]
+    known = flat.where(F.col(USER).isNotNull())
+    hot_buckets = F.broadcast(_hot_buckets(known, keys, hot))
+    hashed = known.withColumn("bucket", _bucket(keys, hot))
+    ordinary = hashed.join(hot_buckets, "bucket", "left_anti").select("*", seen)
+    heavy = pinned(hashed.join(hot_buckets, "bucket", "left_semi"), seen)
+    unknown = pinned(flat.where(F.col(USER).isNull() & is_view), seen)
     anonymous = _first_rows(
-        events.where(F.col(USER).isNull() & is_view),
+        unknown.select(columns),
         experiments,
         *[F.lit(0).cast("bigint").alias(c) for c in COUNTERS],
         F.lit(None).cast("bigint").alias(LAST),
     )
     totals = (
-        _ordinary(ordinary, keys, experiments)
-        .unionByName(_in_blocks(heavy, keys, experiments, hot))
+        _ordinary(ordinary.select(columns), keys, experiments)
+        .unionByName(_in_blocks(heavy.select(columns), keys, experiments, hot))
         .unionByName(anonymous)
     )
     minutes = (F.col(LAST) - F.col("session_start")).cast("double") / F.lit(float(MICROS_PER_MINUTE))

@@ -28,6 +28,16 @@ def srm_counts(flat: DataFrame, experiments: Experiments = LANDING_PAGE) -> Data
     )
 
 
+def counts_from_units(units: DataFrame, experiments: Experiments = LANDING_PAGE) -> DataFrame:
+    """The same counts from attributed units that keep crossovers in both arms:
+    there is one unit per user and arm, so no further pass over the events."""
+    if isinstance(experiments, Experiment):
+        units = units.withColumn("experiment_id", F.lit(experiments.experiment_id))
+    return units.groupBy("experiment_id", "variant").agg(
+        F.count("user_pseudo_id").alias("users")
+    )
+
+
 def _components(counts: DataFrame, experiments: Experiments) -> DataFrame:
     """Counts completed with the arms nobody saw, and their chi-square parts."""
     arms = [

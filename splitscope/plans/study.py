@@ -105,9 +105,13 @@ class Study:
     def exposures(self, by_session: bool = False) -> DataFrame:
         return exposure.exposures(self.flat, self.experiments, by_session)
 
-    def conversions(self) -> DataFrame:
+    @cached_property
+    def _conversions(self) -> DataFrame:
         return conversion.conversions(self.flat, self.experiments, self.scope, self.crossover)
 
+    def conversions(self) -> DataFrame:
+        return self._conversions
+
     @cached_property
     def variant_stats(self) -> DataFrame:
         return stats.variant_stats(self.conversions(), self.experiments)
@@ -158,10 +162,12 @@ class Study:
     def launch_decision(self) -> DataFrame:
         registry = as_registry(self.experiments)
         study = replace(self, experiments=registry)
+        counts = study.srm_counts
+        if self.crossover == BOTH:
+            counts = srm.counts_from_units(study.conversions(), registry)
         return decision.launch_decision(
             study.z_test(),
-            study.effect_size(),
             study.guardrails(),
-            study.srm_test(),
+            srm.srm_test(counts, registry),
             self.min_relative_lift_pct,
         )

@@ -11,28 +11,56 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 SITE = "https://shop.example.com"
 
+EVENT_NAME = """
+CASE event_type
+  WHEN 'view' THEN 'page_view'
+  WHEN 'purchase' THEN 'purchase'
+  WHEN 'signup' THEN 'add_to_cart'
+  WHEN 'click' THEN element_at(array('click', 'scroll', 'view_item'), k % 3 + 1)
+  WHEN 'error' THEN element_at(array('session_start', 'first_visit'), k % 2 + 1)
+END"""
 
-def _by_remainder(value: Column, names: dict[int, str]) -> Column:
-    return F.coalesce(*[F.when(value == r, F.lit(n)) for r, n in names.items()])
+# Key: (value field, value, condition under which the key is present).
+PARAMS = {
+    "page_location": (
+        "string_value",
+        f"""CASE
+          WHEN k < 80 THEN concat('{SITE}/landing-v', user_id % 2 + 1)
+          WHEN k < 85 THEN concat('{SITE}/landing-v', 2 - user_id % 2)
+          WHEN k < 90 THEN concat('{SITE}/home?variant=', if(k % 2 = 0, 'A', 'B'))
+          ELSE concat('{SITE}/product/', k)
+        END""",
+        "k < 95",
+    ),
+    "ga_session_id": ("int_value", "hour(ts) div 6", "k % 25 <> 13"),
+    "experiment_id": ("string_value", "'exp_1'", "k % 10 = 7"),
+    "source": (
+        "string_value",
+        "element_at(array('google', 'bing', 'facebook', 'partner'), int(user_id % 5) + 1)",
+        "k % 2 = 0 AND user_id % 5 < 4",
+    ),
+    "medium": (
+        "string_value",
+        "element_at(array('cpc', 'organic', 'paid_social', 'email', 'referral', 'affiliate'), "
+        "int(user_id % 7) + 1)",
+        "k % 2 = 0 AND user_id % 7 < 6",
+    ),
+}
 
 
-def _param(
-    key: str, text: Column | None = None, number: Column | None = None, when: Column | None = None
-) -> Column:
-    """A key/value entry, or NULL where the key is absent."""
-    text = F.lit(None).cast("string") if text is None else text
-    number = F.lit(None).cast("bigint") if number is None else number.cast("bigint")
-    present = F.coalesce(text, number.cast("string")).isNotNull() if when is None else when
-    entry = F.struct(
-        F.lit(key).alias("key"),
-        F.struct(text.alias("string_value"), number.alias("int_value")).alias("value"),
+def _entry(key: str, field: str, value: str, present: str) -> str:
+    """A one-element array with the key's entry, or an empty array."""
+    text = value if field == "string_value" else "CAST(NULL AS STRING)"
+    number = f"CAST({value} AS BIGINT)" if field == "int_value" else "CAST(NULL AS BIGINT)"
+    entry = (
+        f"named_struct('key', '{key}', 'value', "
+        f"named_struct('string_value', {text}, 'int_value', {number}))"
     )
-    return F.when(present, entry)
+    return f"if({present}, array({entry}), array())"
 
 
 def nest_events(
@@ -40,55 +68,24 @@ def nest_events(
 ) -> DataFrame:
     """Map flat events to the nested shape. The dates (``YYYYMMDD``) become a
     filter on ``ts`` itself, so that they reach the file scan."""
-    ts = F.col("ts")
     if start_date is not None:
         first = datetime.strptime(start_date, "%Y%m%d")
-        flat = flat.where(ts >= F.lit(first).cast("timestamp_ntz"))
+        flat = flat.where(f"ts >= timestamp_ntz '{first}'")
     if end_date is not None:
         end = datetime.strptime(end_date, "%Y%m%d") + timedelta(days=1)
-        flat = flat.where(ts < F.lit(end).cast("timestamp_ntz"))
+        flat = flat.where(f"ts < timestamp_ntz '{end}'")
 
-    rows = flat.select(
+    params = ", ".join(_entry(key, *rule) for key, rule in PARAMS.items())
+    return flat.selectExpr(
         "ts",
         "user_id",
         "event_type",
-        F.date_format("ts", "yyyyMMdd").alias("event_date"),
-        F.regexp_extract("props", r"(\d+)", 1).cast("int").alias("k"),
-    )
-    k, user = F.col("k"), F.col("user_id")
-    own, other = F.lit(f"{SITE}/landing-v1"), F.lit(f"{SITE}/landing-v2")
-    even_user, even_k = user % 2 == 0, k % 2 == 0
-    page = (
-        F.when(k < 80, F.when(even_user, own).otherwise(other))
-        .when(k < 85, F.when(even_user, other).otherwise(own))
-        .when(k < 90, F.when(even_k, f"{SITE}/home?variant=A").otherwise(f"{SITE}/home?variant=B"))
-        .when(k < 95, F.concat(F.lit(f"{SITE}/product/"), k.cast("string")))
-    )
-    source = _by_remainder(user % 5, {0: "google", 1: "bing", 2: "facebook", 3: "partner"})
-    medium = _by_remainder(
-        user % 7,
-        {0: "cpc", 1: "organic", 2: "paid_social", 3: "email", 4: "referral", 5: "affiliate"},
-    )
-    kind = F.col("event_type")
-    name = (
-        F.when(kind == "view", "page_view")
-        .when(kind == "purchase", "purchase")
-        .when(kind == "signup", "add_to_cart")
-        .when(kind == "click", _by_remainder(k % 3, {0: "click", 1: "scroll", 2: "view_item"}))
-        .when(kind == "error", _by_remainder(k % 2, {0: "session_start", 1: "first_visit"}))
-    )
-    return rows.select(
+        "date_format(ts, 'yyyyMMdd') AS event_date",
+        r"CAST(regexp_extract(props, '(\\d+)', 1) AS INT) AS k",
+    ).selectExpr(
         "event_date",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("event_timestamp"),
-        name.alias("event_name"),
-        F.concat(user.cast("string"), F.lit("."), "event_date").alias("user_pseudo_id"),
-        F.array_compact(
-            F.array(
-                _param("page_location", text=page),
-                _param("ga_session_id", number=F.floor(F.hour("ts") / 6), when=k % 25 != 13),
-                _param("experiment_id", text=F.lit("exp_1"), when=k % 10 == 7),
-                _param("source", text=F.when(even_k, source)),
-                _param("medium", text=F.when(even_k, medium)),
-            )
-        ).alias("event_params"),
+        "unix_micros(CAST(ts AS TIMESTAMP)) AS event_timestamp",
+        f"{EVENT_NAME} AS event_name",
+        "concat(user_id, '.', event_date) AS user_pseudo_id",
+        f"concat({params}) AS event_params",
     )

@@ -81,10 +81,11 @@ def random_rows(seed, n=160, span=5_000_000):
 
 PLAIN = HotKeyPolicy()
 ALL_HOT = HotKeyPolicy(min_rows=0, block_micros=1_000_000)
-ONE_HOT = HotKeyPolicy(min_rows=30, max_keys=1, block_micros=700_000)
+ONE_HOT = HotKeyPolicy(min_rows=30, max_hot=1, block_micros=700_000)
+CROWDED = HotKeyPolicy(min_rows=10, buckets=2, max_hot=1, block_micros=300_000)
 
 
-@pytest.mark.parametrize("policy", [PLAIN, ALL_HOT, ONE_HOT])
+@pytest.mark.parametrize("policy", [PLAIN, ALL_HOT, ONE_HOT, CROWDED])
 @pytest.mark.parametrize("scope", [USER_FORWARD, SESSION])
 def test_metrics_equal_the_join_for_ordinary_and_hot_users(spark, scope, policy):
     rows = random_rows(7)

@@ -203,8 +203,11 @@ def test_launch_decision(spark, significance, lift, z, check, chi, expected):
         return spark.createDataFrame([("e", *values)], f"experiment_id string, {schema}")
 
     row = decision.launch_decision(
-        one(("B", significance, z), "variant_name string, significance string, z_score double"),
-        one(("B", lift), "variant string, relative_lift_pct double"),
+        one(
+            ("B", significance, z, lift),
+            "variant_name string, significance string, z_score double, "
+            "relative_improvement_pct double",
+        ),
         one(
             ("B", L.GUARDRAIL_PASS, L.GUARDRAIL_PASS, check),
             "variant string, bounce_check string, duration_check string, cart_check string",
