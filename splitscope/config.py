@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from statistics import NormalDist
 
 USER_FORWARD = "user_forward"
 SESSION = "session"
@@ -98,6 +99,12 @@ class PowerSettings:
     z_alpha: float = 1.96
     z_beta: float = 0.84
 
+    @classmethod
+    def for_levels(cls, alpha: float, power: float) -> PowerSettings:
+        """Settings whose quantiles follow from the levels (two-sided test)."""
+        normal = NormalDist()
+        return cls(alpha, power, normal.inv_cdf(1 - alpha / 2), normal.inv_cdf(power))
+
 
 @dataclass(frozen=True)
 class HotKeyPolicy:

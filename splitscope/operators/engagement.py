@@ -116,9 +116,11 @@ def engagement_by_variant(
     metrics: DataFrame, experiments: Experiments = LANDING_PAGE, detail: bool = False
 ) -> DataFrame:
     """Engagement per variant. ``sessions`` counts distinct session ids;
-    ``detail`` adds ``session_rows``, the rows the rates are taken over."""
+    ``detail`` adds ``users`` and ``session_rows``, the rows the rates are
+    taken over."""
     keys = [*experiment_keys(experiments), "variant"]
-    extra = [F.count("*").alias("session_rows")] if detail else []
+    users = F.countDistinct("user_pseudo_id").alias("users")
+    extra = [users, F.count("*").alias("session_rows")] if detail else []
     return (
         metrics.groupBy(*keys)
         .agg(

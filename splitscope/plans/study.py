@@ -33,6 +33,7 @@ from splitscope.operators import (
     srm,
     stats,
 )
+from splitscope.sources.ga4 import in_dates, write_events
 
 
 @dataclass(frozen=True)
@@ -47,11 +48,26 @@ class Study:
     power: PowerSettings = field(default_factory=PowerSettings)
     hot: HotKeyPolicy = field(default_factory=HotKeyPolicy)
     min_relative_lift_pct: float = 15.0
+    # The flattened events, where they have been written out before.
+    flat_table: DataFrame | None = None
 
     @cached_property
     def flat(self) -> DataFrame:
+        if self.flat_table is not None:
+            return in_dates(self.flat_table, self.start_date, self.end_date)
         return events.ga4_events(self.events, self.start_date, self.end_date)
 
+    def flattened(self, path: str) -> Study:
+        """The same study over the flattened events, written to ``path`` once.
+
+        Worth it when several reports are made: they then read plain columns,
+        not the parameter arrays of every event.
+        """
+        write_events(self.flat, path)
+        # The schema is given: the date folders would be read as numbers.
+        reader = self.flat.sparkSession.read.schema(self.flat.schema)
+        return replace(self, flat_table=reader.parquet(path))
+
     def _main(self):
         """The experiment of the reports that are about one experiment."""
         return as_registry(self.experiments)[0]

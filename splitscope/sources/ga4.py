@@ -39,7 +39,7 @@ EVENT_SCHEMA = T.StructType(
     ]
 )
 
-_PARTITIONED = T.StructType([*EVENT_SCHEMA.fields, T.StructField("event_date", T.StringType())])
+PARTITIONED_SCHEMA = T.StructType([*EVENT_SCHEMA.fields, T.StructField("event_date", T.StringType())])
 
 
 def in_dates(events: DataFrame, start_date: str | None, end_date: str | None) -> DataFrame:
@@ -55,7 +55,7 @@ def read_events(
     spark: SparkSession, path: str, start_date: str | None = None, end_date: str | None = None
 ) -> DataFrame:
     """Read a table partitioned by ``event_date``; the dates prune folders."""
-    return in_dates(spark.read.schema(_PARTITIONED).parquet(path), start_date, end_date)
+    return in_dates(spark.read.schema(PARTITIONED_SCHEMA).parquet(path), start_date, end_date)
 
 
 def _days(start_date: str, end_date: str) -> list[str]:

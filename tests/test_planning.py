@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 
+from splitscope import PowerSettings
 from splitscope.operators.planning import measured_baselines, sample_size
 
 GRID = [(f"{m:.0%}", m) for m in (0.10, 0.15, 0.20, 0.30)]
@@ -19,6 +20,16 @@ def test_sizes_of_the_two_percent_baseline(spark):
     assert "daily_traffic" not in one
 
 
+def test_quantiles_can_follow_from_the_levels(spark):
+    settings = PowerSettings.for_levels(0.05, 0.8)
+    assert (round(settings.z_alpha, 4), round(settings.z_beta, 4)) == (1.96, 0.8416)
+    frame = spark.createDataFrame([(0.02,)], "baseline_cr double")
+    stricter = PowerSettings.for_levels(0.01, 0.9)
+    sizes = [sample_size(frame, settings=s).first() for s in (settings, stricter)]
+    assert sizes[0].sample_size_per_variant < sizes[1].sample_size_per_variant
+    assert (sizes[1].alpha, sizes[1].power) == (0.01, 0.9)
+
+
 @pytest.mark.parametrize("baseline", [0.0, 0.95, None])
 def test_nothing_to_size(spark, baseline):
     frame = spark.createDataFrame([(baseline,)], "baseline_cr double")

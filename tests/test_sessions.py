@@ -159,7 +159,7 @@ def test_reports(spark):
     assert row.cart_check.endswith("PASS") and "FAIL" in row.bounce_check
     first = engagement_by_variant(metrics, detail=True).first()
     assert (first.engagement_rate_pct, first.click_rate_pct, first.conversion_rate_pct) == (50.0, 50.0, 50.0)
-    assert first.session_rows == 2
+    assert (first.sessions, first.users, first.session_rows) == (2, 2, 2)
     bounce = bounce_comparison(metrics).first()
     assert bounce.bounce_diff_pct_points == 50.0
     assert bounce.bounce_verdict == bounce.pageviews_verdict == "❌ Variant worse"
