@@ -66,7 +66,7 @@ class Study:
         write_events(self.flat, path)
         # The schema is given: the date folders would be read as numbers.
         reader = self.flat.sparkSession.read.schema(self.flat.schema)
-        return replace(self, flat_table=reader.parquet(path))
+        return replace(self, flat_table=reader.parquet(path).select(*self.flat.columns))
 
     def _main(self):
         """The experiment of the reports that are about one experiment."""

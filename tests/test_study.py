@@ -33,7 +33,7 @@ def test_reports_are_the_same_over_written_flat_events(spark, tmp_path):
     nested = study(spark)
     flat = nested.flattened(str(tmp_path / "flat"))
     assert nested.flat.count() == flat.flat.count() == 48
-    assert nested.flat.schema == flat.flat.schema
+    assert nested.flat.dtypes == flat.flat.dtypes
     for report in REPORTS:
         one, two = getattr(nested, report)(), getattr(flat, report)()
         assert one.columns == two.columns
