@@ -110,14 +110,15 @@ class PowerSettings:
 class HotKeyPolicy:
     """When a user's events stop fitting one window partition.
 
-    Users are hashed into ``buckets``, and a bucket with more than ``min_rows``
-    events is handled in blocks of ``block_micros``. At most ``max_hot`` buckets
-    are treated so, the largest first; this bounds the broadcast list. A user
-    outside them has fewer events than each of them, hence less than
-    ``1 / max_hot`` of all rows. Results do not depend on these numbers.
+    Users are hashed into ``buckets``. The users of a bucket with more than
+    ``min_rows`` events, and more than ``times_average`` the average bucket,
+    are handled in blocks of ``block_micros``. At most ``buckets /
+    times_average`` buckets can be that large, which bounds the broadcast list,
+    and a user outside them has at most ``min_rows`` events or ``times_average
+    / buckets`` of all events. Results do not depend on these numbers.
     """
 
     min_rows: int = 1_000_000
     buckets: int = 65_536
-    max_hot: int = 1_024
+    times_average: int = 4
     block_micros: int = 1_000_000

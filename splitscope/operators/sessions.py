@@ -18,8 +18,6 @@ date range, whatever the data. Nothing is dropped or sampled in either form.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -55,29 +53,36 @@ MICROS_PER_MINUTE = 60_000_000
 
 def _indicators() -> dict[str, Column]:
     """Per-event 0/1 columns behind the counters."""
-    name = F.col("event_name")
+
+    def listed(names: Sequence[str]) -> str:
+        return ", ".join(f"'{n}'" for n in names)
+
     return {
-        c: F.coalesce(name.isin(*names), F.lit(False)).cast("bigint")
-        for c, names in COUNTED_EVENTS.items()
+        counter: F.expr(f"bigint(coalesce(event_name IN ({listed(names)}), false))")
+        for counter, names in COUNTED_EVENTS.items()
     }
 
 
+def _per_counter(template: str) -> list[Column]:
+    return [F.expr(template.format(c)).alias(c) for c in COUNTERS]
+
+
 def _bucket(keys: Sequence[str], policy: HotKeyPolicy) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(policy.buckets))
 
 
 def _hot_buckets(flat: DataFrame, keys: Sequence[str], policy: HotKeyPolicy) -> DataFrame:
-    """The largest buckets of users above the limit; at most ``max_hot`` rows.
+    """Buckets of users above the limits.
 
     Counts of buckets, not of users: every task sends on at most one row per
-    bucket, and only the key columns are read.
+    bucket, the total is taken over that many rows, and only the key columns
+    are read.
     """
+    sizes = flat.groupBy(_bucket(keys, policy).alias("bucket")).agg(F.count("*").alias("n"))
+    limit = policy.times_average * F.sum("n").over(W.partitionBy())
     return (
-        flat.groupBy(_bucket(keys, policy).alias("bucket"))
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > policy.min_rows)
-        .orderBy(F.desc("n"), "bucket")
-        .limit(policy.max_hot)
+        sizes.withColumn("limit", limit)
+        .where((F.col("n") > policy.min_rows) & (F.col("n") * policy.buckets > F.col("limit")))
         .select("bucket")
     )
 
@@ -94,9 +99,8 @@ def _first_rows(rows: DataFrame, experiments: Experiments, *values: Column) -> D
 def _ordinary(events: DataFrame, keys: Sequence[str], experiments: Experiments) -> DataFrame:
     """Suffix totals of keys that fit one window partition."""
     backwards = (
-        W.partitionBy(*keys)
-        .orderBy(F.desc(TS))
-        .rangeBetween(W.unboundedPreceding, W.currentRow)
+        f"(PARTITION BY {', '.join(keys)} ORDER BY {TS} DESC "
+        "RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     )
     # Shuffled before the counters are made: the name travels, not six longs.
     local = events.repartition(*keys).withColumns(_indicators())
@@ -105,58 +109,53 @@ def _ordinary(events: DataFrame, keys: Sequence[str], experiments: Experiments)
         "session_id",
         TS,
         "_arm",
-        *[F.sum(c).over(backwards).alias(c) for c in COUNTERS],
-        F.max(TS).over(backwards).alias(LAST),
+        *_per_counter(f"sum({{}}) OVER {backwards}"),
+        F.expr(f"max({TS}) OVER {backwards}").alias(LAST),
     ).where(has_arm("_arm", experiments))
-    return _first_rows(
-        totals, experiments, *[F.max(c).alias(c) for c in COUNTERS], F.max(LAST).alias(LAST)
-    )
+    return _first_rows(totals, experiments, *_per_counter("max({})"), F.max(LAST).alias(LAST))
 
 
 def _in_blocks(
     events: DataFrame, keys: Sequence[str], experiments: Experiments, policy: HotKeyPolicy
 ) -> DataFrame:
     """Suffix totals of hot keys, in blocks of time."""
+    by = ", ".join(keys)
     ticks = (
         events.withColumns(_indicators())
         .withColumn("block", F.floor(F.col(TS) / policy.block_micros))
         .groupBy(*keys, "block", TS)
-        .agg(*[F.sum(c).alias(c) for c in COUNTERS])
+        .agg(*_per_counter("sum({})"))
     )
     inside = (
-        W.partitionBy(*keys, "block")
-        .orderBy(F.desc(TS))
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
+        f"(PARTITION BY {by}, block ORDER BY {TS} DESC "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     )
     running = ticks.select(
         *keys,
         "block",
         TS,
-        *[F.sum(c).over(inside).alias(c) for c in COUNTERS],
-        F.max(TS).over(inside).alias(LAST),
+        *_per_counter(f"sum({{}}) OVER {inside}"),
+        F.expr(f"max({TS}) OVER {inside}").alias(LAST),
     )
-    blocks = ticks.groupBy(*keys, "block").agg(
-        *[F.sum(c).alias(c) for c in COUNTERS], F.max(TS).alias(LAST)
+    blocks = ticks.groupBy(*keys, "block").agg(*_per_counter("sum({})"), F.max(TS).alias(LAST))
+    later = (
+        f"(PARTITION BY {by} ORDER BY block DESC "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     )
-    later = W.partitionBy(*keys).orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
-    after = blocks.select(
-        *[F.col(k).alias(f"b_{k}") for k in [*keys, "block"]],
-        *[F.sum(c).over(later).alias(f"later_{c}") for c in COUNTERS],
-        F.max(LAST).over(later).alias(f"later_{LAST}"),
+    after = blocks.selectExpr(
+        *[f"{k} AS b_{k}" for k in [*keys, "block"]],
+        *[f"sum({c}) OVER {later} AS later_{c}" for c in COUNTERS],
+        f"max({LAST}) OVER {later} AS later_{LAST}",
     )
-    same_block = reduce(and_, [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in [*keys, "block"]])
-    suffix = running.join(after, same_block).select(
-        *[F.col(k).alias(f"s_{k}") for k in keys],
-        F.col(TS).alias("s_ts"),
-        *[(F.col(c) + F.coalesce(f"later_{c}", F.lit(0))).alias(c) for c in COUNTERS],
-        F.greatest(LAST, f"later_{LAST}").alias(LAST),
+    same_block = F.expr(" AND ".join(f"{k} <=> b_{k}" for k in [*keys, "block"]))
+    suffix = running.join(after, same_block).selectExpr(
+        *[f"{k} AS s_{k}" for k in keys],
+        f"{TS} AS s_ts",
+        *[f"{c} + coalesce(later_{c}, 0) AS {c}" for c in COUNTERS],
+        f"greatest({LAST}, later_{LAST}) AS {LAST}",
     )
     starts = _first_rows(events, experiments)
-    at_start = reduce(
-        and_,
-        [F.col(k).eqNullSafe(F.col(f"s_{k}")) for k in keys],
-        F.col("session_start") == F.col("s_ts"),
-    )
+    at_start = F.expr(" AND ".join(["session_start = s_ts", *[f"{k} <=> s_{k}" for k in keys]]))
     return starts.join(suffix, at_start).drop(*[f"s_{k}" for k in keys], "s_ts")
 
 
@@ -170,7 +169,8 @@ def session_metrics(
 
     With ``scope='session'`` only events of the same session count (events
     without a session id form one session). Rows without a user id match no
-    events: they keep zero counts and no duration.
+    events: they keep zero counts and no duration. Rows without a time are
+    left out.
     """
     if scope not in SCOPES:
         raise ValueError(f"unknown scope {scope!r}")
@@ -178,6 +178,7 @@ def session_metrics(
     is_view = F.col("event_name") == "page_view"
     seen = F.when(is_view, arm_column(experiments)).alias("_arm")
     columns = [USER, "session_id", TS, "event_name", "_arm"]
+    flat = flat.where(F.col(TS).isNotNull())
     known = flat.where(F.col(USER).isNotNull())
     hot_buckets = F.broadcast(_hot_buckets(known, keys, hot))
     hashed = known.withColumn("bucket", _bucket(keys, hot))

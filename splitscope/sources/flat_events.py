@@ -11,8 +11,12 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+FLAT_SCHEMA = (
+    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string"
+)
 SITE = "https://shop.example.com"
 
 EVENT_NAME = """
@@ -63,6 +67,10 @@ def _entry(key: str, field: str, value: str, present: str) -> str:
     return f"if({present}, array({entry}), array())"
 
 
+def read_flat_events(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(FLAT_SCHEMA).parquet(path)
+
+
 def nest_events(
     flat: DataFrame, start_date: str | None = None, end_date: str | None = None
 ) -> DataFrame:

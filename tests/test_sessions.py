@@ -15,7 +15,7 @@ from splitscope.operators.engagement import (
     guardrails,
 )
 from splitscope.operators.events import ga4_events
-from splitscope.operators.sessions import session_metrics
+from splitscope.operators.sessions import USER, _bucket, _hot_buckets, session_metrics
 from tests.ga4rows import V1, V2, event, frame
 
 HOME = Experiment("home", (Arm("H", "/home"), Arm("V", "/landing")))
@@ -80,9 +80,9 @@ def random_rows(seed, n=160, span=5_000_000):
 
 
 PLAIN = HotKeyPolicy()
-ALL_HOT = HotKeyPolicy(min_rows=0, block_micros=1_000_000)
-ONE_HOT = HotKeyPolicy(min_rows=30, max_hot=1, block_micros=700_000)
-CROWDED = HotKeyPolicy(min_rows=10, buckets=2, max_hot=1, block_micros=300_000)
+ALL_HOT = HotKeyPolicy(min_rows=0, times_average=0, block_micros=1_000_000)
+ONE_HOT = HotKeyPolicy(min_rows=30, block_micros=700_000)
+CROWDED = HotKeyPolicy(min_rows=10, buckets=2, times_average=1, block_micros=300_000)
 
 
 @pytest.mark.parametrize("policy", [PLAIN, ALL_HOT, ONE_HOT, CROWDED])
@@ -120,6 +120,21 @@ def test_results_do_not_depend_on_partitioning_or_order(spark):
         assert sorted(map(str, report(one).collect())) == sorted(map(str, report(two).collect()))
 
 
+def test_only_large_buckets_are_hot(spark):
+    rows = flat(spark, [r for r in random_rows(5) if r[2] is not None])
+    buckets = {r.user_pseudo_id: r.b for r in rows.select(USER, _bucket([USER], PLAIN).alias("b")).collect()}
+
+    def hot(**policy):
+        found = _hot_buckets(rows, [USER], HotKeyPolicy(**policy)).collect()
+        return {u for u, b in buckets.items() if b in {r.bucket for r in found}}
+
+    assert hot() == set()
+    assert hot(min_rows=40) == {"hot"}
+    assert hot(min_rows=0) == {"hot", "a", "b", "c"}
+    # Above every limit of rows, but not above the average bucket.
+    assert hot(min_rows=0, buckets=1, times_average=1) == set()
+
+
 def test_bounce_needs_exactly_one_page_view(spark):
     rows = []
     for user, further in [("none", 0), ("one", 1), ("two", 2)]:
@@ -165,6 +180,13 @@ def test_reports(spark):
     assert bounce.bounce_verdict == bounce.pageviews_verdict == "❌ Variant worse"
 
 
+def test_events_without_a_time_do_not_count(spark):
+    rows = [event("a", "page_view", 5, V1), event("a", "page_view", None, V1), event("a", "click", 1)]
+    for policy in (PLAIN, ALL_HOT):
+        got = measured(session_metrics(flat(spark, rows), hot=policy))
+        assert got[("Control_A", 1, "a")][:3] == (1, 0.0, 1)
+
+
 def test_one_arm_only_gives_no_comparison(spark):
     metrics = session_metrics(flat(spark, [event("a", "page_view", 0, V1)]))
     assert guardrails(guardrail_stats(metrics)).count() == 0
