@@ -404,7 +404,7 @@ def sample_size(table: str, segment: str = "") -> str:
     days = ", ".join(
         f"{rnd(f'n * 2 / {t}e3', 1)} AS days_at_{t}k_daily_traffic" for t in (1, 5, 10)
     )
-    return f"""
+    return f""",
 per_day AS (
   SELECT {seg}CAST(make_timestamp(session_start) AS DATE) AS day,
          COUNT(DISTINCT user_pseudo_id) AS users
@@ -435,8 +435,11 @@ SELECT {seg}name AS calculation_type, {rnd('p1 * 100', 2)} AS baseline_cr_pct,
 FROM sized"""
 
 
-def decision(arms) -> str:
-    return f"""
+def decision(arms, min_days: int | None = None) -> str:
+    timed = min_days is not None
+    flag = ", d.long_enough" if timed else ""
+    need = " AND d.long_enough" if timed else ""
+    return f""",
 {srm(arms)},
 {exposed(USER)}, {units()}, {stats()}, {pairs('vs')}, {Z},
 exs AS (SELECT experiment_id, variant, is_control, user_pseudo_id, session_id,
@@ -456,18 +459,24 @@ rails AS (
       OR COALESCE(b.cart_abandonment_rate_pct > a.cart_abandonment_rate_pct + 10, FALSE)) AS guardrails_ok
   FROM gab
 ),
-splits AS (SELECT experiment_id, COALESCE(SUM(part) <= 6.63e0, FALSE) AS srm_ok FROM parts GROUP BY 1)
-SELECT s.experiment_id, t.variant, t.significant, t.effect_ok, r.guardrails_ok, s.srm_ok,
+splits AS (SELECT experiment_id, COALESCE(SUM(part) <= 6.63e0, FALSE) AS srm_ok FROM parts GROUP BY 1),
+lengths AS (
+  SELECT experiment_id, (MAX(session_start) - MIN(session_start)) / 864e8 >= {min_days or 0} AS long_enough
+  FROM u GROUP BY 1
+)
+SELECT s.experiment_id, t.variant, t.significant, t.effect_ok, r.guardrails_ok, s.srm_ok{flag},
   CASE WHEN NOT (s.srm_ok AND r.guardrails_ok) THEN '{L.DECISION_INVALID}'
-       WHEN t.significant AND t.effect_ok THEN '{L.DECISION_LAUNCH}'
+       WHEN t.significant AND t.effect_ok{need} THEN '{L.DECISION_LAUNCH}'
        WHEN t.significant AND z < 0 THEN '{L.DECISION_KEEP}'
        ELSE '{L.DECISION_FOLLOW_UP}' END AS decision
 FROM splits s JOIN tests t ON t.experiment_id = s.experiment_id
-JOIN rails r ON r.experiment_id = t.experiment_id AND r.variant = t.variant"""
+JOIN rails r ON r.experiment_id = t.experiment_id AND r.variant = t.variant
+JOIN lengths d ON d.experiment_id = t.experiment_id"""
 
 
 def _with(*parts: str) -> str:
-    """CTEs, then the statement as the last part."""
+    """CTEs, then the statement as the last part, which may start with further
+    CTEs of its own (led by a comma)."""
     *ctes, final = [GA4, *parts]
     joint = "" if final.lstrip().startswith(",") else "\n"
     return "WITH " + ",\n".join(c.strip() for c in ctes) + joint + final
@@ -563,7 +572,8 @@ def statements() -> dict[str, str]:
         "test_pages_with_purchases": _with(BY_URL, BY_PARAM_ALL, BOTH_METHODS),
         "session_source": _with(SOURCE, "SELECT * FROM resolved"),
         "session_channel": _with(SOURCE, CHANNEL, "SELECT * FROM channels"),
-        "sample_size": _with(*by_user, sample_size("u").rpartition("\nSELECT")[0], "SELECT" + sample_size("u").rpartition("\nSELECT")[2]),
-        "sample_size_by_channel": _with(*channelled, sample_size("u2", "channel").rpartition("\nSELECT")[0], "SELECT" + sample_size("u2", "channel").rpartition("\nSELECT")[2]),
-        "launch_decision": _with(decision(REGISTRY).rpartition("\nSELECT s.")[0], "SELECT s." + decision(REGISTRY).rpartition("\nSELECT s.")[2]),
+        "sample_size": _with(*by_user, sample_size("u")),
+        "sample_size_by_channel": _with(*channelled, sample_size("u2", "channel")),
+        "launch_decision": _with(decision(REGISTRY)),
+        "launch_decision_with_duration": _with(decision(REGISTRY, 14)),
     }

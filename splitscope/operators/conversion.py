@@ -141,5 +141,8 @@ def conversions(
     crossover: str = BOTH,
 ) -> DataFrame:
     """0/1 purchase at or after the first exposure, per user and variant."""
-    units = attributed_units(flat, experiments, scope, crossover)
+    return without_times(attributed_units(flat, experiments, scope, crossover), experiments)
+
+
+def without_times(units: DataFrame, experiments: Experiments) -> DataFrame:
     return units.select(*experiment_keys(experiments), USER, "variant", "converted")

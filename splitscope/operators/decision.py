@@ -12,6 +12,7 @@ from splitscope import labels
 from splitscope.operators.srm import CHI2_1PCT
 
 KEY, ARM = "experiment_id", "variant"
+MICROS_PER_DAY = 86_400e6
 
 
 def _small(frame: DataFrame, **columns: Column) -> DataFrame:
@@ -21,11 +22,19 @@ def _small(frame: DataFrame, **columns: Column) -> DataFrame:
     return F.broadcast(frame.select(*keys, *[c.alias(n) for n, c in columns.items()]))
 
 
+def run_lengths(units: DataFrame) -> DataFrame:
+    """``experiment_id, days`` from the first to the last first exposure."""
+    span = F.max("session_start") - F.min("session_start")
+    return units.groupBy(KEY).agg((span / F.lit(MICROS_PER_DAY)).alias("days"))
+
+
 def launch_decision(
     z_tests: DataFrame,
     guardrail_checks: DataFrame,
     srm_tests: DataFrame,
     min_relative_lift_pct: float = 15.0,
+    lengths: DataFrame | None = None,
+    min_days: float = 14.0,
 ) -> DataFrame:
     """One row per experiment and treatment: the four conditions and what
     follows from them. The inputs are results over a registry, so that they
@@ -36,7 +45,8 @@ def launch_decision(
     broken split or guardrail makes the test invalid; a significant and big
     enough lift launches the variant, a significant loss keeps the control, and
     anything else asks for a follow-up test. A missing figure counts as a
-    condition not met.
+    condition not met. With ``lengths`` (see :func:`run_lengths`) a launch also
+    needs a test of at least ``min_days``, told by a column ``long_enough``.
     """
     big_enough = F.col("relative_improvement_pct") >= F.lit(float(min_relative_lift_pct))
     tests = _small(
@@ -52,11 +62,17 @@ def launch_decision(
     )
     joined = splits.join(tests, KEY, "left").join(rails, [KEY, ARM], "left")
     flags = ["significant", "effect_ok", "guardrails_ok", "srm_ok"]
+    ready = F.col("significant") & F.col("effect_ok")
+    if lengths is not None:
+        enough = _small(lengths, long_enough=F.col("days") >= F.lit(float(min_days)))
+        joined = joined.join(enough, KEY, "left")
+        flags.append("long_enough")
+        ready = ready & F.col("long_enough")
     joined = joined.withColumns({f: F.coalesce(F.col(f), F.lit(False)) for f in flags})
     valid = F.col("srm_ok") & F.col("guardrails_ok")
     decision = (
         F.when(~valid, labels.DECISION_INVALID)
-        .when(F.col("significant") & F.col("effect_ok"), labels.DECISION_LAUNCH)
+        .when(ready, labels.DECISION_LAUNCH)
         .when(F.col("significant") & (F.col("z_score") < 0), labels.DECISION_KEEP)
         .otherwise(labels.DECISION_FOLLOW_UP)
     )

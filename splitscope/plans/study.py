@@ -122,11 +122,13 @@ class Study:
         return exposure.exposures(self.flat, self.experiments, by_session)
 
     @cached_property
-    def _conversions(self) -> DataFrame:
-        return conversion.conversions(self.flat, self.experiments, self.scope, self.crossover)
+    def _units(self) -> DataFrame:
+        return conversion.attributed_units(
+            self.flat, self.experiments, self.scope, self.crossover
+        )
 
     def conversions(self) -> DataFrame:
-        return self._conversions
+        return conversion.without_times(self._units, self.experiments)
 
     @cached_property
     def variant_stats(self) -> DataFrame:
@@ -175,7 +177,8 @@ class Study:
 
     # Decision
 
-    def launch_decision(self) -> DataFrame:
+    def launch_decision(self, min_days: float | None = None) -> DataFrame:
+        """The decision per experiment; ``min_days`` adds a shortest duration."""
         registry = as_registry(self.experiments)
         study = replace(self, experiments=registry)
         counts = study.srm_counts
@@ -186,4 +189,5 @@ class Study:
             study.guardrails(),
             srm.srm_test(counts, registry),
             self.min_relative_lift_pct,
+            *([] if min_days is None else [decision.run_lengths(study._units), min_days]),
         )

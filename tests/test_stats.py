@@ -215,3 +215,25 @@ def test_launch_decision(spark, significance, lift, z, check, chi, expected):
         one((chi,), "chi_square_statistic double"),
     ).first()
     assert row.decision == expected
+
+
+@pytest.mark.parametrize("days, expected", [(13.9, L.DECISION_FOLLOW_UP), (14.0, L.DECISION_LAUNCH)])
+def test_a_launch_may_need_a_long_enough_test(spark, days, expected):
+    units = spark.createDataFrame(
+        [("e", 0), ("e", int(days * 86_400_000_000))], "experiment_id string, session_start bigint"
+    )
+    z = spark.createDataFrame(
+        [("e", "B", L.SIGNIFICANT, 3.0, 20.0)],
+        "experiment_id string, variant_name string, significance string, z_score double, "
+        "relative_improvement_pct double",
+    )
+    ok = L.GUARDRAIL_PASS
+    rails = spark.createDataFrame(
+        [("e", "B", ok, ok, ok)],
+        "experiment_id string, variant string, bounce_check string, duration_check string, "
+        "cart_check string",
+    )
+    split = spark.createDataFrame([("e", 0.0)], "experiment_id string, chi_square_statistic double")
+    lengths = decision.run_lengths(units)
+    row = decision.launch_decision(z, rails, split, 15.0, lengths, 14.0).first()
+    assert (row.long_enough, row.decision) == (days >= 14, expected)
