@@ -358,30 +358,30 @@ SELECT 'url_pattern' AS method, * FROM by_url
 UNION ALL SELECT 'event_param' AS method, * FROM by_param"""
 
 SOURCE = """
+ranked AS (
+  SELECT *, source IS NOT NULL OR medium IS NOT NULL AS named,
+         CASE WHEN named AND event_name NOT IN ('session_start', 'first_visit') THEN 0
+              WHEN named AND event_name = 'session_start' THEN 1 ELSE 2 END AS place
+  FROM ga4 WHERE session_id IS NOT NULL
+),
 resolved AS (
   SELECT user_pseudo_id, session_id, make_timestamp(event_timestamp) AS session_start,
          COALESCE(source, '(direct)') AS source, COALESCE(medium, '(none)') AS medium
-  FROM ga4 WHERE session_id IS NOT NULL
-  QUALIFY ROW_NUMBER() OVER (PARTITION BY user_pseudo_id, session_id ORDER BY
-    CASE WHEN event_name NOT IN ('session_start', 'first_visit')
-              AND (source IS NOT NULL OR medium IS NOT NULL) THEN 0 ELSE 1 END,
-    CASE WHEN event_name = 'session_start'
-              AND (source IS NOT NULL OR medium IS NOT NULL) THEN 0 ELSE 1 END,
-    event_timestamp, source NULLS FIRST, medium NULLS FIRST) = 1
+  FROM ranked
+  QUALIFY ROW_NUMBER() OVER (
+    PARTITION BY user_pseudo_id, session_id
+    ORDER BY place, event_timestamp, source NULLS FIRST, medium NULLS FIRST) = 1
 )"""
+# The exact media of each channel.
 CHANNEL = """
+media(exact, its_channel) AS (VALUES
+  ('cpc', 'Paid Search'), ('ppc', 'Paid Search'), ('paidsearch', 'Paid Search'),
+  ('organic', 'Organic Search'), ('email', 'Email'), ('display', 'Display'), ('banner', 'Display'),
+  ('referral', 'Referral'), ('affiliate', 'Affiliate'), ('(none)', 'Direct'), ('', 'Direct')),
 channels AS (
-  SELECT *, CASE
-    WHEN medium IN ('cpc', 'ppc', 'paidsearch') THEN 'Paid Search'
-    WHEN medium = 'organic' THEN 'Organic Search'
-    WHEN lower(medium) LIKE '%social%' THEN 'Social'
-    WHEN medium = 'email' THEN 'Email'
-    WHEN medium IN ('display', 'banner') THEN 'Display'
-    WHEN medium = 'referral' THEN 'Referral'
-    WHEN medium = 'affiliate' THEN 'Affiliate'
-    WHEN medium IN ('(none)', '') THEN 'Direct'
-    ELSE source || ' / ' || medium END AS channel
-  FROM resolved
+  SELECT r.*, COALESCE(its_channel, CASE WHEN contains(lower(medium), 'social') THEN 'Social' END,
+                       source || ' / ' || medium) AS channel
+  FROM resolved r LEFT JOIN media ON exact = medium
 )"""
 # The session of a unit's first exposure; the smaller id (NULL first) at a tie.
 UNIT_CHANNEL = """
