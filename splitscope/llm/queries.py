@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from splitscope.llm import bpe
 from splitscope.llm import exact_dedup as exact
+from splitscope.llm import near_dedup as near
+
+#: Rank file of the tokenizer queries.
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,12 +24,41 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(docs, exact.older_half(docs))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+def op9_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(documents(spark, sf_dir), percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_exact_dedup": op5_exact_dedup}
+    return {
+        "op5_exact_dedup": op5_exact_dedup,
+        "op7_byte_bpe": op7_byte_bpe,
+        "op9_minhash_odd_sketch": op9_minhash_odd_sketch,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op9_minhash_odd_sketch": r"""
+            WITH RECURSIVE w AS (
+                SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+            s AS (
+                SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 5 THEN [array_to_string(t, ' ')]
+                       ELSE list_transform(range(1, len(t) - 3), i -> array_to_string(t[i:i + 4], ' ')) END) AS g FROM w),
+            n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id
+                  GROUP BY ALL),
+            e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+                  WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+            r AS (SELECT doc_id, doc_id AS reached FROM documents
+                  UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached)
+            SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reached) AS component_id,
+                   r.doc_id = min(reached) AS kept
+            FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
         "op5_exact_dedup": """
             WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
