@@ -214,7 +214,7 @@ class Prefixes:
         return walk_back(self.last, self.encoder.tokens)
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def shared_tables(spark: SparkSession, path: str) -> Broadcast:
@@ -222,12 +222,12 @@ def shared_tables(spark: SparkSession, path: str) -> Broadcast:
     return spark.sparkContext.broadcast(split_table(path))
 
 
-def worker_encoder(tables: Broadcast) -> Encoder:
-    """One encoder per worker process and table."""
-    if tables.id not in _encoders:
+def worker_encoder(tables: Broadcast, path: str) -> Encoder:
+    """One encoder per worker process, made anew when the rank file changes."""
+    if path not in _encoders:
         _encoders.clear()
-        _encoders[tables.id] = Encoder(*tables.value)
-    return _encoders[tables.id]
+        _encoders[path] = Encoder(*tables.value)
+    return _encoders[path]
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -241,7 +241,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ke
     out = inner.select(*names).schema.add("ids", "binary").add("decoded", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, split = worker_encoder(tables), regex.compile(pattern).findall
+        encoder, split = worker_encoder(tables, path), regex.compile(pattern).findall
         for batch in batches:
             ids = [encoder.encode(split(t or "")) for t in batch.column(len(names)).to_pylist()]
             columns = [batch.column(i) for i in range(len(names))]
@@ -259,7 +259,7 @@ def digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ke
     out = inner.select(*names).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, split = worker_encoder(tables), regex.compile(pattern).findall
+        encoder, split = worker_encoder(tables, path), regex.compile(pattern).findall
         hexed = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             rows = []

@@ -41,6 +41,10 @@ U = np.uint64
 STEP = U(0x9E3779B97F4A7C15)
 
 
+def _salt(k: int) -> np.uint64:
+    return U(k * int(STEP) & (2**64 - 1))
+
+
 @lru_cache(maxsize=1)
 def _factors() -> tuple[np.ndarray, np.ndarray]:
     """Odd factors and shifts of the MinHash functions, from counters."""
@@ -120,7 +124,7 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
     keys = np.empty((len(minima), BANDS), U)
     for band in range(BANDS):
         part = [minima[:, band * ROWS + i] for i in range(ROWS)]
-        keys[:, band] = mix64(reduce(lambda h, v: mix64(h) * STEP + v, part) + U(band) * STEP)
+        keys[:, band] = mix64(reduce(lambda h, v: mix64(h) * STEP + v, part) + _salt(band))
     return keys.view(np.int64)
 
 
@@ -159,7 +163,7 @@ def _signed_batch(rid: pa.Array, text: pa.Array) -> Iterator[pa.RecordBatch]:
         bands, sketch = np.zeros((j - i, BANDS), np.int64), np.zeros((j - i, SKETCH // 64), np.int64)
         if len(rows):
             for k in range(2):
-                names[k, rows] = np.add.reduceat(mix64(sets + U(k + 1) * STEP), tight[:-1]).view(np.int64)
+                names[k, rows] = np.add.reduceat(mix64(sets + _salt(k + 1)), tight[:-1]).view(np.int64)
             minima = min_hashes(sets, tight)
             bands[rows], sketch[rows] = band_keys(minima), odd_sketches(minima)
         lists = lambda m: pa.ListArray.from_arrays(
