@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from splitscope.llm import bpe
+from splitscope.llm import bpe, decontaminate
 from splitscope.llm import exact_dedup as exact
 from splitscope.llm import near_dedup as near
 
@@ -19,6 +19,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.benchmark_overlaps(documents(spark, sf_dir), benchmark)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return exact.exact_dedup(docs, exact.older_half(docs))
@@ -34,6 +39,7 @@ def op9_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_spaced_seeds": op1_spaced_seeds,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_byte_bpe": op7_byte_bpe,
         "op9_minhash_odd_sketch": op9_minhash_odd_sketch,
@@ -42,6 +48,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_spaced_seeds": r"""
+            WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'),
+                       lambda x: x <> '') AS t FROM documents),
+            b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'),
+                       lambda x: x <> '') AS t FROM benchmark),
+            dw AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS p FROM d),
+            bw AS (SELECT item_id, len(t) AS n, unnest(t) AS w, generate_subscripts(t, 1) AS p FROM b WHERE len(t) >= 8),
+            m AS (SELECT doc_id, item_id, n, dw.p - bw.p AS shift, bw.p AS p FROM dw JOIN bw USING (w)),
+            c AS (SELECT doc_id, item_id, n, shift, count(*) AS c FROM m GROUP BY ALL
+                  HAVING count(*) >= CASE WHEN n < 13 THEN n - 1 ELSE 11 END),
+            s AS (SELECT doc_id, item_id, n, shift, unnest(range(1, n - least(n, 13) + 2)) AS s FROM c),
+            r AS (SELECT s.doc_id, s.item_id, s.n, s.shift, s.s, count(*) AS same FROM s JOIN m USING (doc_id, item_id, shift)
+                  WHERE m.p >= s.s AND m.p < s.s + least(s.n, 13) GROUP BY ALL)
+            SELECT doc_id, item_id, max(same)::INT AS n_same, any_value(least(n, 13))::INT AS n_window FROM r
+            GROUP BY doc_id, item_id HAVING max(same) >= any_value(CASE WHEN n < 13 THEN n - 1 ELSE 11 END)""",
         "op9_minhash_odd_sketch": r"""
             WITH RECURSIVE w AS (
                 SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
