@@ -21,6 +21,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from splitscope.llm.common import fresh
+
 #: Pieces in the newer half of a worker's cache; when it is full it becomes the older half.
 CACHED_PIECES = 250_000
 #: Token pairs after which the cache of borders starts anew.
@@ -230,45 +232,39 @@ def worker_encoder(tables: Broadcast, path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep``, then ``ids`` (little-endian unsigned 32-bit integers) and ``decoded`` (bytes) per document.
-
-    Each match of the pattern is encoded on its own, without special tokens. Null and empty texts have no ids. Rows are
-    independent: repeats give repeats, an empty table gives no rows."""
+def _per_text(docs: DataFrame, path: str, pattern: str, text_col: str, keep: list[str], added: list[tuple[str, str, pa.DataType]], make) -> DataFrame:
+    """The columns ``keep`` and one more for each of ``added``; make(encoder, ids) gives their values for one text."""
     tables = shared_tables(docs.sparkSession, path)
-    names = list(keep)
-    inner = docs.select(*names, F.col(text_col).alias("_text"))
-    out = inner.select(*names).schema.add("ids", "binary").add("decoded", "binary")
+    inner = docs.select(*keep, F.col(text_col).alias(fresh(docs, "text_to_encode")))
+    out = inner.select(*keep).schema
+    for name, spark_type, _ in added:
+        out = out.add(name, spark_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, split = worker_encoder(tables, path), regex.compile(pattern).findall
         for batch in batches:
-            ids = [encoder.encode(split(t or "")) for t in batch.column(len(names)).to_pylist()]
-            columns = [batch.column(i) for i in range(len(names))]
-            columns += [pa.array(ids, pa.binary()), pa.array(map(encoder.decode, ids), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "ids", "decoded"])
+            rows = [make(encoder, encoder.encode(split(t or ""))) for t in batch.column(len(keep)).to_pylist()]
+            new = [pa.array([r[k] for r in rows], kind) for k, (_, _, kind) in enumerate(added)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], names=out.names)
 
     return inner.mapInArrow(run, out)
 
 
-def digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """As :func:`encoded`, with ``n_tokens`` and the digests of ids and decoded bytes in their place."""
-    tables = shared_tables(docs.sparkSession, path)
-    names = list(keep)
-    inner = docs.select(*names, F.col(text_col).alias("_text"))
-    out = inner.select(*names).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, split = worker_encoder(tables, path), regex.compile(pattern).findall
-        hexed = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in batches:
-            rows = []
-            for text in batch.column(len(names)).to_pylist():
-                ids = encoder.encode(split(text or ""))
-                rows.append((len(ids) // 4, hexed(ids), hexed(encoder.decode(ids))))
-            n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-            columns = [batch.column(i) for i in range(len(names))]
-            columns += [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_tokens", "ids_sha256", "decoded_sha256"])
+def token_ids(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` but the text, then ``token_ids`` (little-endian unsigned 32-bit integers) and ``n_tokens``.
 
-    return inner.mapInArrow(run, out)
+    Each match of the pattern is encoded on its own, without special tokens. Null and empty texts have no ids. Rows are
+    independent: repeats give repeats, an empty table gives no rows. Columns that are called like the new ones give way."""
+    keep = [c for c in docs.columns if c not in (text_col, "token_ids", "n_tokens")]
+    added = [("token_ids", "binary", pa.binary()), ("n_tokens", "long", pa.int64())]
+    return _per_text(docs, path, pattern, text_col, keep, added, lambda _, ids: (ids, len(ids) // 4))
+
+
+def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: ``doc_id``, ``n_tokens``, and the SHA-256 digests ``ids_sha256`` of the ids (little-endian unsigned 32-bit
+    integers) and ``decoded_sha256`` of the bytes they decode to. Cases as in :func:`token_ids`."""
+    hexed = lambda b: hashlib.sha256(b).hexdigest()
+    added = [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())]
+    make = lambda encoder, ids: (len(ids) // 4, hexed(ids), hexed(encoder.decode(ids)))
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _per_text(named, path, pattern, "text", ["doc_id"], added, make)

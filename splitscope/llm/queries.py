@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from splitscope.llm import bpe, decontaminate
+from splitscope.llm import bpe, decontaminate, language
 from splitscope.llm import exact_dedup as exact
 from splitscope.llm import near_dedup as near
 
@@ -37,12 +37,17 @@ def op9_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(documents(spark, sf_dir), percent=85)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_spaced_seeds": op1_spaced_seeds,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_byte_bpe": op7_byte_bpe,
         "op9_minhash_odd_sketch": op9_minhash_odd_sketch,
+        "op10_language_id": op10_language_id,
     }
 
 
