@@ -5,8 +5,9 @@
 2. Classes that share a band key are linked to the smallest class of that bucket, if the population count of the XOR of their
    sketches does not rule the similarity out and the exact sets confirm it. Components of these links are found by
    alternating star contraction.
-3. In buckets that still hold several components, all pairs across components are looked at by their sketches, in blocks,
-   and the rest is confirmed as before. So every pair that shares a bucket is confirmed, ruled out, or already connected.
+3. Buckets that still hold several components are not paired out, since a passage that many texts share fills them with
+   unlinked texts. Their texts are compared where they share one of their rarest shingles, which any two texts of the similarity
+   do; sketches rule out, exact sets confirm. So every pair that shares a bucket is confirmed, ruled out, or already connected.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from collections.abc import Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +32,8 @@ HASHES = BANDS * ROWS
 SKETCH = 512
 #: Standard deviations that sketches are trusted by: links are lost to them once in about ten billion.
 CERTAIN = 6.4
-#: Members of a bucket that are compared in one block; larger buckets are cut into blocks, and pairs of blocks compared.
-BLOCK = 2_000
+#: Cells that shingles are counted in for the order from rare to common.
+CELLS = 1 << 20
 #: Bytes of text that are hashed at a time.
 CHUNK = 1 << 20
 
@@ -244,42 +244,71 @@ def components(edges: DataFrame) -> DataFrame:
         stars = now
 
 
-def _cross_pairs(limit: int, percent: int):
-    """Pairs of one block, or of two, that are of different components and that size and sketch allow."""
+def _in_mixed_buckets(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows (rid, component) of the classes that share a bucket with a class of another component."""
+    part = F.coalesce("component", "rid").alias("component")
+    placed = members.join(parts, "rid", "left").select("key", "rid", part)
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
+    return placed.join(mixed.select("key"), "key", "left_semi").select("rid", "component").distinct()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        words = np.stack(pdf["sketch"].to_numpy()).view(U)
-        rid, part, size, own = (pdf[c].to_numpy() for c in ("rid", "component", "n_shingles", "own"))
-        left = np.flatnonzero(own == pdf["x"].iloc[0])
-        a, b = [], []
-        for i in left:
-            if pdf["x"].iloc[0] == pdf["y"].iloc[0]:
-                j = np.arange(i + 1, len(pdf))
-            else:
-                j = np.flatnonzero(own != own[i])
-            j = j[(part[j] != part[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))]
-            j = j[np.bitwise_count(words[j] ^ words[i]).sum(axis=1) <= limit]
-            a.append(np.minimum(rid[j], rid[i]))
-            b.append(np.maximum(rid[j], rid[i]))
-        empty = np.zeros(0, np.int64)
-        return pd.DataFrame({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
 
-    return run
+def _each_set(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
+    """The batch, the row and the shingle set of each text; texts are the last column."""
+    for batch in batches:
+        data, starts = flat_text(batch.column(batch.num_columns - 1))
+        for i, j in runs_of_rows(starts, CHUNK):
+            sets, before = shingle_sets(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
+            for k in range(j - i):
+                yield batch, i + k, sets[before[k] : before[k + 1]]
 
 
-def _across(members: DataFrame, parts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs (a, b) of different components within buckets that hold more than one."""
-    part = F.coalesce("component", "rid").alias("component")
-    placed = members.join(parts, "rid", "left").select("key", "rid", part)
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")
-    rows = placed.join(mixed.filter("lo != hi").select("key", blocks), "key")
-    rows = rows.join(classes.select("rid", "n_shingles", "sketch"), "rid")
-    own = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-    run = _cross_pairs(most_odd_bits(percent / 100), percent)
-    return rows.groupBy("key", "x", "y").applyInPandas(run, "a long, b long").distinct()
+def _cell_counts(texts: DataFrame) -> np.ndarray:
+    """How many sets have a shingle in each of CELLS cells; at most that many sums reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(CELLS, np.int64)
+        for _, _, own in _each_set(batches):
+            np.add.at(sums, (own % U(CELLS)).astype(np.int64), 1)
+        used = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], names=["cell", "n"])
+
+    out = np.zeros(CELLS, np.int64)
+    rows = texts.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
+
+def _rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
+    """Rows (shingle, rid, component, n): the rarest shingles of each set of (rid, component, text).
+
+    Under any one order of all shingles, two sets of the similarity share one among the first n - ceil(percent * n / 100) + 1 of
+    each. Ordered by how full their cell is, rare ones come first, and those alone in their cell match nothing."""
+    cells = texts.sparkSession.sparkContext.broadcast(_cell_counts(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, row, own in _each_set(batches):
+            n = len(own)
+            full = cells.value[(own % U(CELLS)).astype(np.int64)]
+            first = np.lexsort((own, full))[: n + percent * n // -100 + 1]
+            first = first[full[first] > 1]
+            same = lambda v: pa.array(np.full(len(first), v, np.int64))
+            columns = [own[first].view(np.int64), same(batch.column(0)[row].as_py()), same(batch.column(1)[row].as_py()), same(n)]
+            if len(first):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "rid", "component", "n"])
+
+    return texts.mapInArrow(run, "shingle long, rid long, component long, n long")
+
+
+def _across(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a rare shingle and whose sizes allow the similarity."""
+    found = materialise(mixed.join(texts, "rid").select("rid", "component", "text"))
+    rare = materialise(_rare_shingles(found, percent))
+    parted = rare.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
+    rows = rare.join(parted.select("shingle"), "shingle", "left_semi")
+    x, y = (rows.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("rid", "component", "n")]) for s in "xy")
+    fits = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
+    pairs = x.join(y, "shingle").filter((F.col("component_x") < F.col("component_y")) & fits)
+    return pairs.select(F.least("rid_x", "rid_y").alias("a"), F.greatest("rid_x", "rid_y").alias("b")).distinct()
 
 
 def linked_rows(texts: DataFrame, percent: int) -> DataFrame:
@@ -295,8 +324,9 @@ def linked_rows(texts: DataFrame, percent: int) -> DataFrame:
     tried = materialise(_plausible(stars, classes, percent))
     edges = materialise(confirmed(tried, texts, percent))
     parts = materialise(components(edges))
-    across = materialise(_across(members.select("key", "rid"), parts, classes, percent).join(tried, ["a", "b"], "left_anti"))
-    more = materialise(confirmed(across, texts, percent))
+    across = _across(_in_mixed_buckets(members.select("key", "rid"), parts), texts, percent)
+    untried = materialise(_plausible(across.join(tried, ["a", "b"], "left_anti"), classes, percent))
+    more = materialise(confirmed(untried, texts, percent))
     if not more.isEmpty():
         parts = components(edges.union(more))
     own = signed.join(heads, names, "left").select("rid", "n_shingles", F.coalesce("head", "rid").alias("head"))
