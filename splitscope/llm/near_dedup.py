@@ -52,7 +52,7 @@ def _factors() -> tuple[np.ndarray, np.ndarray]:
     return mix64(counter * STEP) | U(1), mix64(counter * STEP + U(7))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a fixed odd number and of its inverse, modulo 2**64."""
     base = 0xA0761D6478BD642F
     return (
@@ -76,7 +76,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     first[borders] = inside[borders]
     last[borders - 1] = inside[borders - 1]
     a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(n)
+    up, down = powers(n)
     sums = np.zeros(n + 1, U)
     np.cumsum((lower.astype(U) + U(1)) * up[:n], out=sums[1:])
     hashes = mix64((sums[b] - sums[a]) * down[a] + (b - a).astype(U) * STEP)

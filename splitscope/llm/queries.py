@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from splitscope.llm import bpe, decontaminate, language
 from splitscope.llm import exact_dedup as exact
 from splitscope.llm import near_dedup as near
+from splitscope.llm import repeats
 
 #: Rank file of the tokenizer queries.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -24,6 +25,10 @@ def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_overlaps(documents(spark, sf_dir), benchmark)
 
 
+def op2_run_length_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_report(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return exact.exact_dedup(docs, exact.older_half(docs))
@@ -44,6 +49,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_spaced_seeds": op1_spaced_seeds,
+        "op2_run_length_repeats": op2_run_length_repeats,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_byte_bpe": op7_byte_bpe,
         "op9_minhash_odd_sketch": op9_minhash_odd_sketch,
