@@ -152,6 +152,11 @@ class Encoder:
                 known[piece] = older.get(piece) or struct.pack(f"<{len(i := self.ids_of_piece(piece.encode()))}I", *i)
         return b"".join([known[piece] for piece in pieces])
 
+    def size(self, piece: str) -> int:
+        """How many tokens a piece has."""
+        ids = self.pieces.get(piece)
+        return len(self.encode([piece]) if ids is None else ids) // 4
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from splitscope.llm import bpe, decontaminate, language
 from splitscope.llm import exact_dedup as exact
 from splitscope.llm import near_dedup as near
-from splitscope.llm import repeats
+from splitscope.llm import repeats, secret_scan, token_counts
 
 #: Rank file of the tokenizer queries.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -29,11 +29,20 @@ def op2_run_length_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removal_report(documents(spark, sf_dir))
 
 
+def op3_layered_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return exact.exact_dedup(docs, exact.older_half(docs))
 
 
+def op6_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(RANKS)
+    return token_counts.counts_through_edits(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -50,7 +59,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_spaced_seeds": op1_spaced_seeds,
         "op2_run_length_repeats": op2_run_length_repeats,
+        "op3_layered_secrets": op3_layered_secrets,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_edit_aware_counts": op6_edit_aware_counts,
         "op7_byte_bpe": op7_byte_bpe,
         "op9_minhash_odd_sketch": op9_minhash_odd_sketch,
         "op10_language_id": op10_language_id,
