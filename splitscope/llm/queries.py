@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from splitscope.llm import bpe, decontaminate, language
+from splitscope.llm import bpe, decontaminate, language, masked_lm, quality
 from splitscope.llm import exact_dedup as exact
 from splitscope.llm import near_dedup as near
 from splitscope.llm import repeats, secret_scan, token_counts
@@ -33,6 +33,10 @@ def op3_layered_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(documents(spark, sf_dir))
 
 
+def op4_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.scores(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return exact.exact_dedup(docs, exact.older_half(docs))
@@ -47,6 +51,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(documents(spark, sf_dir), percent=85)
 
@@ -60,9 +68,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_spaced_seeds": op1_spaced_seeds,
         "op2_run_length_repeats": op2_run_length_repeats,
         "op3_layered_secrets": op3_layered_secrets,
+        "op4_masked_lm": op4_masked_lm,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_edit_aware_counts": op6_edit_aware_counts,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_kneser_ney": op8_kneser_ney,
         "op9_minhash_odd_sketch": op9_minhash_odd_sketch,
         "op10_language_id": op10_language_id,
     }
