@@ -81,6 +81,7 @@ def anchors(texts: DataFrame) -> DataFrame:
         for batch in batches:
             rid = batch.column(0).to_numpy(zero_copy_only=False)
             data, starts = flat_text(batch.column(1))
+            done = np.zeros(0, np.int64)
             for i, j, a, b in _stretches(starts):
                 if b - a < LENGTH:
                     continue
@@ -89,7 +90,8 @@ def anchors(texts: DataFrame) -> DataFrame:
                 least = smallest_places(hashes, SIDE + 1)
                 begins = np.arange(a, a + len(least))
                 ends = starts[np.searchsorted(starts[i + 1 : j + 1], begins, "right") + i + 1]
-                at = np.unique(least[begins + LENGTH <= ends]) + a
+                at = np.setdiff1d(least[begins + LENGTH <= ends] + a, done)
+                done = at[at >= b - LENGTH]  # the next stretch may choose these once more
                 row = np.searchsorted(starts, at, "right") - 1
                 row[starts[row + 1] <= at] += 1
                 lo, hi = np.maximum(at - SIDE, starts[row]), np.minimum(at + GRAM + SIDE, starts[row + 1])
@@ -102,7 +104,7 @@ def anchors(texts: DataFrame) -> DataFrame:
                     names=["h", "c0", "c1", "rid", "at", "lo", "hi"],
                 )
 
-    return texts.mapInArrow(run, "h long, c0 long, c1 long, rid long, at int, lo int, hi int").dropDuplicates(["rid", "at"])
+    return texts.mapInArrow(run, "h long, c0 long, c1 long, rid long, at int, lo int, hi int")
 
 
 def run_length_index(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,7 +123,7 @@ def run_length_index(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.
         byte = np.zeros(n, np.int64)
         byte[: max(0, n - k)] = text[k:].astype(np.int64) + 1
         key = key * 257 + np.where(left > k, byte, 0)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.ones(n, bool)
     new[1:] = (key[order][1:] != key[order][:-1]) | (left[order][1:] < step)
     rank = np.empty(n, np.int64)
@@ -130,7 +132,7 @@ def run_length_index(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.
         after = np.zeros(n, np.int64)
         after[: n - step] = rank[step:] + 1
         key = rank * (n + 1) + np.where(left >= step, after, 0)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new[1:] = key[order][1:] != key[order][:-1]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new) - 1
@@ -165,31 +167,29 @@ def repeated_stretches(segments: list[bytes], length: int) -> np.ndarray:
 
 
 def _slices(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (rid, at, lo, hi, part, meet): each wanted context with its bytes, once per place where it may meet others."""
-    per_text = wanted.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("at", "lo", "hi", "h"))).alias("spots"))
+    """Rows (rid, lo, part, meet) for each wanted context: pieces that may meet others, with their bytes.
+
+    A string of LENGTH bytes that starts d before the gram belongs to the piece a <= d < a + SLACK. All strings of a piece hold
+    the LENGTH - SLACK bytes whose digest is ``meet``, so equal ones meet there; the piece has what they cover."""
+    per_text = wanted.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("at", "lo", "hi"))).alias("spots"))
     joined = texts.join(per_text.hint("shuffle_hash"), "rid").select("rid", "text", "spots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rid, text, spots in zip(*(batch.column(k) for k in range(3)), strict=True):
-                data, rows = text.as_buffer() if text.is_valid else b"", []
+                data, rows = text.as_buffer().to_pybytes(), set()
                 for s in spots.as_py():
-                    part = bytes(data[s["lo"] : s["hi"]])
-                    gram = s["at"] - s["lo"]
-                    for a in range(0, SIDE, SLACK):
-                        x, y = gram - a, gram + GRAM + SIDE - a - SLACK
-                        if x >= 0 and y <= len(part):
-                            meet = xxhash.xxh3_64_intdigest(part[x:y], seed=a) - 2**63
-                            rows.append((s["at"], s["lo"], s["hi"], part, meet))
+                    for x in range(s["at"], s["at"] - SIDE, -SLACK):
+                        y = x + LENGTH - SLACK
+                        lo, hi = max(s["lo"], x - SLACK + 1), min(s["hi"], x + LENGTH)
+                        if x >= s["lo"] and y <= s["hi"] and hi - lo >= LENGTH:
+                            rows.add((lo, data[lo:hi], xxhash.xxh3_64_intdigest(data[x:y]) - 2**63))
                 if rows:
-                    at, lo, hi, part, meet = zip(*rows, strict=True)
-                    small = [pa.array(c, pa.int32()) for c in (at, lo, hi)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([rid.as_py()] * len(rows), pa.int64()), *small, pa.array(part, pa.binary()), pa.array(meet, pa.int64())],
-                        names=["rid", "at", "lo", "hi", "part", "meet"],
-                    )
+                    lo, part, meet = zip(*sorted(rows), strict=True)
+                    columns = [pa.array([rid.as_py()] * len(rows), pa.int64()), pa.array(lo, pa.int32()), pa.array(part, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(meet, pa.int64())], names=["rid", "lo", "part", "meet"])
 
-    return joined.mapInArrow(run, "rid long, at int, lo int, hi int, part binary, meet long")
+    return joined.mapInArrow(run, "rid long, lo int, part binary, meet long")
 
 
 def _merge(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
@@ -239,7 +239,7 @@ def _indexed(meetings: DataFrame) -> DataFrame:
         if held:
             yield marked()
 
-    dealt = meetings.select("meet", "rid", "lo", "part").repartition("meet").sortWithinPartitions("meet")
+    dealt = meetings.select("meet", "rid", "lo", "part").repartition(F.col("meet")).sortWithinPartitions("meet")
     return dealt.mapInArrow(run, "rid long, lo int, hi int")
 
 
@@ -264,11 +264,11 @@ def _by_digest(slices: DataFrame) -> DataFrame:
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """Spans (rid, lo, hi) of the texts (rid, text) that repeat; together they cover exactly the bytes to remove."""
     found = materialise(anchors(texts))
-    contexts = found.groupBy("h", "c0", "c1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "at", "lo", "hi")).alias("one"))
-    contexts = materialise(contexts)
+    one = [F.first(c).alias(c) for c in ("rid", "at", "lo", "hi")]  # of one row, whichever: its bytes are those of all
+    contexts = materialise(found.groupBy("h", "c0", "c1").agg(F.count(F.lit(1)).alias("n"), *one))
     inside = found.join(contexts.filter("n > 1").select("h", "c0", "c1"), ["h", "c0", "c1"]).select("rid", "lo", "hi")
     several = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("h")
-    rims = contexts.join(several, "h").select("h", "one.*")
+    rims = contexts.join(several, "h").select("rid", "at", "lo", "hi")
     slices = materialise(_slices(texts, rims))
     meetings = slices.groupBy("meet").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     met = materialise(slices.join(meetings, "meet"))
