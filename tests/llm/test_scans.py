@@ -96,7 +96,7 @@ def test_secrets_under_layers(wrapped):
     base, spans = secret_scan.scan(text)
     assert base == []
     ((start, end, kind),) = spans
-    assert kind == "assign" and start == 2 and 0.85 * len(wrapped) <= end - start <= len(wrapped)
+    assert kind == "assign" and start == 2 and 0.8 * len(wrapped) <= end - start <= len(wrapped)
 
 
 def test_base_secrets_and_their_place():
