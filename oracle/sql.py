@@ -6,8 +6,70 @@ later events of the user, where the library takes windows and minima.
 
 from __future__ import annotations
 
-from splitscope import labels as L
-from splitscope.functions.numeric import _ERFC_COEFFICIENTS as _C
+# Chebyshev coefficients of erfc on [0, inf), c0 first.
+_C = (
+    -1.3026537197817094,
+    0.6419697923564902,
+    0.019476473204185836,
+    -0.00956151478680863,
+    -0.000946595344482036,
+    0.000366839497852761,
+    4.2523324806907e-05,
+    -2.0278578112534e-05,
+    -1.624290004647e-06,
+    1.30365583558e-06,
+    1.5626441722e-08,
+    -8.5238095915e-08,
+    6.529054439e-09,
+    5.059343495e-09,
+    -9.91364156e-10,
+    -2.27365122e-10,
+    9.6467911e-11,
+    2.394038e-12,
+    -6.886027e-12,
+    8.94487e-13,
+    3.13092e-13,
+    -1.12708e-13,
+    3.81e-16,
+    7.106e-15,
+    -1.523e-15,
+    -9.4e-17,
+    1.21e-16,
+    -2.8e-17,
+)
+
+
+class L:
+    """The texts of the reports."""
+
+    SIGNIFICANT = "Significant (p < 0.05)"
+    NOT_SIGNIFICANT = "Not Significant (p >= 0.05)"
+    BAYES_STRONG_B = "Strong evidence for Variant B (P > 95%)"
+    BAYES_MODERATE_B = "Moderate evidence for Variant B (P > 90%)"
+    BAYES_STRONG_A = "Strong evidence for Control A (P(B) < 10%)"
+    BAYES_INCONCLUSIVE = "Inconclusive (P ~ 50%)"
+    BAYES_WEAK = "Weak evidence, continue test"
+    EFFECT_NEGLIGIBLE = "Negligible (|h| < 0.2)"
+    EFFECT_SMALL = "Small (0.2 <= |h| < 0.5)"
+    EFFECT_MEDIUM = "Medium (0.5 <= |h| < 0.8)"
+    EFFECT_LARGE = "Large (|h| >= 0.8)"
+    SRM_NAME = "SRM Test Result"
+    SRM_DETECTED = "❌ SRM DETECTED (p < 0.01) - DO NOT TRUST TEST RESULTS"
+    SRM_POSSIBLE = "⚠️ Possible SRM (p < 0.05) - Investigate"
+    SRM_NONE = "✅ No SRM detected (p >= 0.05)"
+    SRM_NO_DATA = "Insufficient data"
+    GUARDRAIL_PASS = "✅ PASS"
+    BOUNCE_FAIL = "❌ FAIL: Bounce rate +5pp"
+    DURATION_FAIL = "❌ FAIL: Duration -20%"
+    CART_FAIL = "❌ FAIL: Abandonment +10pp"
+    LOWER_IS_BETTER = "✅ Variant better (lower is better)"
+    HIGHER_IS_BETTER = "✅ Variant better (higher is better)"
+    VARIANT_WORSE = "❌ Variant worse"
+    DECISION_LAUNCH = "Launch Variant B"
+    DECISION_KEEP = "Keep Control A"
+    DECISION_FOLLOW_UP = "Run Follow-up Test"
+    DECISION_INVALID = "Invalid Test (SRM/Guardrail failure)"
+
 
 SITE = "https://shop.example.com"
 
@@ -238,9 +300,10 @@ def srm_test_select(lead: str = "") -> str:
   FROM parts GROUP BY 1
 )
 SELECT {lead} '{L.SRM_NAME}' AS test_name, x AS chi_square_statistic, df AS degrees_of_freedom,
-  CASE WHEN df = 1 THEN {rnd(erfc_nonnegative('sqrt(x / 2e0)'), 4)} END AS p_value,
-  CASE WHEN x IS NULL THEN '{L.SRM_NO_DATA}' WHEN df <> 1 THEN NULL
-       WHEN x > 6.63e0 THEN '{L.SRM_DETECTED}' WHEN x > 3.84e0 THEN '{L.SRM_POSSIBLE}'
+  CASE df WHEN 1 THEN {rnd(erfc_nonnegative('sqrt(x / 2e0)'), 4)} WHEN 2 THEN {rnd('exp(-x / 2e0)', 4)} END AS p_value,
+  CASE WHEN x IS NULL THEN '{L.SRM_NO_DATA}'
+       WHEN x > CASE df WHEN 1 THEN 6.63e0 WHEN 2 THEN 9.210340371976184e0 END THEN '{L.SRM_DETECTED}'
+       WHEN x > CASE df WHEN 1 THEN 3.84e0 WHEN 2 THEN 5.991464547107979e0 END THEN '{L.SRM_POSSIBLE}'
        ELSE '{L.SRM_NONE}' END AS srm_result
 FROM chi"""
 
@@ -448,7 +511,7 @@ exs AS (SELECT experiment_id, variant, is_control, user_pseudo_id, session_id,
 {GUARD_STATS},
 {pairs('gs', 'gab')},
 tests AS (
-  SELECT experiment_id, b.variant AS variant, COALESCE(abs(z) > 1.96e0, FALSE) AS significant, z,
+  SELECT experiment_id, a.variant AS control, b.variant AS variant, COALESCE(abs(z) > 1.96e0, FALSE) AS significant, z,
          COALESCE({rnd('(pb - pa) / NULLIF(pa, 0) * 100', 2)} >= 15, FALSE) AS effect_ok
   FROM z1
 ),
@@ -459,15 +522,16 @@ rails AS (
       OR COALESCE(b.cart_abandonment_rate_pct > a.cart_abandonment_rate_pct + 10, FALSE)) AS guardrails_ok
   FROM gab
 ),
-splits AS (SELECT experiment_id, COALESCE(SUM(part) <= 6.63e0, FALSE) AS srm_ok FROM parts GROUP BY 1),
+splits AS (SELECT experiment_id, COUNT(*) = 2 AS two, COALESCE(SUM(part) <= CASE COUNT(*) WHEN 2 THEN 6.63e0
+             WHEN 3 THEN 9.210340371976184e0 END, FALSE) AS srm_ok FROM parts GROUP BY 1),
 lengths AS (
   SELECT experiment_id, (MAX(session_start) - MIN(session_start)) / 864e8 >= {min_days or 0} AS long_enough
   FROM u GROUP BY 1
 )
 SELECT s.experiment_id, t.variant, t.significant, t.effect_ok, r.guardrails_ok, s.srm_ok{flag},
   CASE WHEN NOT (s.srm_ok AND r.guardrails_ok) THEN '{L.DECISION_INVALID}'
-       WHEN t.significant AND t.effect_ok{need} THEN '{L.DECISION_LAUNCH}'
-       WHEN t.significant AND z < 0 THEN '{L.DECISION_KEEP}'
+       WHEN t.significant AND t.effect_ok{need} THEN CASE WHEN two THEN '{L.DECISION_LAUNCH}' ELSE 'Launch ' || t.variant END
+       WHEN t.significant AND z < 0 THEN CASE WHEN two THEN '{L.DECISION_KEEP}' ELSE 'Keep ' || control END
        ELSE '{L.DECISION_FOLLOW_UP}' END AS decision
 FROM splits s JOIN tests t ON t.experiment_id = s.experiment_id
 JOIN rails r ON r.experiment_id = t.experiment_id AND r.variant = t.variant
@@ -495,6 +559,9 @@ def statements() -> dict[str, str]:
     )
     in_session = (landing, exposed(USER_SESSION), units(WITHIN))
     channelled = (*by_user, SOURCE, CHANNEL, UNIT_CHANNEL)
+    by_channel = (
+        *channelled, stats("channel").replace("FROM u ", "FROM u2 "), pairs("vs", segment="channel"),
+    )
     test_url = "(page_location LIKE '%/landing-v1%' OR page_location LIKE '%/landing-v2%')"
     lead = "experiment_id,"
 
@@ -516,6 +583,30 @@ def statements() -> dict[str, str]:
             "WHEN page_location LIKE '%/landing-v2%' THEN 'Variant_B' ELSE 'Unknown' END AS experiment_variant "
             "FROM ga4 WHERE event_name = 'page_view' AND page_location LIKE '%/landing%'"
         ),
+        "experiment_page_views_registry": _with(
+            " UNION ALL ".join(
+                "SELECT '{}' AS experiment_id, user_pseudo_id, session_id, page_location, MIN(event_timestamp) AS "
+                "session_start FROM (SELECT *, page_location AS p FROM ga4 WHERE event_name = 'page_view') "
+                "WHERE {} GROUP BY ALL".format(e, " OR ".join(t for x, _, _, _, t in REGISTRY if x == e))
+                for e in dict.fromkeys(x for x, *_ in REGISTRY)
+            )
+        ),
+        "classify_variants_registry": _with(
+            " UNION ALL ".join(
+                "SELECT DISTINCT '{}' AS experiment_id, user_pseudo_id, session_id, page_location, CASE {} ELSE 'Unknown' END "
+                "AS experiment_variant FROM (SELECT *, page_location AS p FROM ga4 WHERE event_name = 'page_view') "
+                "WHERE p LIKE '%/landing%'".format(
+                    e, " ".join(f"WHEN {t} THEN '{v}'" for x, v, _, _, t in REGISTRY if x == e)
+                )
+                for e in dict.fromkeys(x for x, *_ in REGISTRY)
+            )
+        ),
+        "sample_size_registry": _with(views(REGISTRY), exposed(USER), units(), sample_size("u", "experiment_id")),
+        "bayes_test_by_channel": _with(*by_channel, BAYES, bayes_select("channel,")),
+        "effect_size_by_channel": _with(*by_channel, EFFECT, effect_select("channel,")),
+        "test_pages_uncut": _with(
+            BY_URL.replace("LIMIT 50", ""), BY_PARAM.replace("LIMIT 50", ""), BOTH_METHODS
+        ),
         "exposures": _with(
             landing, exposed(USER), "SELECT user_pseudo_id, variant, session_start FROM ex"
         ),

@@ -5,7 +5,6 @@ from splitscope.config import (
     Arm,
     Experiment,
     GuardrailLimits,
-    HotKeyPolicy,
     PowerSettings,
 )
 from splitscope.plans.study import Study
@@ -15,7 +14,6 @@ __all__ = [
     "Arm",
     "Experiment",
     "GuardrailLimits",
-    "HotKeyPolicy",
     "PowerSettings",
     "Study",
 ]

@@ -104,21 +104,3 @@ class PowerSettings:
         """Settings whose quantiles follow from the levels (two-sided test)."""
         normal = NormalDist()
         return cls(alpha, power, normal.inv_cdf(1 - alpha / 2), normal.inv_cdf(power))
-
-
-@dataclass(frozen=True)
-class HotKeyPolicy:
-    """When a user's events stop fitting one window partition.
-
-    Users are hashed into ``buckets``. The users of a bucket with more than
-    ``min_rows`` events, and more than ``times_average`` the average bucket,
-    are handled in blocks of ``block_micros``. At most ``buckets /
-    times_average`` buckets can be that large, which bounds the broadcast list,
-    and a user outside them has at most ``min_rows`` events or ``times_average
-    / buckets`` of all events. Results do not depend on these numbers.
-    """
-
-    min_rows: int = 1_000_000
-    buckets: int = 65_536
-    times_average: int = 4
-    block_micros: int = 1_000_000

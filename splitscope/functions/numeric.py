@@ -3,6 +3,8 @@ round reciprocals to a few places and shift the test statistics."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,3 +90,17 @@ def erfc(x: Column) -> Column:
 
 def normal_cdf(x: Column) -> Column:
     return F.lit(0.5) * erfc(-x / F.lit(SQRT_2))
+
+
+def chi_square_tail(x: Column, df: int) -> Column:
+    """Probability of a chi-square value above ``x``. For whole degrees of
+    freedom the tail is a finite sum: of ``exp(-x/2) (x/2)^k / k!`` from k = 0
+    on for even ones, of half-integer steps after an ``erfc`` for odd ones."""
+    half = x / F.lit(2.0)
+    odd = df % 2
+    total = erfc(F.sqrt(half)) if odd else F.lit(0.0)
+    for k in range(df // 2):
+        power = k + odd / 2
+        term = F.exp(-half) * F.pow(half, F.lit(power)) / F.lit(math.gamma(power + 1))
+        total = total + term
+    return total

@@ -33,5 +33,7 @@ UNKNOWN_VARIANT = "Unknown"
 
 DECISION_LAUNCH = "Launch Variant B"
 DECISION_KEEP = "Keep Control A"
+LAUNCH_ARM = "Launch "
+KEEP_ARM = "Keep "
 DECISION_FOLLOW_UP = "Run Follow-up Test"
 DECISION_INVALID = "Invalid Test (SRM/Guardrail failure)"

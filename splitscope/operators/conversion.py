@@ -5,49 +5,58 @@ exposure``. Both sides are plain maxima and minima per user, so one pass over
 the events and one shuffle of partial aggregates do the work of the join of
 exposures with all later events; a user with very many events costs no more
 than any other after the map side.
+
+An exposure without a time comes after nothing: its user stays, unconverted.
 """
 
 from __future__ import annotations
 
+import json
+
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from splitscope.config import (
     BOTH,
     CROSSOVERS,
     EXCLUDE,
+    FIRST,
     LANDING_PAGE,
     SCOPES,
     SESSION,
     USER_FORWARD,
+    Experiment,
     Experiments,
-    as_registry,
     experiment_keys,
 )
 from splitscope.functions.urls import variant_label
 from splitscope.operators.events import pinned
+from splitscope.operators.exposure import arm_column
 
 USER = "user_pseudo_id"
+NEVER = 2**63 - 1
 
 
-def _kept(firsts: list[Column], arm: int, crossover: str) -> Column:
-    """Whether a user counts in this arm, given the first exposure times of
-    all arms of the experiment."""
-    present = firsts[arm].isNotNull()
+def _kept(firsts: list[Column], seen: list[Column], arm: int, crossover: str) -> Column:
+    """Whether a user counts in this arm, given for all arms of the experiment
+    whether they were seen and when first."""
     if crossover == BOTH:
-        return present
-    others = [(j, f) for j, f in enumerate(firsts) if j != arm]
+        return seen[arm]
+    others = [(j, f, s) for j, (f, s) in enumerate(zip(firsts, seen, strict=True)) if j != arm]
     if crossover == EXCLUDE:
-        return reduce(and_, [f.isNull() for _, f in others], present)
-    # First arm seen; at the same instant, the arm listed first.
+        return reduce(and_, [~s for _, _, s in others], seen[arm])
+    # First arm seen; at the same instant, the arm listed first; without a time, last.
+    mine = F.coalesce(firsts[arm], F.lit(NEVER))
     earlier = [
-        f.isNull() | ((f > firsts[arm]) if j < arm else (f >= firsts[arm])) for j, f in others
+        ~s | ((F.coalesce(f, F.lit(NEVER)) > mine) if j < arm else (F.coalesce(f, F.lit(NEVER)) >= mine))
+        for j, f, s in others
     ]
-    return reduce(and_, earlier, present)
+    return reduce(and_, earlier, seen[arm])
 
 
 def attributed_units(
@@ -69,69 +78,115 @@ def attributed_units(
     """
     if scope not in SCOPES or crossover not in CROSSOVERS:
         raise ValueError(f"unknown scope {scope!r} or crossover {crossover!r}")
-    registry = as_registry(experiments)
-    arms = [(i, e, a) for i, e in enumerate(registry) for a in e.arms]
-    name, location, ts = F.col("event_name"), F.col("page_location"), F.col("event_timestamp")
+    if isinstance(experiments, Experiment):
+        return _wide_units(flat, experiments, scope, crossover, carry)
+    return _long_units(flat, experiments, scope, crossover, carry)
+
 
+def _moment(carry: Sequence[str]) -> Column:
+    """The time of an exposure with the carried columns behind it, so that the
+    minimum is the first one; those without a time come last."""
+    ts = F.col("event_timestamp")
+    return F.struct(ts.isNull().alias("untimed"), ts, *carry)
+
+
+def _wide_units(
+    flat: DataFrame, experiment: Experiment, scope: str, crossover: str, carry: Sequence[str]
+) -> DataFrame:
+    """One experiment: its few arms side by side, in one shuffle."""
+    arms = [a.variant for a in experiment.arms]
+    name, ts = F.col("event_name"), F.col("event_timestamp")
     is_view, is_purchase = name == "page_view", name == "purchase"
-    seen = [F.when(is_view, variant_label(location, e)) for e in registry]
     tagged = pinned(
         flat.where(is_view | is_purchase),
         is_purchase.alias("is_purchase"),
-        *[v.alias(f"v{i}") for i, v in enumerate(seen)],
+        F.when(is_view, variant_label(F.col("page_location"), experiment)).alias("arm"),
     )
-    relevant = reduce(or_, [F.col(f"v{i}").isNotNull() for i in range(len(registry))])
-    tagged = tagged.where(F.col("is_purchase") | relevant)
-
-    # The exposure row, as its bare time or with the carried columns behind it.
-    moment = F.struct(ts, *carry) if carry else ts
+    tagged = tagged.where(F.col("is_purchase") | F.col("arm").isNotNull())
+    moment = _moment(carry) if carry else ts
 
     def time_of(c: Column) -> Column:
         return c["event_timestamp"] if carry else c
 
+    numbers = range(len(arms))
     keys = [USER, "session_id"] if scope == SESSION else [USER]
+    in_arm = [F.col("arm") == a for a in arms]
     per_key = tagged.groupBy(*keys).agg(
         F.max(F.when(F.col("is_purchase"), ts)).alias("last_purchase"),
-        *[
-            F.min(F.when(F.col(f"v{i}") == a.variant, moment)).alias(f"first{n}")
-            for n, (i, _, a) in enumerate(arms)
-        ],
+        *[F.min(F.when(in_arm[n], moment)).alias(f"first{n}") for n in numbers],
+        *[F.coalesce(F.max(in_arm[n]), F.lit(False)).alias(f"seen{n}") for n in numbers],
     )
     bought = [
-        F.coalesce(
-            F.col(USER).isNotNull() & (F.col("last_purchase") >= time_of(F.col(f"first{n}"))),
-            F.lit(False),
-        )
-        for n in range(len(arms))
+        F.col(USER).isNotNull() & (F.col("last_purchase") >= time_of(F.col(f"first{n}"))) for n in numbers
     ]
     per_key = per_key.select(
         USER,
-        *[f"first{n}" for n in range(len(arms))],
-        *[b.cast("int").alias(f"bought{n}") for n, b in enumerate(bought)],
+        *[c for n in numbers for c in (f"first{n}", f"seen{n}")],
+        *[F.coalesce(b, F.lit(False)).cast("int").alias(f"bought{n}") for n, b in enumerate(bought)],
     )
     if scope == SESSION:
         per_key = per_key.groupBy(USER).agg(
-            *[F.min(f"first{n}").alias(f"first{n}") for n in range(len(arms))],
-            *[F.max(f"bought{n}").alias(f"bought{n}") for n in range(len(arms))],
+            *[F.min(f"first{n}").alias(f"first{n}") for n in numbers],
+            *[F.max(f"{c}{n}").alias(f"{c}{n}") for n in numbers for c in ("seen", "bought")],
         )
-
-    units = []
-    for n, (i, e, a) in enumerate(arms):
-        siblings = [m for m, (j, _, _) in enumerate(arms) if j == i]
-        firsts = [time_of(F.col(f"first{m}")) for m in siblings]
-        first = F.col(f"first{n}")
-        unit = F.struct(
-            F.lit(e.experiment_id).alias("experiment_id"),
-            F.lit(a.variant).alias("variant"),
-            time_of(first).alias("session_start"),
-            *[first[c].alias(c) for c in carry],
-            F.col(f"bought{n}").alias("converted"),
+    firsts = [time_of(F.col(f"first{n}")) for n in numbers]
+    seen = [F.col(f"seen{n}") for n in numbers]
+    units = [
+        F.when(
+            _kept(firsts, seen, n, crossover),
+            F.struct(
+                F.lit(arms[n]).alias("variant"),
+                firsts[n].alias("session_start"),
+                *[F.col(f"first{n}")[c].alias(c) for c in carry],
+                F.col(f"bought{n}").alias("converted"),
+            ),
         )
-        units.append(F.when(_kept(firsts, siblings.index(n), crossover), unit))
+        for n in numbers
+    ]
     rows = per_key.select(USER, F.inline_outer(F.array(*units)))
-    return rows.where(F.col("variant").isNotNull()).select(
-        *experiment_keys(experiments), USER, "variant", "session_start", *carry, "converted"
+    return rows.where(F.col("variant").isNotNull()).select(USER, "variant", "session_start", *carry, "converted")
+
+
+def _long_units(
+    flat: DataFrame, experiments: Sequence[Experiment], scope: str, crossover: str, carry: Sequence[str]
+) -> DataFrame:
+    """A registry: a row per user, experiment and variant from the first
+    aggregation on, so that the plan is the same for any number of experiments.
+    A user's purchases are a row of their own beside them."""
+    name, ts = F.col("event_name"), F.col("event_timestamp")
+    is_view, is_purchase = name == "page_view", name == "purchase"
+    tagged = pinned(
+        flat.where(is_view | is_purchase),
+        is_purchase.alias("is_purchase"),
+        F.when(is_view, arm_column(experiments)).alias("arms"),
     )
+    tagged = tagged.where(F.col("is_purchase") | (F.size("arms") > 0))
+    keys = [USER, "session_id"] if scope == SESSION else [USER]
+    used = [*dict.fromkeys([*keys, *carry]), "event_timestamp"]
+    rows = tagged.select(*used, F.inline_outer("arms"))
+    per_arm = rows.groupBy(*keys, "experiment_id", "variant").agg(F.min(_moment(carry)).alias("first"), F.max(ts).alias("last"))
+    purchase = F.max(F.when(F.col("variant").isNull(), F.col("last"))).over(W.partitionBy(*keys))
+    timed = per_arm.withColumn("last_purchase", purchase).where(F.col("variant").isNotNull())
+    bought = F.col(USER).isNotNull() & (F.col("last_purchase") >= F.col("first.event_timestamp"))
+    units = timed.select(
+        USER, "experiment_id", "variant", "first", F.coalesce(bought, F.lit(False)).cast("int").alias("converted")
+    )
+    if scope == SESSION:
+        units = units.groupBy(USER, "experiment_id", "variant").agg(
+            F.min("first").alias("first"), F.max("converted").alias("converted")
+        )
+    arms = W.partitionBy(USER, "experiment_id")
+    if crossover == EXCLUDE:
+        units = units.withColumn("arms", F.count("*").over(arms)).where("arms = 1")
+    elif crossover == FIRST:
+        places = {f"{e.experiment_id}\x01{a.variant}": i for e in experiments for i, a in enumerate(e.arms)}
+        place = F.from_json(F.lit(json.dumps(places)), "map<string,int>")[F.concat_ws("\x01", "experiment_id", "variant")]
+        order = arms.orderBy("first.untimed", "first.event_timestamp", place)
+        units = units.withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    return units.select(
+        "experiment_id", USER, "variant", F.col("first.event_timestamp").alias("session_start"),
+        *[F.col(f"first.{c}").alias(c) for c in carry], "converted",
+    )
 
 
 def conversions(

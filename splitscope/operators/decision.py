@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitscope import labels
-from splitscope.operators.srm import CHI2_1PCT
 
 KEY, ARM = "experiment_id", "variant"
 MICROS_PER_DAY = 86_400e6
@@ -44,7 +43,8 @@ def launch_decision(
     well as the effect size does, reaches the minimum. A
     broken split or guardrail makes the test invalid; a significant and big
     enough lift launches the variant, a significant loss keeps the control, and
-    anything else asks for a follow-up test. A missing figure counts as a
+    anything else asks for a follow-up test. With more than two arms the texts name
+    the arm. A missing figure counts as a
     condition not met. With ``lengths`` (see :func:`run_lengths`) a launch also
     needs a test of at least ``min_days``, told by a column ``long_enough``.
     """
@@ -54,12 +54,12 @@ def launch_decision(
         significant=F.col("significance") == labels.SIGNIFICANT,
         effect_ok=big_enough,
         z_score=F.col("z_score"),
+        control=F.col("control_name"),
     )
     checks = [F.col(c) == labels.GUARDRAIL_PASS for c in ("bounce_check", "duration_check", "cart_check")]
     rails = _small(guardrail_checks, guardrails_ok=reduce(and_, checks))
-    splits = srm_tests.select(
-        KEY, (F.col("chi_square_statistic") <= CHI2_1PCT).alias("srm_ok")
-    )
+    sound = F.col("srm_result").isin(labels.SRM_NONE, labels.SRM_POSSIBLE)
+    splits = srm_tests.select(KEY, sound.alias("srm_ok"), (F.col("degrees_of_freedom") == 1).alias("two_arms"))
     joined = splits.join(tests, KEY, "left").join(rails, [KEY, ARM], "left")
     flags = ["significant", "effect_ok", "guardrails_ok", "srm_ok"]
     ready = F.col("significant") & F.col("effect_ok")
@@ -70,10 +70,14 @@ def launch_decision(
         ready = ready & F.col("long_enough")
     joined = joined.withColumns({f: F.coalesce(F.col(f), F.lit(False)) for f in flags})
     valid = F.col("srm_ok") & F.col("guardrails_ok")
+
+    def named(of_two: str, verb: str, arm: str) -> Column:
+        return F.when(F.col("two_arms"), of_two).otherwise(F.concat(F.lit(verb), F.col(arm)))
+
     decision = (
         F.when(~valid, labels.DECISION_INVALID)
-        .when(ready, labels.DECISION_LAUNCH)
-        .when(F.col("significant") & (F.col("z_score") < 0), labels.DECISION_KEEP)
+        .when(ready, named(labels.DECISION_LAUNCH, labels.LAUNCH_ARM, ARM))
+        .when(F.col("significant") & (F.col("z_score") < 0), named(labels.DECISION_KEEP, labels.KEEP_ARM, "control"))
         .otherwise(labels.DECISION_FOLLOW_UP)
     )
     return joined.select(KEY, ARM, *flags, decision.alias("decision"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from splitscope.config import (
     experiment_keys,
 )
 from splitscope.functions.urls import contains_any, variant_label
-from splitscope.operators.events import page_views, pin_column
+from splitscope.operators.events import page_views, pin_column, pinned
 
 # Fixed value: any landing page, tested or not.
 LANDING_FRAGMENT = "/landing"
@@ -24,13 +26,35 @@ def arm_column(experiments: Experiments) -> Column:
     """What a page view exposes its user to, as one small column.
 
     A label for a single experiment; for a registry an array with one
-    ``(experiment_id, variant)`` per experiment that the URL belongs to.
+    ``(experiment_id, variant)`` per experiment that the URL belongs to. The
+    registry is one literal, so the plan does not grow with it.
     """
     location = F.col("page_location")
     if isinstance(experiments, Experiment):
         return variant_label(location, experiments)
-    labelled = F.array(*[_tag(location, e) for e in as_registry(experiments)])
-    return F.filter(labelled, lambda tag: tag["variant"].isNotNull())
+
+    def tag(experiment: Column) -> Column:
+        arms = F.filter(experiment["arms"], lambda a: location.contains(a["fragment"]))
+        return F.struct(
+            experiment["experiment_id"].alias("experiment_id"),
+            F.get(arms, F.lit(0))["variant"].alias("variant"),
+        )
+
+    tags = F.transform(_literal(as_registry(experiments)), tag)
+    return F.filter(tags, lambda t: t["variant"].isNotNull())
+
+
+def _literal(registry: tuple[Experiment, ...]) -> Column:
+    """The registry as one constant array of experiments with their arms in order."""
+    rows = [
+        {
+            "experiment_id": e.experiment_id,
+            "arms": [{"fragment": a.url_contains, "variant": a.variant} for a in e.arms],
+        }
+        for e in registry
+    ]
+    shape = "array<struct<experiment_id:string,arms:array<struct<fragment:string,variant:string>>>>"
+    return F.from_json(F.lit(json.dumps(rows)), shape)
 
 
 def has_arm(arm: str, experiments: Experiments) -> Column:
@@ -47,18 +71,14 @@ def spread_arms(frame: DataFrame, arm: str, experiments: Experiments) -> DataFra
     return frame.select(*others, F.inline(arm))
 
 
-def _tag(location: Column, experiment: Experiment) -> Column:
-    return F.struct(
-        F.lit(experiment.experiment_id).alias("experiment_id"),
-        variant_label(location, experiment).alias("variant"),
-    )
-
-
 def exposed_views(flat: DataFrame, experiments: Experiments = LANDING_PAGE) -> DataFrame:
     """Page views of tested pages with ``experiment_id, variant``."""
-    tags = F.array(*[_tag(F.col("page_location"), e) for e in as_registry(experiments)])
-    views = page_views(flat).select("*", F.inline_outer(tags))
-    return views.where(F.col("variant").isNotNull())
+    views = page_views(flat)
+    if isinstance(experiments, Experiment):
+        name = F.lit(experiments.experiment_id).alias("experiment_id")
+        named = pinned(views, name, arm_column(experiments).alias("variant"))
+        return named.where(F.col("variant").isNotNull())
+    return views.select("*", F.inline(arm_column(experiments)))
 
 
 def exposures(
@@ -75,36 +95,42 @@ def exposures(
 
 
 def experiment_page_views(
-    flat: DataFrame, experiment: Experiment = LANDING_PAGE, limit: int | None = None
+    flat: DataFrame, experiments: Experiments = LANDING_PAGE, limit: int | None = None
 ) -> DataFrame:
-    """First view per user, session and tested page. A ``limit`` keeps the
-    first rows in key order."""
-    keys = ["user_pseudo_id", "session_id", "page_location"]
-    fragments = [a.url_contains for a in experiment.arms]
-    found = (
-        pin_column(page_views(flat), "page_location")
-        .where(contains_any(F.col("page_location"), fragments))
-        .groupBy(*keys)
-        .agg(F.min("event_timestamp").alias("session_start"))
-    )
+    """First view per user, session and tested page; over a registry, per
+    experiment that tests the page. A ``limit`` keeps the first rows in key order."""
+    keys = [*experiment_keys(experiments), "user_pseudo_id", "session_id", "page_location"]
+    views = pin_column(page_views(flat), "page_location")
+    if isinstance(experiments, Experiment):
+        fragments = [a.url_contains for a in experiments.arms]
+        tested = views.where(contains_any(F.col("page_location"), fragments))
+    else:
+        tested = views.select("*", F.inline(arm_column(experiments)))
+    found = tested.groupBy(*keys).agg(F.min("event_timestamp").alias("session_start"))
     return found if limit is None else found.orderBy(*keys).limit(limit)
 
 
 def classify_variants(
-    flat: DataFrame, experiment: Experiment = LANDING_PAGE, limit: int | None = None
+    flat: DataFrame, experiments: Experiments = LANDING_PAGE, limit: int | None = None
 ) -> DataFrame:
     """Distinct user, session and landing page, with the page's variant or
-    ``Unknown`` for a landing page outside the test."""
+    ``Unknown`` for a landing page outside the test; over a registry, one row
+    per experiment."""
     keys = ["user_pseudo_id", "session_id", "page_location"]
-    location = F.col("page_location")
-    found = (
+    unknown = F.lit(labels.UNKNOWN_VARIANT)
+    pages = (
         pin_column(page_views(flat), "page_location")
-        .where(location.contains(LANDING_FRAGMENT))
+        .where(F.col("page_location").contains(LANDING_FRAGMENT))
         .select(*keys)
         .distinct()
-        .withColumn(
-            "experiment_variant",
-            F.coalesce(variant_label(location, experiment), F.lit(labels.UNKNOWN_VARIANT)),
-        )
     )
+    if isinstance(experiments, Experiment):
+        found = pages.withColumn("experiment_variant", F.coalesce(arm_column(experiments), unknown))
+    else:
+        ids = F.array(*[F.lit(e.experiment_id) for e in as_registry(experiments)])
+        variants = F.map_from_entries(arm_column(experiments))
+        keys = ["experiment_id", *keys]
+        found = pages.withColumns({"_variants": variants, "experiment_id": F.explode(ids)}).select(
+            *keys, F.coalesce(F.col("_variants")[F.col("experiment_id")], unknown).alias("experiment_variant")
+        )
     return found if limit is None else found.orderBy(*keys).limit(limit)

@@ -2,17 +2,15 @@
 
 The metrics of an exposure are suffix totals: counts over all events of the
 user at or after the first exposure. Instead of joining every exposure with
-every later event of its user, a running total from the newest event backwards
-is attached to each event, and the exposure reads it off its own row. Suffix
-counts never grow with time, so the value at the first exposure is simply the
-maximum over the exposure's rows. For ordinary users this takes one shuffle,
-on the user, which the aggregation after the window reuses.
-
-Users whose events may not fit one task (see ``HotKeyPolicy``) are cut into
-blocks of time: totals are summed up to the microsecond first, running totals
-are taken inside each block, and the totals of later blocks are added. Neither
-level can hold more than ``block_micros`` rows or the number of blocks in the
-date range, whatever the data. Nothing is dropped or sampled in either form.
+every later event of its user, running totals from the newest event backwards
+are attached to the exposing views. Suffix counts never grow with time, so the
+value at the first exposure is simply the maximum over the exposure's rows.
+
+Users are handled in blocks of one minute, all of them alike: running totals
+are taken inside each block, the totals of later blocks are running totals over
+one row per block, and the two are added. So no user's events meet in one task,
+only those of a minute, and one row for each minute in which there are any.
+Events are read and shuffled once; both levels start from that shuffle.
 """
 
 from __future__ import annotations
@@ -20,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from splitscope.config import (
@@ -29,7 +26,6 @@ from splitscope.config import (
     SESSION,
     USER_FORWARD,
     Experiments,
-    HotKeyPolicy,
     experiment_keys,
 )
 from splitscope.functions.numeric import round_half_away
@@ -49,16 +45,18 @@ COUNTERS = tuple(COUNTED_EVENTS)
 TS, LAST = "event_timestamp", "last_ts"
 USER = "user_pseudo_id"
 MICROS_PER_MINUTE = 60_000_000
+BLOCK_MICROS = MICROS_PER_MINUTE
 
 
 def _indicators() -> dict[str, Column]:
-    """Per-event 0/1 columns behind the counters."""
+    """Per-event 0/1 columns behind the counters. Events without a time come
+    after no exposure, and those without a user belong to none."""
 
     def listed(names: Sequence[str]) -> str:
         return ", ".join(f"'{n}'" for n in names)
 
     return {
-        counter: F.expr(f"bigint(coalesce(event_name IN ({listed(names)}), false))")
+        counter: F.expr(f"bigint(coalesce(event_name IN ({listed(names)}), false) AND _counts)")
         for counter, names in COUNTED_EVENTS.items()
     }
 
@@ -67,134 +65,60 @@ def _per_counter(template: str) -> list[Column]:
     return [F.expr(template.format(c)).alias(c) for c in COUNTERS]
 
 
-def _bucket(keys: Sequence[str], policy: HotKeyPolicy) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(policy.buckets))
-
-
-def _hot_buckets(flat: DataFrame, keys: Sequence[str], policy: HotKeyPolicy) -> DataFrame:
-    """Buckets of users above the limits.
+def session_metrics(
+    flat: DataFrame,
+    experiments: Experiments = LANDING_PAGE,
+    scope: str = USER_FORWARD,
+) -> DataFrame:
+    """Metrics per variant, session and user, from the first exposure on.
 
-    Counts of buckets, not of users: every task sends on at most one row per
-    bucket, the total is taken over that many rows, and only the key columns
-    are read.
+    With ``scope='session'`` only events of the same session count (events
+    without a session id form one session). Exposures without a user id or
+    without any time match no events: they keep zero counts and no duration.
     """
-    sizes = flat.groupBy(_bucket(keys, policy).alias("bucket")).agg(F.count("*").alias("n"))
-    limit = policy.times_average * F.sum("n").over(W.partitionBy())
-    return (
-        sizes.withColumn("limit", limit)
-        .where((F.col("n") > policy.min_rows) & (F.col("n") * policy.buckets > F.col("limit")))
-        .select("bucket")
-    )
-
-
-def _first_rows(rows: DataFrame, experiments: Experiments, *values: Column) -> DataFrame:
-    keys = [*experiment_keys(experiments), USER, "session_id", "variant"]
-    return (
-        spread_arms(rows, "_arm", experiments)
-        .groupBy(*keys)
-        .agg(F.min(TS).alias("session_start"), *values)
-    )
-
-
-def _ordinary(events: DataFrame, keys: Sequence[str], experiments: Experiments) -> DataFrame:
-    """Suffix totals of keys that fit one window partition."""
-    backwards = (
-        f"(PARTITION BY {', '.join(keys)} ORDER BY {TS} DESC "
-        "RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    )
+    if scope not in SCOPES:
+        raise ValueError(f"unknown scope {scope!r}")
+    # Rows without a user are dealt out by what else they have; nothing is counted for them.
+    nobody = F.when(F.col(USER).isNull(), F.xxhash64("session_id", TS))
+    seen = F.when(F.col("event_name") == "page_view", arm_column(experiments))
+    counts = F.col(USER).isNotNull() & F.col(TS).isNotNull()
+    block = F.floor(F.col(TS) / BLOCK_MICROS)
+    events = pinned(flat, seen.alias("_arm")).select(
+        USER, "session_id", TS, "event_name", "_arm",
+        nobody.alias("_nobody"), counts.alias("_counts"), block.alias("_block"),
+    )
+    keys = [USER, "_nobody", *(["session_id"] if scope == SESSION else [])]
     # Shuffled before the counters are made: the name travels, not six longs.
-    local = events.repartition(*keys).withColumns(_indicators())
-    totals = local.select(
-        USER,
-        "session_id",
-        TS,
-        "_arm",
-        *_per_counter(f"sum({{}}) OVER {backwards}"),
-        F.expr(f"max({TS}) OVER {backwards}").alias(LAST),
-    ).where(has_arm("_arm", experiments))
-    return _first_rows(totals, experiments, *_per_counter("max({})"), F.max(LAST).alias(LAST))
-
-
-def _in_blocks(
-    events: DataFrame, keys: Sequence[str], experiments: Experiments, policy: HotKeyPolicy
-) -> DataFrame:
-    """Suffix totals of hot keys, in blocks of time."""
+    local = events.repartition(*keys, "_block").withColumns(_indicators())
     by = ", ".join(keys)
-    ticks = (
-        events.withColumns(_indicators())
-        .withColumn("block", F.floor(F.col(TS) / policy.block_micros))
-        .groupBy(*keys, "block", TS)
-        .agg(*_per_counter("sum({})"))
-    )
     inside = (
-        f"(PARTITION BY {by}, block ORDER BY {TS} DESC "
-        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    )
-    running = ticks.select(
-        *keys,
-        "block",
-        TS,
-        *_per_counter(f"sum({{}}) OVER {inside}"),
-        F.expr(f"max({TS}) OVER {inside}").alias(LAST),
+        f"(PARTITION BY {by}, _block ORDER BY {TS} DESC "
+        "RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     )
-    blocks = ticks.groupBy(*keys, "block").agg(*_per_counter("sum({})"), F.max(TS).alias(LAST))
+    own = [USER, "_nobody", "session_id", TS, "_block", "_arm", "_counts"]
+    running = local.select(
+        *own, *_per_counter(f"sum({{}}) OVER {inside}"), F.expr(f"max({TS}) OVER {inside}").alias(LAST)
+    ).where(has_arm("_arm", experiments))
     later = (
-        f"(PARTITION BY {by} ORDER BY block DESC "
+        f"(PARTITION BY {by} ORDER BY _block DESC "
         "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     )
+    blocks = local.where("_counts").groupBy(*keys, "_block").agg(*_per_counter("sum({})"), F.max(TS).alias(LAST))
     after = blocks.selectExpr(
-        *[f"{k} AS b_{k}" for k in [*keys, "block"]],
+        *[f"{k} AS b_{k}" for k in [*keys, "_block"]],
         *[f"sum({c}) OVER {later} AS later_{c}" for c in COUNTERS],
         f"max({LAST}) OVER {later} AS later_{LAST}",
     )
-    same_block = F.expr(" AND ".join(f"{k} <=> b_{k}" for k in [*keys, "block"]))
-    suffix = running.join(after, same_block).selectExpr(
-        *[f"{k} AS s_{k}" for k in keys],
-        f"{TS} AS s_ts",
-        *[f"{c} + coalesce(later_{c}, 0) AS {c}" for c in COUNTERS],
-        f"greatest({LAST}, later_{LAST}) AS {LAST}",
-    )
-    starts = _first_rows(events, experiments)
-    at_start = F.expr(" AND ".join(["session_start = s_ts", *[f"{k} <=> s_{k}" for k in keys]]))
-    return starts.join(suffix, at_start).drop(*[f"s_{k}" for k in keys], "s_ts")
-
-
-def session_metrics(
-    flat: DataFrame,
-    experiments: Experiments = LANDING_PAGE,
-    scope: str = USER_FORWARD,
-    hot: HotKeyPolicy = HotKeyPolicy(),
-) -> DataFrame:
-    """Metrics per variant, session and user, from the first exposure on.
-
-    With ``scope='session'`` only events of the same session count (events
-    without a session id form one session). Rows without a user id match no
-    events: they keep zero counts and no duration. Rows without a time are
-    left out.
-    """
-    if scope not in SCOPES:
-        raise ValueError(f"unknown scope {scope!r}")
-    keys = [USER, "session_id"] if scope == SESSION else [USER]
-    is_view = F.col("event_name") == "page_view"
-    seen = F.when(is_view, arm_column(experiments)).alias("_arm")
-    columns = [USER, "session_id", TS, "event_name", "_arm"]
-    flat = flat.where(F.col(TS).isNotNull())
-    known = flat.where(F.col(USER).isNotNull())
-    hot_buckets = F.broadcast(_hot_buckets(known, keys, hot))
-    hashed = known.withColumn("bucket", _bucket(keys, hot))
-    ordinary = hashed.join(hot_buckets, "bucket", "left_anti").select("*", seen)
-    heavy = pinned(hashed.join(hot_buckets, "bucket", "left_semi"), seen)
-    unknown = pinned(flat.where(F.col(USER).isNull() & is_view), seen)
-    anonymous = _first_rows(
-        unknown.select(columns),
-        experiments,
-        *[F.lit(0).cast("bigint").alias(c) for c in COUNTERS],
-        F.lit(None).cast("bigint").alias(LAST),
-    )
+    same = " AND ".join(f"{k} {'<=>' if k == 'session_id' else '='} b_{k}" for k in [*keys, "_block"] if k != "_nobody")
+    suffix = running.join(after, F.expr(same), "left").select(
+        USER, "session_id", TS, "_arm",
+        *_per_counter("{0} + coalesce(later_{0}, 0)"),
+        F.expr(f"CASE WHEN _counts THEN greatest({LAST}, later_{LAST}) END").alias(LAST),
+    )
     totals = (
-        _ordinary(ordinary.select(columns), keys, experiments)
-        .unionByName(_in_blocks(heavy.select(columns), keys, experiments, hot))
-        .unionByName(anonymous)
+        spread_arms(suffix, "_arm", experiments)
+        .groupBy(*experiment_keys(experiments), USER, "session_id", "variant")
+        .agg(F.min(TS).alias("session_start"), *_per_counter("max({})"), F.max(LAST).alias(LAST))
     )
     minutes = (F.col(LAST) - F.col("session_start")).cast("double") / F.lit(float(MICROS_PER_MINUTE))
     return totals.select(

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from splitscope import labels
 from splitscope.config import LANDING_PAGE, Experiment, Experiments, as_registry
-from splitscope.functions.numeric import erfc, percent, ratio, round_half_away
+from splitscope.functions.numeric import chi_square_tail, percent, ratio, round_half_away
 from splitscope.operators.exposure import exposed_views
 
-# Chi-square limits, one degree of freedom, for 1% and 5%.
+# Chi-square limits of a two-arm split for 1% and 5%.
 CHI2_1PCT, CHI2_5PCT = 6.63, 3.84
+# The same levels as probabilities, for splits of more arms.
+LEVEL_1PCT, LEVEL_5PCT = 0.01, 0.05
 
 
 def srm_counts(flat: DataFrame, experiments: Experiments = LANDING_PAGE) -> DataFrame:
@@ -94,12 +96,16 @@ def srm_split(counts: DataFrame, experiments: Experiments = LANDING_PAGE) -> Dat
     )
 
 
+def _beyond(chi2: Column, df: Column, tail: Column, limit: float, level: float) -> Column:
+    return F.when(df == 1, chi2 > limit).otherwise(tail < level)
+
+
 def srm_test(counts: DataFrame, experiments: Experiments = LANDING_PAGE) -> DataFrame:
     """Chi-square test of the split, from :func:`srm_counts`.
 
     An arm that nobody saw counts with zero users; without any user at all the
-    statistic is NULL and the verdict says so. The p-value and the verdict are
-    those of one degree of freedom; with more than two arms both are NULL.
+    statistic is NULL and the verdict says so. With two arms the verdict follows
+    the limits of the statistic, with more the p-value of its degrees of freedom.
     """
     tested = (
         _components(counts, experiments)
@@ -109,13 +115,13 @@ def srm_test(counts: DataFrame, experiments: Experiments = LANDING_PAGE) -> Data
             (F.count("*") - 1).cast("int").alias("degrees_of_freedom"),
         )
     )
-    chi2 = F.col("chi_square_statistic")
-    two_arms = F.col("degrees_of_freedom") == 1
-    p_value = round_half_away(erfc(F.sqrt(chi2 / F.lit(2.0))), 4)
+    chi2, df = F.col("chi_square_statistic"), F.col("degrees_of_freedom")
+    sizes = {len(e.arms) - 1 for e in as_registry(experiments)}
+    tail = F.coalesce(*[F.when(df == n, chi_square_tail(chi2, n)) for n in sorted(sizes)])
     verdict = (
         F.when(chi2.isNull(), labels.SRM_NO_DATA)
-        .when(chi2 > CHI2_1PCT, labels.SRM_DETECTED)
-        .when(chi2 > CHI2_5PCT, labels.SRM_POSSIBLE)
+        .when(_beyond(chi2, df, tail, CHI2_1PCT, LEVEL_1PCT), labels.SRM_DETECTED)
+        .when(_beyond(chi2, df, tail, CHI2_5PCT, LEVEL_5PCT), labels.SRM_POSSIBLE)
         .otherwise(labels.SRM_NONE)
     )
     return _drop_id(
@@ -124,8 +130,8 @@ def srm_test(counts: DataFrame, experiments: Experiments = LANDING_PAGE) -> Data
             F.lit(labels.SRM_NAME).alias("test_name"),
             "chi_square_statistic",
             "degrees_of_freedom",
-            F.when(two_arms, p_value).alias("p_value"),
-            F.when(two_arms | chi2.isNull(), verdict).alias("srm_result"),
+            round_half_away(tail, 4).alias("p_value"),
+            verdict.alias("srm_result"),
         ),
         experiments,
     )

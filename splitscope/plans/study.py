@@ -16,7 +16,6 @@ from splitscope.config import (
     USER_FORWARD,
     Experiments,
     GuardrailLimits,
-    HotKeyPolicy,
     PowerSettings,
     as_registry,
 )
@@ -46,7 +45,6 @@ class Study:
     crossover: str = BOTH
     limits: GuardrailLimits = field(default_factory=GuardrailLimits)
     power: PowerSettings = field(default_factory=PowerSettings)
-    hot: HotKeyPolicy = field(default_factory=HotKeyPolicy)
     min_relative_lift_pct: float = 15.0
     # The flattened events, where they have been written out before.
     flat_table: DataFrame | None = None
@@ -68,20 +66,16 @@ class Study:
         reader = self.flat.sparkSession.read.schema(self.flat.schema)
         return replace(self, flat_table=reader.parquet(path).select(*self.flat.columns))
 
-    def _main(self):
-        """The experiment of the reports that are about one experiment."""
-        return as_registry(self.experiments)[0]
-
     # Planning
 
     def sample_size(self, by_channel: bool = False, grid=planning.DEFAULT_GRID) -> DataFrame:
         units = conversion.attributed_units(
-            self.flat, self._main(), self.scope, self.crossover, ["session_id"] if by_channel else []
+            self.flat, self.experiments, self.scope, self.crossover, ["session_id"] if by_channel else []
         )
         segments = ["channel"] if by_channel else []
         if by_channel:
             units = attribution.add_segment(units, self.session_channel())
-        baselines = planning.measured_baselines(units, self._main(), segments)
+        baselines = planning.measured_baselines(units, self.experiments, segments)
         return planning.sample_size(baselines, grid, self.power)
 
     # Tracking
@@ -89,14 +83,16 @@ class Study:
     def landing_page_experiments(self, view_name: str | None = None) -> DataFrame:
         return events.landing_page_experiments(self.flat, view_name)
 
-    def test_pages(self, count_purchases: bool = False) -> DataFrame:
-        return discovery.test_pages(self.flat, count_purchases)
+    def test_pages(
+        self, count_purchases: bool = False, top: int | None = discovery.TOP_PAGES
+    ) -> DataFrame:
+        return discovery.test_pages(self.flat, count_purchases, top)
 
     def experiment_page_views(self) -> DataFrame:
-        return exposure.experiment_page_views(self.flat, self._main())
+        return exposure.experiment_page_views(self.flat, self.experiments)
 
     def classify_variants(self) -> DataFrame:
-        return exposure.classify_variants(self.flat, self._main())
+        return exposure.classify_variants(self.flat, self.experiments)
 
     def session_source(self) -> DataFrame:
         return attribution.session_source(self.flat)
@@ -160,7 +156,7 @@ class Study:
 
     @cached_property
     def session_metrics(self) -> DataFrame:
-        return sessions.session_metrics(self.flat, self.experiments, self.scope, self.hot)
+        return sessions.session_metrics(self.flat, self.experiments, self.scope)
 
     @cached_property
     def guardrail_stats(self) -> DataFrame:

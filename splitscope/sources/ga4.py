@@ -7,6 +7,7 @@ the columns of :data:`EVENT_SCHEMA` plus the ``event_date`` string.
 
 from __future__ import annotations
 
+import re
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,7 +75,7 @@ def read_event_shards(
     """
     days = ",".join(_days(start_date, end_date))
     events = spark.read.schema(EVENT_SCHEMA).parquet(f"{root.rstrip('/')}/{prefix}{{{days}}}")
-    suffix = F.regexp_extract(F.col("_metadata.file_path"), prefix + r"(\d{8})/[^/]*$", 1)
+    suffix = F.regexp_extract(F.col("_metadata.file_path"), re.escape(prefix) + r"(\d{8})/[^/]*$", 1)
     return events.select(*EVENT_SCHEMA.names, suffix.alias("event_date"))
 
 

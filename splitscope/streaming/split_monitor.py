@@ -2,7 +2,7 @@
 
 A streaming job keeps each arm's exact number of users up to date; after every
 micro-batch the split and its test are written out as two small tables. State
-is one entry per user and arm.
+is one entry per user and arm, kept by a state store that spills to disk.
 """
 
 from __future__ import annotations
@@ -44,6 +44,17 @@ def checkpoint_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+SPILLING_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_spilling_store(spark: SparkSession) -> None:
+    """Has streams of the session keep state on disk, unless it names a store itself:
+    the default one holds every user ever seen on the executor heap."""
+    if spark.conf.get(STORE, None) is None:
+        spark.conf.set(STORE, SPILLING_STORE)
+
+
 def monitor_split(
     events: DataFrame,
     write: Callable[[DataFrame, DataFrame, int], None],
@@ -59,6 +70,7 @@ def monitor_split(
     def report(counts: DataFrame, batch_id: int) -> None:
         write(srm_split(counts, experiments), srm_test(counts, experiments), batch_id)
 
+    use_spilling_store(events.sparkSession)
     counts = running_counts(events, experiments)
     return (
         counts.writeStream.outputMode("complete")

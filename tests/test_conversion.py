@@ -2,8 +2,8 @@ from __future__ import annotations
 
 import pytest
 
-from splitscope import LANDING_PAGE, Arm, Experiment
-from splitscope.config import EXCLUDE, FIRST, SESSION
+from splitscope import LANDING_PAGE, Arm, Experiment, Study
+from splitscope.config import BOTH, EXCLUDE, FIRST, SESSION
 from splitscope.operators.conversion import attributed_units, conversions
 from splitscope.operators.events import ga4_events
 from splitscope.operators.exposure import (
@@ -160,3 +160,19 @@ def test_bad_options_are_rejected(spark):
         Experiment("shares", (Arm("A", "/a", 0.5), Arm("B", "/b", 0.6)))
     with pytest.raises(ValueError):
         conversions(rows, [LANDING_PAGE, LANDING_PAGE])
+
+
+def test_users_exposed_at_no_known_time_stay_unconverted(spark):
+    rows = [
+        event("u1", "page_view", None, V1), event("u1", "page_view", 10, V1), event("u1", "purchase", 20),
+        event("u4", "page_view", None, V2), event("u4", "purchase", 30),
+    ]
+    table = frame(spark, rows)
+    for registry in (LANDING_PAGE, [LANDING_PAGE]):
+        for crossover in (BOTH, EXCLUDE, FIRST):
+            study = Study(table, registry, crossover=crossover)
+            got = {(r.user_pseudo_id, r.variant): r.converted for r in study.conversions().collect()}
+            assert got == {("u1", "Control_A"): 1, ("u4", "Variant_B"): 0}
+            by_channel = study.channel_stats.groupBy("variant").sum("visitors", "conversions").collect()
+            assert sorted(map(tuple, by_channel)) == [("Control_A", 1, 1), ("Variant_B", 1, 0)]
+            assert study.exposures().count() == study.srm_counts.agg({"users": "sum"}).first()[0] == 2

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from splitscope import LANDING_PAGE, Arm, Experiment, HotKeyPolicy
+from splitscope import LANDING_PAGE, Arm, Experiment
 from splitscope.config import SESSION, USER_FORWARD
 from splitscope.operators.engagement import (
     bounce_comparison,
@@ -15,7 +15,8 @@ from splitscope.operators.engagement import (
     guardrails,
 )
 from splitscope.operators.events import ga4_events
-from splitscope.operators.sessions import USER, _bucket, _hot_buckets, session_metrics
+from splitscope.operators import sessions
+from splitscope.operators.sessions import session_metrics
 from tests.ga4rows import V1, V2, event, frame
 
 HOME = Experiment("home", (Arm("H", "/home"), Arm("V", "/landing")))
@@ -79,17 +80,12 @@ def random_rows(seed, n=160, span=5_000_000):
     return rows
 
 
-PLAIN = HotKeyPolicy()
-ALL_HOT = HotKeyPolicy(min_rows=0, times_average=0, block_micros=1_000_000)
-ONE_HOT = HotKeyPolicy(min_rows=30, block_micros=700_000)
-CROWDED = HotKeyPolicy(min_rows=10, buckets=2, times_average=1, block_micros=300_000)
-
-
-@pytest.mark.parametrize("policy", [PLAIN, ALL_HOT, ONE_HOT, CROWDED])
+@pytest.mark.parametrize("block", [sessions.BLOCK_MICROS, 700_000, 1_000])
 @pytest.mark.parametrize("scope", [USER_FORWARD, SESSION])
-def test_metrics_equal_the_join_for_ordinary_and_hot_users(spark, scope, policy):
+def test_metrics_equal_the_join_for_blocks_of_any_length(spark, scope, block, monkeypatch):
+    monkeypatch.setattr(sessions, "BLOCK_MICROS", block)
     rows = random_rows(7)
-    got = measured(session_metrics(flat(spark, rows), scope=scope, hot=policy))
+    got = measured(session_metrics(flat(spark, rows), scope=scope))
     want = expected(rows, scope)
     assert got.keys() == want.keys()
     for key, (bounce, minutes, *rest) in want.items():
@@ -102,13 +98,15 @@ def test_metrics_equal_the_join_for_ordinary_and_hot_users(spark, scope, policy)
 
 @settings(max_examples=4, deadline=None)
 @given(seed=st.integers(0, 10_000))
-def test_hot_and_plain_paths_agree(spark, seed):
-    rows = flat(spark, random_rows(seed)).cache()
+def test_a_registry_has_the_rows_of_each_experiment(spark, seed):
+    rows = flat(spark, random_rows(seed, span=300_000_000)).cache()
     registry = [LANDING_PAGE, HOME]
-    plain = sorted(map(str, session_metrics(rows, registry, hot=PLAIN).collect()))
-    hot = sorted(map(str, session_metrics(rows, registry, hot=ALL_HOT).collect()))
+    got = session_metrics(rows, registry)
+    for experiment in registry:
+        alone = sorted(map(str, session_metrics(rows, experiment).collect()))
+        own = got.where(got.experiment_id == experiment.experiment_id).drop("experiment_id")
+        assert sorted(map(str, own.collect())) == alone
     rows.unpersist()
-    assert plain == hot
 
 
 def test_results_do_not_depend_on_partitioning_or_order(spark):
@@ -120,21 +118,6 @@ def test_results_do_not_depend_on_partitioning_or_order(spark):
         assert sorted(map(str, report(one).collect())) == sorted(map(str, report(two).collect()))
 
 
-def test_only_large_buckets_are_hot(spark):
-    rows = flat(spark, [r for r in random_rows(5) if r[2] is not None])
-    buckets = {r.user_pseudo_id: r.b for r in rows.select(USER, _bucket([USER], PLAIN).alias("b")).collect()}
-
-    def hot(**policy):
-        found = _hot_buckets(rows, [USER], HotKeyPolicy(**policy)).collect()
-        return {u for u, b in buckets.items() if b in {r.bucket for r in found}}
-
-    assert hot() == set()
-    assert hot(min_rows=40) == {"hot"}
-    assert hot(min_rows=0) == {"hot", "a", "b", "c"}
-    # Above every limit of rows, but not above the average bucket.
-    assert hot(min_rows=0, buckets=1, times_average=1) == set()
-
-
 def test_bounce_needs_exactly_one_page_view(spark):
     rows = []
     for user, further in [("none", 0), ("one", 1), ("two", 2)]:
@@ -181,24 +164,17 @@ def test_reports(spark):
 
 
 def test_events_without_a_time_do_not_count(spark):
-    rows = [event("a", "page_view", 5, V1), event("a", "page_view", None, V1), event("a", "click", 1)]
-    for policy in (PLAIN, ALL_HOT):
-        got = measured(session_metrics(flat(spark, rows), hot=policy))
-        assert got[("Control_A", 1, "a")][:3] == (1, 0.0, 1)
+    rows = [
+        event("a", "page_view", 5, V1), event("a", "page_view", None, V1), event("a", "click", 1),
+        event("b", "page_view", None, V1), event("b", "click", 9), event(None, "page_view", None, V1),
+    ]
+    got = measured(session_metrics(flat(spark, rows)))
+    assert got[("Control_A", 1, "a")][:3] == (1, 0.0, 1)
+    # Exposed at no known time: the user stays, and nothing comes after.
+    assert got[("Control_A", 1, "b")] == got[("Control_A", 1, None)] == (0, None, 0, 0, 0, 0, 0, 0, 0)
 
 
 def test_one_arm_only_gives_no_comparison(spark):
     metrics = session_metrics(flat(spark, [event("a", "page_view", 0, V1)]))
     assert guardrails(guardrail_stats(metrics)).count() == 0
     assert bounce_comparison(metrics).count() == 0
-
-
-def test_ordinary_users_cost_one_shuffle(spark):
-    """With nobody hot, the adaptive plan is scan, one exchange, window, aggregate."""
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    rows = [r for r in random_rows(3) if r[2] is not None]
-    metrics = session_metrics(flat(spark, rows).repartition(2))
-    metrics.collect()
-    final = metrics._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert final.count("Exchange hashpartitioning") == 1
-    assert "Window" in final and "Join" not in final

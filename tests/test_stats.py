@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from splitscope import Arm, Experiment, GuardrailLimits
 from splitscope import labels as L
+from splitscope.functions.numeric import chi_square_tail
 from splitscope.operators import decision, engagement, srm, stats
 
 
@@ -204,28 +205,50 @@ def test_launch_decision(spark, significance, lift, z, check, chi, expected):
 
     row = decision.launch_decision(
         one(
-            ("B", significance, z, lift),
+            ("B", significance, z, lift, "A"),
             "variant_name string, significance string, z_score double, "
-            "relative_improvement_pct double",
+            "relative_improvement_pct double, control_name string",
         ),
         one(
             ("B", L.GUARDRAIL_PASS, L.GUARDRAIL_PASS, check),
             "variant string, bounce_check string, duration_check string, cart_check string",
         ),
-        one((chi,), "chi_square_statistic double"),
+        one((_verdict(chi), 1), "srm_result string, degrees_of_freedom int"),
     ).first()
     assert row.decision == expected
 
 
+def _verdict(chi):
+    return L.SRM_NO_DATA if chi is None else L.SRM_DETECTED if chi > 6.63 else L.SRM_NONE
+
+
+def test_decisions_among_three_arms_name_the_arm(spark):
+    z = spark.createDataFrame(
+        [("e", "B", L.SIGNIFICANT, 3.0, 20.0, "A"), ("e", "C", L.SIGNIFICANT, -3.0, -20.0, "A")],
+        "experiment_id string, variant_name string, significance string, z_score double, "
+        "relative_improvement_pct double, control_name string",
+    )
+    ok = L.GUARDRAIL_PASS
+    rails = spark.createDataFrame(
+        [("e", "B", ok, ok, ok), ("e", "C", ok, ok, ok)],
+        "experiment_id string, variant string, bounce_check string, duration_check string, cart_check string",
+    )
+    split = spark.createDataFrame(
+        [("e", L.SRM_POSSIBLE, 2)], "experiment_id string, srm_result string, degrees_of_freedom int"
+    )
+    rows = decision.launch_decision(z, rails, split).collect()
+    assert {r.variant: r.decision for r in rows} == {"B": "Launch B", "C": "Keep A"}
+
+
 @pytest.mark.parametrize("days, expected", [(13.9, L.DECISION_FOLLOW_UP), (14.0, L.DECISION_LAUNCH)])
 def test_a_launch_may_need_a_long_enough_test(spark, days, expected):
     units = spark.createDataFrame(
         [("e", 0), ("e", int(days * 86_400_000_000))], "experiment_id string, session_start bigint"
     )
     z = spark.createDataFrame(
-        [("e", "B", L.SIGNIFICANT, 3.0, 20.0)],
+        [("e", "B", L.SIGNIFICANT, 3.0, 20.0, "A")],
         "experiment_id string, variant_name string, significance string, z_score double, "
-        "relative_improvement_pct double",
+        "relative_improvement_pct double, control_name string",
     )
     ok = L.GUARDRAIL_PASS
     rails = spark.createDataFrame(
@@ -233,7 +256,28 @@ def test_a_launch_may_need_a_long_enough_test(spark, days, expected):
         "experiment_id string, variant string, bounce_check string, duration_check string, "
         "cart_check string",
     )
-    split = spark.createDataFrame([("e", 0.0)], "experiment_id string, chi_square_statistic double")
+    split = spark.createDataFrame(
+        [("e", L.SRM_NONE, 1)], "experiment_id string, srm_result string, degrees_of_freedom int"
+    )
     lengths = decision.run_lengths(units)
     row = decision.launch_decision(z, rails, split, 15.0, lengths, 14.0).first()
     assert (row.long_enough, row.decision) == (days >= 14, expected)
+
+
+THREE = Experiment("three", (Arm("A", "/a", 0.5), Arm("B", "/b", 0.25), Arm("C", "/c", 0.25)))
+
+
+@pytest.mark.parametrize("users, label", [((5000, 2595, 2405), L.SRM_POSSIBLE), ((5000, 2650, 2350), L.SRM_DETECTED), ((5000, 2510, 2490), L.SRM_NONE)])
+def test_srm_of_three_arms_goes_by_its_degrees_of_freedom(spark, users, label):
+    rows = [("three", v, n) for v, n in zip("ABC", users)]
+    seen = spark.createDataFrame(rows, "experiment_id string, variant string, users long")
+    row = srm.srm_test(seen, THREE).first()
+    total = sum(users)
+    chi = sum((n - total * s) ** 2 / (total * s) for n, s in zip(users, (0.5, 0.25, 0.25)))
+    assert row.degrees_of_freedom == 2 and row.srm_result == label
+    assert row.p_value == pytest.approx(math.exp(-chi / 2), abs=5.1e-5)
+
+
+@pytest.mark.parametrize("df, limit", [(1, 6.6348966), (2, 9.2103404), (3, 11.3448667), (4, 13.2767041), (5, 15.0862725), (7, 18.4753069)])
+def test_chi_square_tail_at_the_tabled_limits(spark, df, limit):
+    assert spark.range(1).select(chi_square_tail(F.lit(limit), df)).first()[0] == pytest.approx(0.01, abs=1e-8)
