@@ -71,7 +71,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = read.join(asked, "seed").select("rid", "item", (F.col("at") - F.col("item_at")).alias("shift"))
     hits = materialise(hits.distinct())
     found = docs.select("rid", text.alias("text")).join(hits, "rid").join(items.withColumnRenamed("h", "words"), "item")
-    laid = found.select("rid", F.col("item").alias("item_rid"), "shift", word_hashes(F.col("text")).alias("h"), F.col("words").alias("item"))
+    hashes = word_hashes(F.col("text")).alias("h")
+    # Written out, as the optimiser would otherwise put the hashing of the text inside the loop over the item's words.
+    laid = materialise(found.select("rid", F.col("item").alias("item_rid"), "shift", hashes, F.col("words").alias("item")))
     same = F.expr("transform(item, (x, k) -> CASE WHEN get(h, shift + k) = x THEN 1 ELSE 0 END)")
     laid = laid.select("rid", "item_rid", "item", same.alias("same"), F.least(F.lit(WINDOW), F.size("item")).alias("w"))
     best = laid.select("rid", "item_rid", F.array_max(_windows()).alias("n_same"), F.col("w").alias("n_window"))
