@@ -31,12 +31,13 @@ LENGTH, GRAM = 400, 100
 SIDE = LENGTH - GRAM
 #: Contexts meet if they agree in a string of LENGTH - SLACK bytes around their anchor.
 SLACK = 60
-#: Contexts that may meet in one index. Larger meetings are settled by digests of every string of LENGTH bytes instead.
+#: Different pieces that may meet in one index. Larger meetings are settled by digests of every string of LENGTH bytes instead.
 MEETING = 2_000
 #: Bytes that are hashed, or indexed, at a time.
 CHUNK = 1 << 20
 
 U = np.uint64
+PIECE = ["rid", "p0", "p1", "meet", "lo", "hi", "part"]
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -167,10 +168,11 @@ def repeated_stretches(segments: list[bytes], length: int) -> np.ndarray:
 
 
 def _slices(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (rid, lo, part, meet) for each wanted context: pieces that may meet others, with their bytes.
+    """Rows (rid, lo, hi, p0, p1, meet, part) for each wanted context: pieces that may meet others, with their bytes.
 
     A string of LENGTH bytes that starts d before the gram belongs to the piece a <= d < a + SLACK. All strings of a piece hold
-    the LENGTH - SLACK bytes whose digest is ``meet``, so equal ones meet there; the piece has what they cover."""
+    the LENGTH - SLACK bytes whose digest is ``meet``, so equal ones meet there; the piece has what they cover, and
+    p0 and p1 are its digest."""
     per_text = wanted.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("at", "lo", "hi"))).alias("spots"))
     joined = texts.join(per_text.hint("shuffle_hash"), "rid").select("rid", "text", "spots")
 
@@ -186,10 +188,14 @@ def _slices(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                             rows.add((lo, data[lo:hi], xxhash.xxh3_64_intdigest(data[x:y]) - 2**63))
                 if rows:
                     lo, part, meet = zip(*sorted(rows), strict=True)
-                    columns = [pa.array([rid.as_py()] * len(rows), pa.int64()), pa.array(lo, pa.int32()), pa.array(part, pa.binary())]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(meet, pa.int64())], names=["rid", "lo", "part", "meet"])
+                    digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, part)), "<i8").reshape(-1, 2)
+                    hi = [a + len(p) for a, p in zip(lo, part, strict=True)]
+                    columns = [[rid.as_py()] * len(rows), digest[:, 0], digest[:, 1], meet]
+                    small = [pa.array(c, pa.int32()) for c in (lo, hi)]
+                    long_ = [pa.array(c, pa.int64()) for c in columns]
+                    yield pa.RecordBatch.from_arrays([*long_, *small, pa.array(part, pa.binary())], names=PIECE)
 
-    return joined.mapInArrow(run, "rid long, lo int, part binary, meet long")
+    return joined.mapInArrow(run, "rid long, p0 long, p1 long, meet long, lo int, hi int, part binary")
 
 
 def _merge(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
@@ -270,9 +276,15 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     several = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("h")
     rims = contexts.join(several, "h").select("rid", "at", "lo", "hi")
     slices = materialise(_slices(texts, rims))
-    meetings = slices.groupBy("meet").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    met = materialise(slices.join(meetings, "meet"))
-    return inside.union(_indexed(met.filter(F.col("m") <= MEETING))).union(_by_digest(met.filter(F.col("m") > MEETING)))
+    # Pieces that are equal as a whole repeat as a whole; one of them stands for all from here on.
+    one = [F.first(c).alias(c) for c in ("rid", "lo")]
+    kinds = materialise(slices.groupBy("meet", "p0", "p1").agg(F.count(F.lit(1)).alias("n"), *one))
+    equal = slices.join(kinds.filter("n > 1").select("meet", "p0", "p1"), ["meet", "p0", "p1"]).select("rid", "lo", "hi")
+    meetings = kinds.groupBy("meet").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    met = kinds.select("meet", "rid", "lo").join(meetings, "meet")
+    met = materialise(met.join(slices.select("meet", "rid", "lo", "part"), ["meet", "rid", "lo"]))
+    small, large = met.filter(F.col("m") <= MEETING), met.filter(F.col("m") > MEETING)
+    return inside.union(equal).union(_indexed(small)).union(_by_digest(large))
 
 
 def _cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
