@@ -142,20 +142,25 @@ class Encoder:
             return token
         raise ValueError("a byte of the piece is no token")
 
-    def encode(self, pieces: list[str]) -> bytes:
-        """The ids of pre-split text as little-endian unsigned 32-bit integers."""
+    def _known(self, pieces: list[str]) -> dict[str, bytes]:
+        """The cache, with the ids of all these pieces in it."""
         if len(self.pieces) >= CACHED_PIECES:
             self.pieces, self.older = {}, self.pieces
         known, older = self.pieces, self.older
         for piece in pieces:
             if piece not in known:
                 known[piece] = older.get(piece) or struct.pack(f"<{len(i := self.ids_of_piece(piece.encode()))}I", *i)
+        return known
+
+    def encode(self, pieces: list[str]) -> bytes:
+        """The ids of pre-split text as little-endian unsigned 32-bit integers."""
+        known = self._known(pieces)
         return b"".join([known[piece] for piece in pieces])
 
-    def size(self, piece: str) -> int:
-        """How many tokens a piece has."""
-        ids = self.pieces.get(piece)
-        return len(self.encode([piece]) if ids is None else ids) // 4
+    def sizes(self, pieces: list[str]) -> list[int]:
+        """How many tokens each piece has."""
+        known = self._known(pieces)
+        return [len(known[piece]) >> 2 for piece in pieces]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -93,10 +93,10 @@ class Node:
 class CountedText:
     """A text with its token count, kept up to date through edits."""
 
-    def __init__(self, text: str, split: Callable[[str], list[str]], size: Callable[[str], int]):
-        self.split, self.size, self.reencoded = split, size, 0
+    def __init__(self, text: str, split: Callable[[str], list[str]], sizes: Callable[[list[str]], list[int]]):
+        self.split, self.sizes, self.reencoded = split, sizes, 0
         pieces = split(text)
-        self.root = Node(pieces, [size(p) for p in pieces])
+        self.root = Node(pieces, sizes(pieces))
 
     @property
     def tokens(self) -> int:
@@ -111,7 +111,7 @@ class CountedText:
         first, begin = self.root.find(max(0, start - SEES))
         if not self.root.count:
             pieces = self.split(new)
-            self.root = Node(pieces, [self.size(p) for p in pieces])
+            self.root = Node(pieces, self.sizes(pieces))
             self.reencoded += len(pieces)
             return
         # Pull in old pre-tokens, ever more of them, until a border behind the edit comes out where one was before.
@@ -141,11 +141,11 @@ class CountedText:
                 # A border near the end of what was pulled in may owe to text being cut off there.
                 if at >= place and at in known and (ended or at + SEES + 1 < whole):
                     pieces, last = fresh[: k + 1], first + known[at]
-                    self.root.replace(first, last, pieces, [self.size(p) for p in pieces])
+                    self.root.replace(first, last, pieces, self.sizes(pieces))
                     self.reencoded += k + 1
                     return
             if ended:
-                self.root.replace(first, first + len(total), fresh, [self.size(p) for p in fresh])
+                self.root.replace(first, first + len(total), fresh, self.sizes(fresh))
                 self.reencoded += len(fresh)
                 return
             extra = 4 * len(total)
@@ -193,7 +193,7 @@ def counts_through_edits(
 
 
 def _followed(encoder: Encoder, split, text: str, edits) -> tuple[int, ...]:
-    counted = CountedText(text, split, encoder.size)
+    counted = CountedText(text, split, encoder.sizes)
     before = (counted.root.count, counted.tokens)
     changes = edits(text)
     for start, end, new in reversed(changes):  # from the right, so that places to the left still hold
