@@ -7,7 +7,8 @@
    alternating star contraction.
 3. Buckets that still hold several components are not paired out, since a passage that many texts share fills them with
    unlinked texts. Their texts are compared where they share one of their rarest shingles, which any two texts of the similarity
-   do; sketches rule out, exact sets confirm. So every pair that shares a bucket is confirmed, ruled out, or already connected.
+   do, and where the parities of their whole sets allow it: texts that differ in d shingles never differ in more than d bits.
+   Sketches rule out, exact sets confirm. So every pair that shares a bucket is confirmed, ruled out, or already connected.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ HASHES = BANDS * ROWS
 SKETCH = 512
 #: Standard deviations that sketches are trusted by: links are lost to them once in about ten billion.
 CERTAIN = 6.4
+#: Parity bits of a whole set, which travel with its rare shingles so that the join itself leaves near misses out.
+PARITY = 1024
 #: Cells that shingles are counted in for the order from rare to common.
 CELLS = 1 << 20
 #: Bytes of text that are hashed at a time.
@@ -183,8 +186,8 @@ def signatures(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, SIGNED)
 
 
-def _odd_bits(a: str, b: str) -> Column:
-    words = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH // 64)]
+def _odd_bits(a: str, b: str, bits: int = SKETCH) -> Column:
+    words = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(bits // 64)]
     return reduce(lambda x, y: x + y, words)
 
 
@@ -278,8 +281,26 @@ def _cell_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """For each of PARITY bits whether an odd number of the set's shingles hash to it; as 64-bit words."""
+    odd = np.bincount((own >> U(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _parities_allow(percent: int) -> Column:
+    """Whether sets of n_x and n_y shingles with parities parity_x and parity_y can have the similarity.
+
+    That lets them differ in at most (100 - percent) * (n_x + n_y) / (100 + percent) shingles, d. The bits that differ are never
+    more than d; in long sets they stay below by the odds of d balls in PARITY bins, taken with a margin of CERTAIN."""
+    d = F.floor((100 - percent) * (F.col("n_x") + F.col("n_y")) / (100 + percent))
+    one, two = F.pow(F.lit(1 - 2 / PARITY), d), F.pow(F.lit(1 - 4 / PARITY), d)
+    variance = PARITY / 4 * (1 - one * one) + PARITY * (PARITY - 1) / 4 * (two - one * one)
+    most = F.least(d, F.ceil(PARITY / 2 * (1 - one) + CERTAIN * F.sqrt(F.greatest(variance, F.lit(1.0)))))
+    return _odd_bits("parity_x", "parity_y", PARITY) <= most
+
+
 def _rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
-    """Rows (shingle, rid, component, n): the rarest shingles of each set of (rid, component, text).
+    """Rows (shingle, rid, component, n, parity): the rarest shingles of each set of (rid, component, text).
 
     Under any one order of all shingles, two sets of the similarity share one among the first n - ceil(percent * n / 100) + 1 of
     each. Ordered by how full their cell is, rare ones come first, and those alone in their cell match nothing."""
@@ -294,20 +315,23 @@ def _rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
             same = lambda v: pa.array(np.full(len(first), v, np.int64))
             columns = [own[first].view(np.int64), same(batch.column(0)[row].as_py()), same(batch.column(1)[row].as_py()), same(n)]
             if len(first):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "rid", "component", "n"])
+                bits = pa.FixedSizeListArray.from_arrays(np.tile(parities(own), len(first)), PARITY // 64).cast(pa.list_(pa.int64()))
+                names = ["shingle", "rid", "component", "n", "parity"]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), bits], names=names)
 
-    return texts.mapInArrow(run, "shingle long, rid long, component long, n long")
+    return texts.mapInArrow(run, "shingle long, rid long, component long, n long, parity array<long>")
 
 
 def _across(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a rare shingle and whose sizes allow the similarity."""
+    """Pairs (a, b) of different components that share a rare shingle and whose sizes and parities allow the similarity."""
     found = materialise(mixed.join(texts, "rid").select("rid", "component", "text"))
     rare = materialise(_rare_shingles(found, percent))
     parted = rare.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
     rows = rare.join(parted.select("shingle"), "shingle", "left_semi")
-    x, y = (rows.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("rid", "component", "n")]) for s in "xy")
+    x, y = (rows.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("rid", "component", "n", "parity")]) for s in "xy")
     fits = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
-    pairs = x.join(y, "shingle").filter((F.col("component_x") < F.col("component_y")) & fits)
+    apart = F.col("component_x") < F.col("component_y")
+    pairs = x.join(y, "shingle").filter(apart & fits & _parities_allow(percent))
     return pairs.select(F.least("rid_x", "rid_y").alias("a"), F.greatest("rid_x", "rid_y").alias("b")).distinct()
 
 

@@ -102,6 +102,26 @@ def test_sketches_tell_similarities_apart():
     assert bits(0, 1) <= near_dedup.most_odd_bits(0.85) < bits(0, 2)
 
 
+@pytest.mark.parametrize("size", [1, 40, 300, 3000, 20000])
+def test_parities_lose_no_link_and_refute_near_misses(spark, size):
+    rng = np.random.default_rng(size)
+    rows, wanted = [], []
+    for similarity in (0.6, 0.75, 0.85, 0.9, 1.0):
+        for _ in range(20):
+            common = rng.integers(0, 2**63, size).astype(np.uint64)
+            own = [rng.integers(0, 2**63, int(size * (1 - similarity) / similarity / 2)).astype(np.uint64) for _ in "xy"]
+            x, y = (near_dedup.mix64(np.concatenate([common, o])) for o in own)
+            exact = 100 * size >= 85 * (size + len(own[0]) + len(own[1]))
+            rows.append((len(rows), len(x), len(y), near_dedup.parities(x).tolist(), near_dedup.parities(y).tolist()))
+            wanted.append((exact, similarity))
+    pairs = spark.createDataFrame(rows, "i long, n_x long, n_y long, parity_x array<long>, parity_y array<long>")
+    allowed = {r.i for r in pairs.filter(near_dedup._parities_allow(85)).collect()}
+    assert all(i in allowed for i, (exact, _) in enumerate(wanted) if exact)
+    if 40 <= size <= 3000:
+        refuted = [i not in allowed for i, (_, similarity) in enumerate(wanted) if similarity == 0.6]
+        assert sum(refuted) >= 0.9 * len(refuted)
+
+
 def test_components_of_long_paths(spark):
     order = random.Random(3).sample(range(300), 300)
     edges = spark.createDataFrame(list(zip(order, order[1:])) + [(400, 401)], "a long, b long")
