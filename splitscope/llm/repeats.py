@@ -181,7 +181,7 @@ def _slices(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             for rid, text, spots in zip(*(batch.column(k) for k in range(3)), strict=True):
                 data, rows = text.as_buffer().to_pybytes(), set()
                 for s in spots.as_py():
-                    for x in range(s["at"], s["at"] - SIDE, -SLACK):
+                    for x in range(s["at"], s["at"] - SIDE - 1, -SLACK):  # d from 0 to SIDE, both included
                         y = x + LENGTH - SLACK
                         lo, hi = max(s["lo"], x - SLACK + 1), min(s["hi"], x + LENGTH)
                         if x >= s["lo"] and y <= s["hi"] and hi - lo >= LENGTH:

@@ -187,3 +187,18 @@ def test_repeated_ids_and_empty_tables(make_docs):
     assert repeats.removal_report(empty).count() == 0
     assert near_dedup.near_duplicates(empty).count() == 0
     assert exact_dedup.exact_dedup(empty, F.lit(True)).count() == 0
+
+
+def test_a_passage_whose_last_gram_is_its_only_anchor(make_docs):
+    rng, before = np.random.default_rng(8), None
+    least = lambda text: int(repeats.gram_hashes(text, repeats.GRAM).argmin())
+    while before is None:  # the gram that starts one byte earlier hides the others of the passage
+        passage = rng.integers(97, 123, repeats.LENGTH).astype(np.uint8)
+        if least(passage) == repeats.SIDE:
+            before = next((b for b in range(65, 91) if least(np.concatenate([[b], passage]).astype(np.uint8)) == 0), None)
+    rnd, middle = random.Random(8), passage.tobytes().decode()
+    around = lambda left: "".join(rnd.choices("01234567", k=349)) + left + middle + "".join(rnd.choices("01234567", k=350))
+    texts = [around(chr(before)), around("-")]
+    got = {r["doc_id"]: r["n_removed"] for r in repeats.removal_report(make_docs(list(enumerate(texts)))).collect()}
+    assert got == {i: int(c.sum()) for i, c in enumerate(_covered(texts, repeats.LENGTH))}
+    assert min(got.values()) >= repeats.LENGTH
