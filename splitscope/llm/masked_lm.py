@@ -26,10 +26,8 @@ VOCABULARY = COMMON + BUCKETS
 EDGE = VOCABULARY
 #: Neighbours on each side, numbers per word, hidden units.
 REACH, WIDTH, HIDDEN = 2, 12, 32
-#: One document in so many is trained on, chosen by the hash of its text; what is trained on grows with the corpus.
-TRAIN_SHARE = 16
-#: Averaging rounds, words in a step, step size.
-ROUNDS, STEP_WORDS, RATE = 2, 512, 0.1
+#: Averaging rounds, each over every document; words in a step, step size.
+ROUNDS, STEP_WORDS, RATE = 1, 512, 0.1
 #: Weights summed by one task of the averaging tree.
 FAN_IN = 32
 CHUNK = 1 << 19
@@ -160,7 +158,6 @@ def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
 def train(texts: DataFrame, common: np.ndarray) -> np.ndarray:
     """The weights after all rounds; the first ones if no text has words."""
     flat = initial()
-    chosen = texts.filter(F.pmod(F.xxhash64("text"), F.lit(TRAIN_SHARE)) == 0)
     for _ in range(ROUNDS):
         given = texts.sparkSession.sparkContext.broadcast((flat, common))
 
@@ -178,7 +175,7 @@ def train(texts: DataFrame, common: np.ndarray) -> np.ndarray:
                 columns = [pa.array([part]), pa.array([trainer.words]), pa.array([blob], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "words", "weights"])
 
-        parts = materialise(chosen.select("text").mapInArrow(run, PART))
+        parts = materialise(texts.select("text").mapInArrow(run, PART))
         while parts.count() > 1:
             parts = materialise(_grouped(parts))
         last = parts.first()

@@ -141,3 +141,12 @@ def test_masked_scores_of_odd_rows(make_docs, odd_rows):
     assert all((r["n_words"], r["log_prob"], r["mean_log_prob"]) == (0, 0.0, None) for r in blank)
     assert len({r["log_prob"] for r in rows if r["doc_id"] in (1, 2)}) == 1
     assert masked_lm.scores(docs.filter("false")).count() == 0
+
+
+def test_every_text_is_learned_from(spark):
+    texts = spark.range(40).selectExpr("concat('some text of number ', id) AS text")
+    texts = texts.filter("pmod(xxhash64(text), 16) = 3").limit(1)
+    assert texts.count() == 1
+    start = masked_lm.initial()
+    learned = masked_lm.train(texts, masked_lm.common_words(texts))
+    assert not np.array_equal(learned[: len(start)], start)
