@@ -1,14 +1,17 @@
 """Document scores by masked pseudo-likelihood.
 
 A small network sees two words on either side of a word and predicts the word in the middle. A document's score is the
-sum, over its words, of the log-probability of each given its neighbours. Words are the most frequent ones of the whole corpus;
-the others share buckets by hash. Training runs where the data is: in each round every task starts from the same weights,
+sum, over its words, of the log-probability of each given its neighbours: that of the word's class, times the word's share of its
+class in the whole corpus. The most frequent words are classes of their own, the others fall into buckets by hash. Words above a
+share of the corpus have numbers of their own as neighbours, so the network grows with the vocabulary; the shares of rarer words
+are joined from the counts of all words. Training runs where the data is: in each round every task starts from the same weights,
 takes its own share of documents through stochastic gradient steps, and the weights are averaged by words seen, in a tree.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,14 +19,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from splitscope.llm.common import flat_text, materialise, runs_of_rows
 from splitscope.llm.near_dedup import word_hashes
 
-#: Words with an output of their own, buckets for the rest, and the mark beyond either end of a text.
+#: Words that are classes of their own, buckets for the rest, and the mark beyond either end of a text.
 COMMON, BUCKETS = 192, 64
 VOCABULARY = COMMON + BUCKETS
 EDGE = VOCABULARY
+#: Words that are at least one in so many of the corpus have a row of their own among the neighbours.
+KNOWN = 1 << 20
 #: Neighbours on each side, numbers per word, hidden units.
 REACH, WIDTH, HIDDEN = 2, 12, 32
 #: Averaging rounds, each over every document; words in a step, step size.
@@ -33,20 +39,47 @@ FAN_IN = 32
 CHUNK = 1 << 19
 #: Words whose probabilities are held in memory together.
 SLICE = 8192
+#: Log-probabilities are summed as whole multiples of one part in so many, so that sums do not depend on the order.
+UNIT = 1 << 32
 
 PLACES = [-2, -1, 1, 2]
-SHAPES = {"words": (VOCABULARY + 1, WIDTH), "mix": (len(PLACES), WIDTH, HIDDEN), "shift": (HIDDEN,), "out": (HIDDEN, VOCABULARY), "bias": (VOCABULARY,)}
+#: "words" has one more row for each known word; it stands last.
+SHAPES = {"mix": (len(PLACES), WIDTH, HIDDEN), "shift": (HIDDEN,), "out": (HIDDEN, VOCABULARY), "bias": (VOCABULARY,), "words": (VOCABULARY + 1, WIDTH)}
+DENSE = sum(int(np.prod(shape)) for name, shape in SHAPES.items() if name != "words")
 Weights = dict[str, np.ndarray]
 
 
+@dataclass
+class Vocabulary:
+    """The words with a row of their own, by rising hash, each with its token and class and the log of its share of the class.
+
+    A token is a row of "words": a common word's class, the bucket of words that are not known, EDGE, and then the known words."""
+
+    words: np.ndarray
+    tokens: np.ndarray
+    buckets: np.ndarray
+    log_shares: np.ndarray
+
+    def classes(self, tokens: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.arange(EDGE + 1), self.buckets])[tokens]
+
+    def logs(self, tokens: np.ndarray) -> np.ndarray:
+        """The log of each token's share of its class; 0 for words that are not known."""
+        return np.concatenate([np.zeros(EDGE + 1), self.log_shares])[tokens]
+
+
 def unpack(flat: np.ndarray) -> Weights:
     sizes = np.cumsum([0, *(int(np.prod(s)) for s in SHAPES.values())])
-    return {name: flat[a:b].reshape(shape) for (name, shape), a, b in zip(SHAPES.items(), sizes, sizes[1:], strict=False)}
+    sizes[-1] = len(flat)
+    return {name: flat[a:b].reshape(-1, *shape[1:]) if name == "words" else flat[a:b].reshape(shape) for (name, shape), a, b in zip(SHAPES.items(), sizes, sizes[1:], strict=False)}
 
 
-def initial() -> np.ndarray:
+def initial(buckets: np.ndarray | None = None) -> np.ndarray:
+    """The weights to start from; a known word begins as its bucket does."""
     rng = np.random.default_rng(11)
     parts = [rng.normal(0, 0.1 if name in ("words", "out") else 0.3 * (name == "mix"), shape) for name, shape in SHAPES.items()]
+    if buckets is not None:
+        parts.append(parts[-1][buckets])
     return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
 
 
@@ -64,19 +97,49 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def common_words(texts: DataFrame) -> np.ndarray:
-    """The hashes of the most frequent words, in rising order."""
-    top = word_counts(texts).orderBy(F.desc("n"), "word").limit(COMMON)
-    return np.sort(np.array([r["word"] for r in top.collect()], np.int64).view(np.uint64))
+def bucket(word: str = "word"):
+    """The bucket, from 0 on, of a column of word hashes."""
+    return F.shiftrightunsigned(word, 58).cast("int")
+
 
+def vocabulary(counts: DataFrame) -> tuple[Vocabulary, list[int]]:
+    """The words to know, of the rows (word, n) of all words, and how many words of the corpus fall into each bucket."""
+    top = counts.orderBy(F.desc("n"), "word").limit(COMMON).toPandas()
+    buckets = counts.groupBy(bucket().alias("b")).agg(F.sum("n").alias("n")).toPandas()
+    totals = np.zeros(BUCKETS, np.int64)
+    totals[buckets["b"].to_numpy(np.int64)] = buckets["n"].to_numpy(np.int64)
+    own = np.sort(top["word"].to_numpy(np.int64).view(np.uint64))
+    known = counts.filter(F.col("n") >= F.lit(int(totals.sum()) / KNOWN)).toPandas()
+    np.subtract.at(totals, (top["word"].to_numpy(np.int64).view(np.uint64) >> np.uint64(58)).astype(np.int64), top["n"].to_numpy(np.int64))
+    words, n = known["word"].to_numpy(np.int64).view(np.uint64), known["n"].to_numpy(np.int64)
+    rest = ~np.isin(words, own)
+    words, n = words[rest], n[rest]
+    order = np.argsort(words)
+    words, n = words[order], n[order]
+    b = (words >> np.uint64(58)).astype(np.int64)
+    every = np.concatenate([own, words])
+    tokens = np.concatenate([np.arange(len(own)), EDGE + 1 + np.arange(len(words))])
+    order = np.argsort(every)
+    return Vocabulary(every[order], tokens[order], COMMON + b, np.log(n / totals[b])), totals.tolist()
 
-def token_ids(data: np.ndarray, starts: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def common_words(texts: DataFrame) -> Vocabulary:
+    """The words of the texts that are known."""
+    return vocabulary(materialise(word_counts(texts)))[0]
+
+
+def _tokens(words: np.ndarray, known: Vocabulary) -> np.ndarray:
+    shared = (COMMON + (words >> np.uint64(58))).astype(np.int64)
+    if not len(known.words):
+        return shared
+    at = np.minimum(np.searchsorted(known.words, words), len(known.words) - 1)
+    return np.where(known.words[at] == words, known.tokens[at], shared)
+
+
+def token_ids(data: np.ndarray, starts: np.ndarray, known: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """The token of each word of the texts on end, and the words before each text."""
     words, before = word_hashes(data, starts)
-    if not len(common):
-        return (COMMON + (words >> np.uint64(58))).astype(np.int64), before
-    at = np.minimum(np.searchsorted(common, words), len(common) - 1)
-    return np.where(common[at] == words, at, COMMON + (words >> np.uint64(58)).astype(np.int64)), before
+    return _tokens(words, known), before
 
 
 def neighbours(tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -94,15 +157,12 @@ def neighbours(tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
 
 
 def log_probabilities(weights: Weights, around: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """The log-probability of each token given those around it."""
-    placed = [weights["words"] @ weights["mix"][k] for k in range(len(PLACES))]
+    """The log-probability of each class, or token that is one, given the tokens around it."""
+    mix = weights["mix"].reshape(-1, HIDDEN)
     out = np.empty(len(tokens), np.float32)
     for a in range(0, len(tokens), SLICE):
         near, own = around[a : a + SLICE], tokens[a : a + SLICE]
-        hidden = placed[0][near[:, 0]]
-        for k in range(1, len(PLACES)):
-            hidden += placed[k][near[:, k]]
-        hidden = np.maximum(hidden + weights["shift"], 0)
+        hidden = np.maximum(weights["words"][near].reshape(len(own), -1) @ mix + weights["shift"], 0)
         logits = hidden @ weights["out"]
         logits += weights["bias"]
         logits -= logits.max(axis=1, keepdims=True)
@@ -126,21 +186,28 @@ class Trainer:
 
     def _step(self, around: np.ndarray, tokens: np.ndarray) -> None:
         w, n = unpack(self.flat), len(tokens)
-        seen = w["words"][around]  # n x places x width
-        hidden = np.maximum(np.einsum("npw,pwh->nh", seen, w["mix"], optimize=True) + w["shift"], 0)
-        logits = hidden @ w["out"] + w["bias"]
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), tokens] -= 1
-        p /= n
+        mix = w["mix"].reshape(-1, HIDDEN)
+        seen = w["words"][around].reshape(n, -1)  # n x (places x width)
+        hidden = np.maximum(seen @ mix + w["shift"], 0)
+        p = hidden @ w["out"]
+        p += w["bias"]
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(axis=1, keepdims=True) * np.float32(n)
+        p[np.arange(n), tokens] -= np.float32(1 / n)
         back = (p @ w["out"].T) * (hidden > 0)
-        flat = np.zeros_like(self.flat)
-        g = unpack(flat)
-        g["out"][:], g["bias"][:], g["shift"][:] = hidden.T @ p, p.sum(axis=0), back.sum(axis=0)
-        g["mix"][:] = np.einsum("npw,nh->pwh", seen, back, optimize=True)
-        np.add.at(g["words"], around, np.einsum("nh,pwh->npw", back, w["mix"], optimize=True))
-        self.past += flat * flat
-        self.flat -= RATE * flat / np.sqrt(self.past)
+        dense = np.concatenate([(seen.T @ back).ravel(), back.sum(axis=0), (hidden.T @ p).ravel(), p.sum(axis=0)])
+        # Of the words, only the rows that were seen move.
+        order = np.argsort(around, axis=None)
+        rows = around.ravel()[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        sums = np.add.reduceat((back @ mix.T).reshape(-1, WIDTH)[order], first, axis=0)
+        past, rows = unpack(self.past)["words"], rows[first]
+        squares = past[rows] + sums * sums
+        past[rows] = squares
+        w["words"][rows] -= RATE * sums / np.sqrt(squares)
+        self.past[:DENSE] += dense * dense
+        self.flat[:DENSE] -= RATE * dense / np.sqrt(self.past[:DENSE])
         self.words += n
 
 
@@ -155,11 +222,11 @@ def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "words": [total], "weights": [mean.astype("<f8").tobytes()]})
 
 
-def train(texts: DataFrame, common: np.ndarray) -> np.ndarray:
+def train(texts: DataFrame, known: Vocabulary) -> np.ndarray:
     """The weights after all rounds; the first ones if no text has words."""
-    flat = initial()
+    flat = initial(known.buckets)
     for _ in range(ROUNDS):
-        given = texts.sparkSession.sparkContext.broadcast((flat, common))
+        given = texts.sparkSession.sparkContext.broadcast((flat, known))
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
             start, known = given.value
@@ -168,7 +235,7 @@ def train(texts: DataFrame, common: np.ndarray) -> np.ndarray:
                 data, starts = flat_text(batch.column(0))
                 for i, j in runs_of_rows(starts, CHUNK):
                     tokens, before = token_ids(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i], known)
-                    trainer.learn(neighbours(tokens, before), tokens)
+                    trainer.learn(neighbours(tokens, before), known.classes(tokens))
             if trainer.words:
                 part = TaskContext.get().partitionId()
                 blob = trainer.flat.astype("<f8").tobytes()
@@ -197,21 +264,35 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Null and empty texts, and texts of white space, have no words, a sum of 0 and a null mean. Equal texts score alike; an
     empty table gives no rows."""
     inner = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    common = common_words(inner.select("text"))
-    given = docs.sparkSession.sparkContext.broadcast((train(inner.select("text"), common), common))
-    out = inner.select("doc_id").schema.add("n_words", "long").add("log_prob", "double")
+    counts = materialise(word_counts(inner.select("text")))
+    words_known, totals = vocabulary(counts)
+    given = docs.sparkSession.sparkContext.broadcast((train(inner.select("text"), words_known), words_known))
+    out = inner.select("doc_id").schema.add("n_words", "long").add("units", "long").add("rare", ArrayType(LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, known = unpack(given.value[0]), given.value[1]
         for batch in batches:
             data, starts = flat_text(batch.column(1))
-            n, sums = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            n, sums, rare_before, rare = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows + 1, np.int64), []
             for i, j in runs_of_rows(starts, CHUNK):
-                tokens, before = token_ids(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i], known)
-                logs = log_probabilities(weights, neighbours(tokens, before), tokens)
-                total = np.concatenate([[0], np.cumsum(logs, dtype=np.float64)])
+                words, before = word_hashes(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
+                tokens = _tokens(words, known)
+                logs = log_probabilities(weights, neighbours(tokens, before), known.classes(tokens)) + known.logs(tokens)
+                total = np.concatenate([[0], np.cumsum(np.rint(logs * UNIT).astype(np.int64))])
                 n[i:j], sums[i:j] = np.diff(before), total[before[1:]] - total[before[:-1]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sums)], names=out.names)
-
+                unknown = (tokens >= COMMON) & (tokens < EDGE)
+                rare.append(words[unknown].view(np.int64))
+                rare_before[i + 1 : j + 1] = np.diff(np.concatenate([[0], np.cumsum(unknown)])[before])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(rare_before).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *rare])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sums), lists], names=out.names)
+
+    scored = materialise(inner.mapInArrow(run, out).withColumn("rid", F.monotonically_increasing_id()))
+    # The words that are not known: their shares of their buckets, from the counts.
+    total = F.greatest("n", F.element_at(F.array(*[F.lit(int(t)) for t in totals]), bucket() + 1))  # a common word is in no bucket
+    shares = counts.select("word", F.round(F.log(F.col("n") / total) * UNIT).cast("long").alias("share"))
+    each = scored.select("rid", F.explode("rare").alias("word"))
+    added = each.join(shares, "word").groupBy("rid").agg(F.sum("share").alias("added"))
+    whole = scored.join(added, "rid", "left")
+    log_prob = (F.col("units") + F.coalesce("added", F.lit(0))) / F.lit(float(UNIT))
     mean = F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words"))
-    return inner.mapInArrow(run, out).withColumn("mean_log_prob", mean)
+    return whole.select("doc_id", "n_words", log_prob.alias("log_prob")).withColumn("mean_log_prob", mean)

@@ -150,3 +150,19 @@ def test_every_text_is_learned_from(spark):
     start = masked_lm.initial()
     learned = masked_lm.train(texts, masked_lm.common_words(texts))
     assert not np.array_equal(learned[: len(start)], start)
+
+
+@pytest.mark.parametrize("known", [masked_lm.KNOWN, 1])
+def test_words_of_a_bucket_are_told_apart_by_their_share(make_docs, monkeypatch, known):
+    monkeypatch.setattr(masked_lm, "KNOWN", known, raising=False)
+    by_bucket = {}
+    for i in range(2000):
+        data = np.frombuffer(f"rare{i}".encode(), np.uint8)
+        by_bucket.setdefault(int(masked_lm.word_hashes(data, np.array([0, len(data)]))[0][0] >> np.uint64(58)), []).append(f"rare{i}")
+    a, b, c = by_bucket[7][:3]
+    common = [(100 + i, f"often{i} " * 50) for i in range(masked_lm.COMMON)]
+    rows = [(1, a), (2, b), (3, c), (4, f"{a} {a} {a} {a} {b}"), *common]
+    got = {r["doc_id"]: r["log_prob"] for r in masked_lm.scores(make_docs(rows)).collect()}
+    assert math.isclose(got[1] - got[2], math.log(5 / 2), abs_tol=1e-4) and math.isclose(got[2] - got[3], math.log(2), abs_tol=1e-4)
+    words = lambda texts: len(masked_lm.common_words(make_docs(texts).select("text")).words)
+    assert words(rows) == masked_lm.COMMON + (3 if known > 1 else 0)
