@@ -9,7 +9,6 @@ themselves terminate. Every layer carries, for each of its characters, the stret
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -37,7 +36,14 @@ LARGEST_LAYER = 32 << 20
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Text between other bytes, at least as long as the shortest assignment, "token=" and six more.
+READABLE = re.compile(
+    rb"(?:[\t-\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
+    rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){12,}"
+)
+#: How compressed bytes begin.
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
 #: Texts without such a run of 24 need no search for hexadecimal strings.
 LONG_HEX = re.compile(r"[0-9a-f]{24}")
 
@@ -128,45 +134,87 @@ def _readable(raw: bytes) -> str | None:
     return text if text and all(c.isprintable() or c.isspace() for c in text) else None
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    """The bytes inside compressed ones, one more than LARGEST_LAYER if there are that many; None if not compressed."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, LARGEST_LAYER + 1)
-        if raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
-            return zlib.decompressobj().decompress(raw, LARGEST_LAYER + 1)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, LARGEST_LAYER + 1)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(raw, LARGEST_LAYER + 1)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError):
-        pass
+def _decompressor(raw: bytes):
+    if raw[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
+        return zlib.decompressobj()
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
     return None
 
 
+def _inflated(raw: bytes) -> tuple[bytes, bool] | None:
+    """The bytes inside compressed ones, and whether the end was reached; None if not compressed.
+
+    More than LARGEST_LAYER if there are that many."""
+    parts, size = [], 0
+    while size <= LARGEST_LAYER and (unpack := _decompressor(raw)) is not None:
+        try:
+            part = unpack.decompress(raw, LARGEST_LAYER + 1 - size)
+        except (zlib.error, OSError, EOFError, lzma.LZMAError):
+            break
+        parts.append(part)
+        size += len(part)
+        if not unpack.eof:
+            return b"".join(parts), False
+        break
+    return (b"".join(parts), True) if parts else None
+
+
+def _decoded(body: str) -> bytes:
+    """The bytes of a run, of either alphabet, as far as they are whole."""
+    body = body[:-1] if len(body) % 4 == 1 else body
+    return base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
+
+
+def _from_run(layer: Layer, places: np.ndarray, body: str, end: int) -> tuple[list[Layer | Span], bool]:
+    """What is inside a base64 run, given the places of its characters, and whether the run is one whole text."""
+    found: list[Layer | Span] = []
+
+    def laid(text: str, shift: int, skipped: int) -> Layer:
+        at = skipped + np.cumsum([0, *(len(c.encode()) for c in text)])
+        return layer.inner(text, places[shift + at[:-1] * 4 // 3], places[np.minimum(shift - (-at[1:] * 4 // 3), len(body)) - 1] + 1)
+
+    def unpacked(raw: bytes, first: int) -> bool:
+        """Adds the text inside compressed bytes; whether they are whole."""
+        inside = _inflated(raw)
+        whole = inside is not None and inside[1]
+        while inside is not None and len(inside[0]) <= LARGEST_LAYER and (deeper := _inflated(inside[0])) is not None:
+            inside, whole = deeper, whole and deeper[1]
+        if inside is not None and len(inside[0]) > LARGEST_LAYER:
+            found.append((*layer.source(first, end), "oversize"))
+            return True
+        if inside is not None and (text := _readable(inside[0])) is not None:
+            found.append(layer.inner(text, np.full(len(text), first), np.full(len(text), end)))
+            return whole
+        return False
+
+    raw = _decoded(body)
+    if len(body) % 4 != 1:
+        text = _readable(raw)
+        if text is not None:
+            return [laid(text, 0, 0)], True
+        if unpacked(raw, int(places[0])):
+            return found, True
+    # Something else stands before or behind it: every start is one of four alignments.
+    for shift in range(4):
+        raw = _decoded(body[shift:])
+        for m in READABLE.finditer(raw):
+            found.append(laid(m[0].decode(), shift, m.start()))
+        for m in PACKED.finditer(raw):
+            if shift or m.start() or len(body) % 4 == 1:
+                unpacked(raw[m.start() :], int(places[shift + m.start() * 4 // 3]))
+    return found, False
+
+
 def _from_base64(layer: Layer) -> Iterator[Layer | Span]:
     """The texts inside the layer's base64 runs, compressed or not; an oversize span for one that is too large."""
     for m in BASE64.finditer(layer.text):
         body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-        except binascii.Error:
-            continue
-        text = _readable(raw)
-        if text is not None:
-            at = np.cumsum([0, *(len(c.encode()) for c in text)])
-            yield layer.inner(text, m.start() + at[:-1] * 4 // 3, m.start() + np.minimum(-(-at[1:] * 4 // 3), len(body)))
-            continue
-        inside = _inflated(raw)
-        while inside is not None and len(inside) <= LARGEST_LAYER and (deeper := _inflated(inside)) is not None:
-            inside = deeper
-        if inside is not None and len(inside) > LARGEST_LAYER:
-            yield (*layer.source(*m.span()), "oversize")
-        elif inside is not None and (text := _readable(inside)) is not None:
-            n = len(text)
-            yield layer.inner(text, np.full(n, m.start()), np.full(n, m.end()))
+        yield from _from_run(layer, np.arange(m.start(), m.start() + len(body)), body, m.end())[0]
 
 
 def scan(text: str) -> tuple[list[Span], set[Span]]:
