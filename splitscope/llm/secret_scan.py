@@ -37,6 +37,8 @@ LARGEST_LAYER = 32 << 20
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over several lines.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]++)++={0,2}")
 #: Text between other bytes, at least as long as the shortest assignment, "token=" and six more.
 READABLE = re.compile(
     rb"(?:[\t-\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
@@ -85,12 +87,19 @@ def find(text: str) -> list[Span]:
 
 
 def _percent(run: str) -> list[tuple[str, int]] | None:
-    """The characters of a run of percent escapes, each with how much of the run it takes."""
-    try:
-        text = bytes.fromhex(run.replace("%", "")).decode()
-    except UnicodeDecodeError:
+    """The characters of a run of percent escapes, each with how much of the run it takes; bytes that are not text stay escaped."""
+    raw = bytes.fromhex(run.replace("%", ""))
+    chars = [(c, 3 * len(c.encode("utf-8", "surrogateescape"))) for c in raw.decode("utf-8", "surrogateescape")]
+    if all("\udc80" <= c <= "\udcff" for c, _ in chars):
         return None
-    return [(c, 3 * len(c.encode())) for c in text]
+    out, at = [], 0
+    for c, width in chars:
+        if "\udc80" <= c <= "\udcff":
+            out += [(x, 1) for x in run[at : at + 3]]
+        else:
+            out.append((c, width))
+        at += width
+    return out
 
 
 def _unicode(run: str) -> list[tuple[str, int]] | None:
@@ -147,7 +156,7 @@ def _decompressor(raw: bytes):
 
 
 def _inflated(raw: bytes) -> tuple[bytes, bool] | None:
-    """The bytes inside compressed ones, and whether the end was reached; None if not compressed.
+    """The bytes inside compressed ones, of all members on end, and whether the end was reached; None if not compressed.
 
     More than LARGEST_LAYER if there are that many."""
     parts, size = [], 0
@@ -160,7 +169,7 @@ def _inflated(raw: bytes) -> tuple[bytes, bool] | None:
         size += len(part)
         if not unpack.eof:
             return b"".join(parts), False
-        break
+        raw = unpack.unused_data
     return (b"".join(parts), True) if parts else None
 
 
@@ -211,8 +220,22 @@ def _from_run(layer: Layer, places: np.ndarray, body: str, end: int) -> tuple[li
 
 
 def _from_base64(layer: Layer) -> Iterator[Layer | Span]:
-    """The texts inside the layer's base64 runs, compressed or not; an oversize span for one that is too large."""
+    """The texts inside the layer's base64 runs, compressed or not; an oversize span for one that is too large.
+
+    Lines that continue each other are one run; each line is one as well, unless the lines together are one whole text."""
+    whole_lines: list[tuple[int, int]] = []
+    for m in WRAPPED.finditer(layer.text):
+        chars = np.array([c not in "\r\n=" for c in m[0]])
+        found, whole = _from_run(layer, m.start() + np.flatnonzero(chars), re.sub(r"[\r\n=]", "", m[0]), m.end())
+        yield from found
+        if whole:
+            whole_lines.append(m.span())
+    at = 0
     for m in BASE64.finditer(layer.text):
+        while at < len(whole_lines) and whole_lines[at][1] <= m.start():
+            at += 1
+        if at < len(whole_lines) and whole_lines[at][0] <= m.start():
+            continue
         body = m[0].rstrip("=")
         yield from _from_run(layer, np.arange(m.start(), m.start() + len(body)), body, m.end())[0]
 
