@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from splitscope.llm import bpe, decontaminate, language, masked_lm, quality
+from splitscope.llm import bpe, decontaminate, language, masked_lm, ngram_join, quality
 from splitscope.llm import exact_dedup as exact
 from splitscope.llm import near_dedup as near
 from splitscope.llm import repeats, secret_scan, token_counts
@@ -63,6 +63,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
+def op12_multi_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(documents(spark, sf_dir), percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_spaced_seeds": op1_spaced_seeds,
@@ -75,11 +79,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_kneser_ney": op8_kneser_ney,
         "op9_minhash_odd_sketch": op9_minhash_odd_sketch,
         "op10_language_id": op10_language_id,
+        "op12_multi_order_join": op12_multi_order_join,
     }
 
 
+#: Components of the documents that share enough five-word shingles.
+GROUPS_SQL = r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+    s AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 5 THEN [array_to_string(t, ' ')]
+               ELSE list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')) END) AS g FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id
+          GROUP BY ALL),
+    e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+          WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+    r AS (SELECT doc_id, doc_id AS reached FROM documents
+          UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached)
+    SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reached) AS component_id
+    FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_multi_order_join": GROUPS_SQL,
         "op1_spaced_seeds": r"""
             WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'),
                        lambda x: x <> '') AS t FROM documents),
