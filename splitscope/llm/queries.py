@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from splitscope.llm import bpe, decontaminate, language, masked_lm, ngram_join, quality
 from splitscope.llm import exact_dedup as exact
 from splitscope.llm import near_dedup as near
-from splitscope.llm import repeats, secret_scan, token_counts
+from splitscope.llm import periodic_runs, repeats, secret_scan, token_counts
 
 #: Rank file of the tokenizer queries.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -67,6 +68,20 @@ def op12_multi_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(documents(spark, sf_dir), percent=80)
 
 
+def repeated_tail(doc_id: int | None, n: int) -> tuple[int, int] | None:
+    """One row in ten, by the checksum of its id, repeats the words from ``a`` on with period ``p``; rows without id do not."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    return a, 1 + (n - a) // (3 + g % 8)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(documents(spark, sf_dir), exponent=4, least=6, rewrite=repeated_tail)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_spaced_seeds": op1_spaced_seeds,
@@ -80,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_minhash_odd_sketch": op9_minhash_odd_sketch,
         "op10_language_id": op10_language_id,
         "op12_multi_order_join": op12_multi_order_join,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
