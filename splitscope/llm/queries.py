@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from splitscope.llm import bpe, decontaminate, language, masked_lm, ngram_join, quality
 from splitscope.llm import exact_dedup as exact
 from splitscope.llm import near_dedup as near
-from splitscope.llm import periodic_runs, repeats, secret_scan, token_counts
+from splitscope.llm import periodic_runs, repeats, secret_scan, token_counts, vector_codes
 
 #: Rank file of the tokenizer queries.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -64,6 +64,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
+def op11_walsh_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op12_multi_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(documents(spark, sf_dir), percent=80)
 
@@ -94,11 +98,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_kneser_ney": op8_kneser_ney,
         "op9_minhash_odd_sketch": op9_minhash_odd_sketch,
         "op10_language_id": op10_language_id,
+        "op11_walsh_codes": op11_walsh_codes,
         "op12_multi_order_join": op12_multi_order_join,
         "op13_periodic_runs": op13_periodic_runs,
     }
 
 
+def codes_sql(rounds: int = 6) -> str:
+    """Assignment and averaging unrolled, one table expression a round."""
+    near = """n{i} AS (
+        SELECT row, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+            SELECT row, x.part, entry, sum((x.v - c.v) * (x.v - c.v)) AS d FROM x JOIN c{i} c ON x.part = c.part AND x.pos = c.pos
+            GROUP BY ALL) GROUP BY row, part)"""
+    move = """s{i} AS (
+        SELECT part, entry, pos, sum(x.v)::HUGEINT AS s, count(*) AS n FROM x JOIN n{i} USING (row, part) GROUP BY ALL),
+    c{j} AS (
+        SELECT part, entry, pos, CASE WHEN n IS NULL THEN v ELSE ((s - ((s % n) + n) % n) // n)::BIGINT END AS v
+        FROM c{i} LEFT JOIN s{i} USING (part, entry, pos))"""
+    steps = ",\n    ".join(f"{near.format(i=i)},\n    {move.format(i=i, j=i + 1)}" for i in range(rounds))
+    return f"""
+    WITH k AS (
+        SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS row, vec_id, label, embedding AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+              AND len(embedding) > 0),
+    u AS (SELECT row, unnest(e) AS v, generate_subscripts(e, 1) - 1 AS i, len(e) // 8 AS w FROM k),
+    x AS MATERIALIZED (SELECT row, i // w AS part, i % w AS pos, floor(4096e0 * v::DOUBLE)::BIGINT AS v FROM u),
+    c0 AS (SELECT part, row AS entry, pos, v FROM x WHERE row < 16),
+    {steps},
+    {near.format(i=rounds)},
+    h AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, pos)) AS sha FROM c{rounds}),
+    r AS (SELECT row, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM n{rounds} GROUP BY row)
+    SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, sha AS codebooks_sha256
+    FROM r JOIN k USING (row), h"""
+
+
 #: Components of the documents that share enough five-word shingles.
 GROUPS_SQL = r"""
     WITH RECURSIVE w AS (
@@ -120,6 +153,7 @@ GROUPS_SQL = r"""
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_walsh_codes": codes_sql(),
         "op12_multi_order_join": GROUPS_SQL,
         "op1_spaced_seeds": r"""
             WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'),
