@@ -8,10 +8,16 @@ compared with all the others that have the token, by a join whose condition refu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from splitscope.llm.common import materialise
+
+#: Rounds of neighbours before outsiders are compared; more or fewer change the cost, not the result.
+ROUNDS = 2
 #: Rows of a token that are ordered together; a common token's rows are dealt to as many blocks as it takes.
 BLOCK = 500
 
@@ -50,3 +56,55 @@ def outsiders(rows: DataFrame, payload: DataFrame, allowed: Column) -> DataFrame
     once = F.expr("component_x != component_y AND (component_y = top_y OR component_x < component_y)")
     pairs = x.join(y, "token").filter(once & allowed)
     return pairs.select(F.least("rid_x", "rid_y").alias("a"), F.greatest("rid_x", "rid_y").alias("b")).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """A row (rid, component) for each end of an edge; component is the smallest end that can be reached.
+
+    Alternates two steps until they change nothing: each node ties its larger neighbours to the smallest one around
+    it, then ties its smaller neighbours and itself to the smallest of them. Both are one grouped minimum and one join;
+    paths shorten to stars in a number of rounds that grows with the logarithm of the edges."""
+    stars = materialise(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
+    while True:
+        around = stars.select("v", "u").union(stars.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        low = around.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"))
+        large = around.filter("u > v").join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        small = large.groupBy("v").agg(F.min("u").alias("m"))
+        tied = large.join(small, "v")
+        step = tied.filter("u != m").select(F.col("u").alias("v"), F.col("m").alias("u"))
+        now = materialise(step.union(small.select("v", F.col("m").alias("u"))).distinct())
+        marks = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
+        if marks(now) == marks(stars):
+            heads = now.select("u").distinct().select(F.col("u").alias("rid"), F.col("u").alias("component"))
+            return now.select(F.col("v").alias("rid"), F.col("u").alias("component")).union(heads)
+        stars = now
+
+
+def linked(
+    rows: DataFrame,
+    payload: DataFrame,
+    allowed: Column,
+    confirm: Callable[[DataFrame], DataFrame],
+    parts: DataFrame | None = None,
+    edges: DataFrame | None = None,
+) -> DataFrame | None:
+    """Components (rid, component) of the links among texts that share tokens; texts that no link reaches may be missing.
+
+    ``rows`` has (token, rid); ``allowed`` is the condition of :func:`outsiders` over ``payload``; ``confirm`` gives the linked
+    ones of pairs (a, b). ``parts`` and ``edges``: components and links that are known already."""
+    side = lambda c, s: payload.select(F.col("rid").alias(c), *[F.col(n).alias(f"{n}_{s}") for n in payload.columns if n != "rid"])
+    for step in range(ROUNDS + 1):
+        if parts is None:
+            placed = rows.select("token", "rid", F.col("rid").alias("component"))
+        else:
+            placed = rows.join(parts, "rid", "left").select("token", "rid", F.coalesce("component", "rid").alias("component"))
+        if step < ROUNDS:
+            pairs = neighbours(placed, step).join(side("a", "x"), "a").join(side("b", "y"), "b").filter(allowed).select("a", "b")
+        else:
+            pairs = outsiders(placed, payload, allowed)
+        found = materialise(confirm(materialise(pairs)))
+        if found.isEmpty():
+            continue
+        edges = found if edges is None else edges.union(found)
+        parts = materialise(components(edges))
+    return parts

@@ -8,7 +8,9 @@
 3. Buckets that still hold several components are not paired out, since a passage that many texts share fills them with
    unlinked texts. Their texts are compared where they share one of their rarest shingles, which any two texts of the similarity
    do, and where the parities of their whole sets allow it: texts that differ in d shingles never differ in more than d bits.
-   Sketches rule out, exact sets confirm. So every pair that shares a bucket is confirmed, ruled out, or already connected.
+   Neighbours under a common shingle meet first, so that components grow before all that remain apart are compared
+   (:mod:`splitscope.llm.meetings`). Sketches rule out, exact sets confirm. So every pair that shares a bucket is confirmed,
+   ruled out, or already connected.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from splitscope.llm import meetings
 from splitscope.llm.common import flat_text, materialise, mix64, runs_of_rows, with_row_id
+from splitscope.llm.meetings import components
 
 #: Words in a shingle.
 SHINGLE = 5
@@ -33,7 +37,7 @@ HASHES = BANDS * ROWS
 SKETCH = 512
 #: Standard deviations that sketches are trusted by: links are lost to them once in about ten billion.
 CERTAIN = 6.4
-#: Parity bits of a whole set, which travel with its rare shingles so that the join itself leaves near misses out.
+#: Parity bits of a whole set, by which the join of rare shingles itself leaves near misses out.
 PARITY = 1024
 #: Cells that shingles are counted in for the order from rare to common.
 CELLS = 1 << 20
@@ -225,34 +229,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """A row (rid, component) for each end of an edge; component is the smallest end that can be reached.
-
-    Alternates two steps until they change nothing: each node ties its larger neighbours to the smallest one around
-    it, then ties its smaller neighbours and itself to the smallest of them. Both are one grouped minimum and one join;
-    paths shorten to stars in a number of rounds that grows with the logarithm of the edges."""
-    stars = materialise(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
-    while True:
-        around = stars.select("v", "u").union(stars.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = around.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"))
-        large = around.filter("u > v").join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
-        small = large.groupBy("v").agg(F.min("u").alias("m"))
-        tied = large.join(small, "v")
-        step = tied.filter("u != m").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        now = materialise(step.union(small.select("v", F.col("m").alias("u"))).distinct())
-        marks = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
-        if marks(now) == marks(stars):
-            heads = now.select("u").distinct().select(F.col("u").alias("rid"), F.col("u").alias("component"))
-            return now.select(F.col("v").alias("rid"), F.col("u").alias("component")).union(heads)
-        stars = now
-
-
 def _in_mixed_buckets(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """Rows (rid, component) of the classes that share a bucket with a class of another component."""
+    """The classes (rid) that share a bucket with a class of another component."""
     part = F.coalesce("component", "rid").alias("component")
     placed = members.join(parts, "rid", "left").select("key", "rid", part)
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
-    return placed.join(mixed.select("key"), "key", "left_semi").select("rid", "component").distinct()
+    return placed.join(mixed.select("key"), "key", "left_semi").select("rid").distinct()
 
 
 def _each_set(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
@@ -300,7 +282,7 @@ def _parities_allow(percent: int) -> Column:
 
 
 def _rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
-    """Rows (shingle, rid, component, n, parity): the rarest shingles of each set of (rid, component, text).
+    """Rows (token, rid): the rarest shingles of each set of (rid, text).
 
     Under any one order of all shingles, two sets of the similarity share one among the first n - ceil(percent * n / 100) + 1 of
     each. Ordered by how full their cell is, rare ones come first, and those alone in their cell match nothing."""
@@ -308,31 +290,39 @@ def _rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, row, own in _each_set(batches):
-            n = len(own)
             full = cells.value[(own % U(CELLS)).astype(np.int64)]
-            first = np.lexsort((own, full))[: n + percent * n // -100 + 1]
+            first = np.lexsort((own, full))[: len(own) + percent * len(own) // -100 + 1]
             first = first[full[first] > 1]
-            same = lambda v: pa.array(np.full(len(first), v, np.int64))
-            columns = [own[first].view(np.int64), same(batch.column(0)[row].as_py()), same(batch.column(1)[row].as_py()), same(n)]
             if len(first):
-                bits = pa.FixedSizeListArray.from_arrays(np.tile(parities(own), len(first)), PARITY // 64).cast(pa.list_(pa.int64()))
-                names = ["shingle", "rid", "component", "n", "parity"]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), bits], names=names)
+                rid = np.full(len(first), batch.column(0)[row].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own[first].view(np.int64)), pa.array(rid)], names=["token", "rid"])
+
+    return texts.mapInArrow(run, "token long, rid long")
+
+
+def _whole_parities(texts: DataFrame) -> DataFrame:
+    """(rid, n, parity) for each (rid, text): the size of its set and the set's parities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, row, own in _each_set(batches):
+            columns = [batch.column(0).slice(row, 1), pa.array([len(own)]), pa.array([parities(own).tolist()], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["rid", "n", "parity"])
+
+    return texts.mapInArrow(run, "rid long, n long, parity array<long>")
+
 
-    return texts.mapInArrow(run, "shingle long, rid long, component long, n long, parity array<long>")
+def _across(mixed: DataFrame, parts: DataFrame, edges: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Components once the classes (rid) of mixed buckets are linked across components too: they are tried where they share a
+    rare shingle and where sizes, parities and sketches allow the similarity, group by group of components."""
+    found = materialise(mixed.join(texts, "rid").select("rid", "text"))
+    rows = materialise(_rare_shingles(found, percent))
+    known = materialise(_whole_parities(found))
+    allowed = (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & _parities_allow(percent)
 
+    def confirm(pairs: DataFrame) -> DataFrame:
+        return confirmed(_plausible(pairs, classes, percent), found, percent)
 
-def _across(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a rare shingle and whose sizes and parities allow the similarity."""
-    found = materialise(mixed.join(texts, "rid").select("rid", "component", "text"))
-    rare = materialise(_rare_shingles(found, percent))
-    parted = rare.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
-    rows = rare.join(parted.select("shingle"), "shingle", "left_semi")
-    x, y = (rows.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("rid", "component", "n", "parity")]) for s in "xy")
-    fits = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
-    apart = F.col("component_x") < F.col("component_y")
-    pairs = x.join(y, "shingle").filter(apart & fits & _parities_allow(percent))
-    return pairs.select(F.least("rid_x", "rid_y").alias("a"), F.greatest("rid_x", "rid_y").alias("b")).distinct()
+    return meetings.linked(rows, known, allowed, confirm, parts, edges)
 
 
 def linked_rows(texts: DataFrame, percent: int) -> DataFrame:
@@ -348,11 +338,7 @@ def linked_rows(texts: DataFrame, percent: int) -> DataFrame:
     tried = materialise(_plausible(stars, classes, percent))
     edges = materialise(confirmed(tried, texts, percent))
     parts = materialise(components(edges))
-    across = _across(_in_mixed_buckets(members.select("key", "rid"), parts), texts, percent)
-    untried = materialise(_plausible(across.join(tried, ["a", "b"], "left_anti"), classes, percent))
-    more = materialise(confirmed(untried, texts, percent))
-    if not more.isEmpty():
-        parts = components(edges.union(more))
+    parts = _across(_in_mixed_buckets(members.select("key", "rid"), parts), parts, edges, classes, texts, percent)
     own = signed.join(heads, names, "left").select("rid", "n_shingles", F.coalesce("head", "rid").alias("head"))
     placed = own.join(parts.select(F.col("rid").alias("head"), "component"), "head", "left")
     return placed.select("rid", "n_shingles", F.coalesce("component", "head").alias("component"))

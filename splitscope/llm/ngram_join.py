@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from splitscope.llm import meetings
 from splitscope.llm.common import flat_text, materialise, mix64, runs_of_rows, with_row_id
-from splitscope.llm.near_dedup import components, shingle_sets
+from splitscope.llm.near_dedup import shingle_sets
 
 #: Token orders; the first one finds candidates, the others confirm them.
 ORDERS = 3
@@ -32,8 +32,6 @@ ORDERS = 3
 PARITY = 1024
 #: Shingles that one task counts at a time, and bytes of text hashed at a time.
 SHARE, CHUNK = 1 << 21, 1 << 22
-#: Rounds of neighbours before outsiders are compared; more or fewer change the cost, not the result.
-ROUNDS = 2
 
 U = np.uint64
 STEP = U(0x9E3779B97F4A7C15)
@@ -229,31 +227,6 @@ def verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _links(known: DataFrame, percent: int) -> DataFrame | None:
-    """Components (rid, component) of the linked classes; None if there are no links."""
-    rows = materialise(known.select(F.explode(F.col("prefixes")[0]).alias("token"), "rid"))
-    payload = known.select("rid", "n", "alone", "parity")
-    side = lambda c, s: payload.select(F.col("rid").alias(c), *[F.col(n).alias(f"{n}_{s}") for n in payload.columns[1:]])
-    edges = parts = None
-    for step in range(ROUNDS + 1):
-        if parts is None:
-            placed = rows.withColumn("component", F.col("rid"))
-        else:
-            placed = rows.join(parts, "rid", "left").select("token", "rid", F.coalesce("component", "rid").alias("component"))
-        if step < ROUNDS:
-            pairs = meetings.neighbours(placed, step)
-            pairs = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(allowed(percent)).select("a", "b")
-        else:
-            pairs = meetings.outsiders(placed, payload, allowed(percent))
-        tried = under_all_orders(materialise(pairs), known)
-        found = materialise(verified(tried, known, percent))
-        if found.isEmpty():
-            continue
-        edges = found if edges is None else edges.union(found)
-        parts = materialise(components(edges))
-    return parts
-
-
 def linked_rows(texts: DataFrame, percent: int) -> DataFrame:
     """For each row of (rid, text): ``rid``, ``n_shingles`` and ``component``, the smallest rid it is connected with."""
     named = materialise(named_sets(texts))
@@ -264,7 +237,11 @@ def linked_rows(texts: DataFrame, percent: int) -> DataFrame:
     pieces = shared.groupBy("set_a").agg(F.sum("n_shared").alias("n_shared"), F.collect_list(F.struct("tokens", "ranks")).alias("pieces"))
     enough = heads.join(pieces, "set_a").filter(100 * F.col("n_shared") >= percent * F.col("n_shingles"))
     gathered = enough.select(F.col("head").alias("rid"), F.col("n_shingles").alias("n"), "pieces")
-    parts = _links(materialise(classes(gathered, percent)), percent)
+    known = materialise(classes(gathered, percent))
+    rows = materialise(known.select(F.explode(F.col("prefixes")[0]).alias("token"), "rid"))
+    parts = meetings.linked(
+        rows, known.select("rid", "n", "alone", "parity"), allowed(percent), lambda p: verified(under_all_orders(p, known), known, percent)
+    )
     own = named.join(heads, keys, "left").select("rid", "n_shingles", F.coalesce("head", "rid").alias("component"))
     if parts is None:
         return own

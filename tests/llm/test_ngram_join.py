@@ -14,7 +14,7 @@ from tests.llm.test_dedup import _components, _near_rows
 
 @pytest.mark.parametrize(("percent", "rounds"), [(80, 2), (80, 0), (60, 1)])
 def test_groups_are_those_of_all_pairs(make_docs, percent, rounds, monkeypatch):
-    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    monkeypatch.setattr(meetings, "ROUNDS", rounds)
     monkeypatch.setattr(ngram_join, "SHARE", 500)
     monkeypatch.setattr(meetings, "BLOCK", 7)
     rows = _near_rows(160, percent + rounds)
