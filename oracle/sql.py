@@ -538,6 +538,74 @@ JOIN rails r ON r.experiment_id = t.experiment_id AND r.variant = t.variant
 JOIN lengths d ON d.experiment_id = t.experiment_id"""
 
 
+# Session metrics in the channel of their session.
+SESSION_CHANNEL = """
+sc AS (
+  SELECT s.*, c.channel FROM sd s
+  LEFT JOIN channels c ON c.user_pseudo_id = s.user_pseudo_id AND c.session_id = s.session_id
+)"""
+
+
+def in_channels(text: str) -> str:
+    """A statement per variant of the session metrics, per channel as well."""
+    text = text.replace("FROM sd GROUP BY 1, 2, 3", "FROM sc GROUP BY ALL")
+    text = text.replace("FROM sd GROUP BY variant ORDER BY variant", "FROM sc GROUP BY channel, variant")
+    return text.replace("SELECT experiment_id, variant,", "SELECT channel, experiment_id, variant,").replace("SELECT variant,", "SELECT channel, variant,")
+
+
+def channel_split(arms) -> str:
+    """The split by the channel of first exposure: every arm in each channel that its experiment was seen in."""
+    planned = ", ".join(f"('{e}', '{v}', {share})" for e, v, _, share, _ in arms)
+    return f"""
+planned(experiment_id, variant, share) AS (VALUES {planned}),
+seen_in AS (SELECT DISTINCT experiment_id, channel FROM u2),
+counts AS (
+  SELECT p.experiment_id, s.channel, p.variant, p.share, COUNT(u.user_pseudo_id) AS users
+  FROM planned p JOIN seen_in s ON s.experiment_id = p.experiment_id
+  LEFT JOIN u2 u ON u.experiment_id = p.experiment_id AND u.variant = p.variant AND u.channel IS NOT DISTINCT FROM s.channel
+  GROUP BY ALL
+),
+totals AS (SELECT experiment_id, channel, CAST(SUM(users) AS DOUBLE) AS total FROM counts GROUP BY ALL),
+parts AS (
+  SELECT c.*, t.total, t.total * c.share AS expected,
+         pow(c.users - t.total * c.share, 2) / NULLIF(t.total * c.share, 0) AS part
+  FROM counts c JOIN totals t ON t.experiment_id = c.experiment_id AND t.channel IS NOT DISTINCT FROM c.channel
+)"""
+
+
+def decision_by_channel(arms) -> str:
+    return f""",
+{views(arms)}, {exposed(USER)}, {units()}, {SOURCE}, {CHANNEL}, {UNIT_CHANNEL}, {channel_split(arms)},
+{stats('channel').replace('FROM u ', 'FROM u2 ')}, {pairs('vs', segment='channel')}, {Z},
+exs AS (SELECT experiment_id, variant, is_control, user_pseudo_id, session_id,
+               MIN(event_timestamp) AS session_start FROM arm_views GROUP BY 1, 2, 3, 4, 5),
+{metrics().replace('FROM ex e', 'FROM exs e')}, {SESSION_CHANNEL}, {in_channels(GUARD_STATS)},
+tests AS (
+  SELECT experiment_id, channel, a.variant AS control, b.variant AS variant, COALESCE(abs(z) > 1.96e0, FALSE) AS significant, z,
+         COALESCE({rnd('(pb - pa) / NULLIF(pa, 0) * 100', 2)} >= 15, FALSE) AS effect_ok
+  FROM z1
+),
+rails AS (
+  SELECT t.experiment_id, t.channel, t.variant,
+    NOT (COALESCE(b.bounce_rate_pct > a.bounce_rate_pct + 5, FALSE)
+      OR COALESCE(b.avg_session_duration_min < a.avg_session_duration_min * 0.8e0, FALSE)
+      OR COALESCE(b.cart_abandonment_rate_pct > a.cart_abandonment_rate_pct + 10, FALSE)) AS guardrails_ok
+  FROM tests t
+  JOIN gs a ON a.experiment_id = t.experiment_id AND a.channel IS NOT DISTINCT FROM t.channel AND a.variant = t.control
+  JOIN gs b ON b.experiment_id = t.experiment_id AND b.channel IS NOT DISTINCT FROM t.channel AND b.variant = t.variant
+),
+splits AS (SELECT experiment_id, channel, COUNT(*) = 2 AS two, COALESCE(SUM(part) <= CASE COUNT(*) WHEN 2 THEN 6.63e0
+             WHEN 3 THEN 9.210340371976184e0 END, FALSE) AS srm_ok FROM parts GROUP BY ALL)
+SELECT s.experiment_id, s.channel, t.variant, COALESCE(t.significant, FALSE) AS significant, COALESCE(t.effect_ok, FALSE) AS effect_ok,
+  COALESCE(r.guardrails_ok, FALSE) AS guardrails_ok, s.srm_ok,
+  CASE WHEN NOT (s.srm_ok AND COALESCE(r.guardrails_ok, FALSE)) THEN '{L.DECISION_INVALID}'
+       WHEN t.significant AND t.effect_ok THEN CASE WHEN two THEN '{L.DECISION_LAUNCH}' ELSE 'Launch ' || t.variant END
+       WHEN t.significant AND z < 0 THEN CASE WHEN two THEN '{L.DECISION_KEEP}' ELSE 'Keep ' || control END
+       ELSE '{L.DECISION_FOLLOW_UP}' END AS decision
+FROM splits s LEFT JOIN tests t ON t.experiment_id = s.experiment_id AND t.channel IS NOT DISTINCT FROM s.channel
+LEFT JOIN rails r ON r.experiment_id = t.experiment_id AND r.variant = t.variant AND r.channel IS NOT DISTINCT FROM t.channel"""
+
+
 def _with(*parts: str) -> str:
     """CTEs, then the statement as the last part, which may start with further
     CTEs of its own (led by a comma)."""
@@ -568,7 +636,72 @@ def statements() -> dict[str, str]:
     def crossover(keep: str):
         return (landing, exposed(USER), units(keep=keep), stats(), pairs("vs"), Z, z_select())
 
+    registry_channelled = (views(REGISTRY), exposed(USER), units(), SOURCE, CHANNEL, UNIT_CHANNEL)
+    session_channelled = (*sessions, SOURCE, CHANNEL, SESSION_CHANNEL)
+
+    def two_weeks(text: str) -> str:
+        return text.replace("TIMESTAMP '2024-01-01'", "TIMESTAMP '2024-01-08'").replace("TIMESTAMP '2024-02-01'", "TIMESTAMP '2024-01-22'")
+
+    rolled_up = (
+        "SELECT '{}' AS method, page_location, COUNT(DISTINCT user_pseudo_id) AS unique_users FROM ga4 WHERE {} "
+        "AND user_pseudo_id IS NOT NULL GROUP BY ALL"
+    )
+    by_url, by_param = (t.split("WHERE ")[-1].split("GROUP BY 1")[0] for t in (BY_URL, BY_PARAM))
+
     return {
+        "z_test_partitioned": two_weeks(_with(*tested, Z, z_select())),
+        "z_test_daily": _with(*registry, Z, z_select(lead)),
+        "srm_test_rolled_up": _with(srm(REGISTRY), srm_test_select(lead)),
+        "srm_counts_by_day": _with(
+            views(REGISTRY).replace("session_id, event_timestamp FROM", "session_id, event_timestamp, event_date FROM"),
+            "SELECT experiment_id, event_date, variant, COUNT(DISTINCT user_pseudo_id) AS users FROM arm_views GROUP BY ALL",
+        ),
+        "test_pages_rolled_up": _with(
+            rolled_up.format("url_pattern", by_url) + " UNION ALL " + rolled_up.format("event_param", by_param)
+        ),
+        "landing_page_view": _with(
+            "SELECT event_name, COUNT(*) AS n, COUNT(DISTINCT user_pseudo_id) AS users FROM ga4 GROUP BY event_name"
+        ),
+        "classify_variants_limited": _with(
+            "SELECT DISTINCT user_pseudo_id, session_id, page_location, CASE "
+            "WHEN page_location LIKE '%/landing-v1%' THEN 'Control_A' "
+            "WHEN page_location LIKE '%/landing-v2%' THEN 'Variant_B' ELSE 'Unknown' END AS experiment_variant "
+            "FROM ga4 WHERE event_name = 'page_view' AND page_location LIKE '%/landing%' "
+            "ORDER BY user_pseudo_id NULLS FIRST, session_id NULLS FIRST, page_location NULLS FIRST LIMIT 100"
+        ),
+        "experiment_page_views_limited": _with(
+            "SELECT user_pseudo_id, session_id, page_location, MIN(event_timestamp) AS session_start "
+            f"FROM ga4 WHERE event_name = 'page_view' AND {test_url} GROUP BY 1, 2, 3 "
+            "ORDER BY user_pseudo_id NULLS FIRST, session_id NULLS FIRST, page_location NULLS FIRST LIMIT 100"
+        ),
+        "guardrails_by_channel": _with(
+            *session_channelled, in_channels(GUARD_STATS), pairs("gs", "gab", "channel"), guard_select("channel,")
+        ),
+        "engagement_by_channel": _with(*session_channelled, in_channels(ENGAGEMENT_SELECT)),
+        "bounce_comparison_by_channel": _with(
+            *session_channelled,
+            in_channels(BOUNCE_SELECT).replace(pairs("rates", "rab"), pairs("rates", "rab", "channel")).replace(
+                ")\nSELECT", ")\nSELECT channel,"
+            ),
+        ),
+        "srm_split_by_channel": _with(
+            *channelled, channel_split(LANDING),
+            f"SELECT channel, variant, users, {rnd('expected', 0)} AS expected_users, "
+            f"{rnd('users / total * 100', 1)} AS actual_pct, {rnd('share * 100', 1)} AS expected_pct, "
+            f"{rnd('part', 2)} AS chi_square_component FROM parts",
+        ),
+        "srm_test_by_channel": _with(
+            *channelled, channel_split(LANDING),
+            srm_test_select("channel,").replace("SELECT experiment_id, SUM", "SELECT experiment_id, channel, SUM").replace("GROUP BY 1", "GROUP BY ALL"),
+        ),
+        "z_test_registry_by_channel": _with(
+            *registry_channelled,
+            stats("channel").replace("FROM u ", "FROM u2 "),
+            pairs("vs", segment="channel"),
+            Z,
+            z_select("experiment_id, channel,"),
+        ),
+        "launch_decision_by_channel": _with(decision_by_channel(REGISTRY)),
         "ga4_events": _with("SELECT * FROM ga4"),
         "landing_page_experiments": _with(
             "SELECT user_pseudo_id, session_id, page_location, event_timestamp, event_name FROM ga4"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitscope.functions.traffic import DIRECT_SOURCE, NO_MEDIUM, channel_group
@@ -12,6 +12,15 @@ from splitscope.operators.events import pin_column
 AUTO_EVENTS = ("session_start", "first_visit")
 
 
+def source_candidate() -> Column:
+    """What an event says of its session's source; the smallest one of the session settles it."""
+    named = F.col("source").isNotNull() | F.col("medium").isNotNull()
+    by_site = ~F.col("event_name").isin(*AUTO_EVENTS)
+    is_start = F.col("event_name") == "session_start"
+    rank = F.when(by_site & named, 0).when(is_start & named, 1).otherwise(2)
+    return F.struct(rank.alias("rank"), "event_timestamp", "source", "medium")
+
+
 def session_source(flat: DataFrame, with_first_event: bool = False) -> DataFrame:
     """Source and medium per user and session.
 
@@ -24,17 +33,12 @@ def session_source(flat: DataFrame, with_first_event: bool = False) -> DataFrame
     A minimum over (rank, time, source, medium) finds the row: it combines on
     the map side, and no session's events are ever gathered.
     """
-    named = F.col("source").isNotNull() | F.col("medium").isNotNull()
-    by_site = ~F.col("event_name").isin(*AUTO_EVENTS)
-    is_start = F.col("event_name") == "session_start"
-    rank = F.when(by_site & named, 0).when(is_start & named, 1).otherwise(2)
-    candidate = F.struct(rank.alias("rank"), "event_timestamp", "source", "medium")
     extra = [F.min("event_timestamp").alias("first_event")] if with_first_event else []
     resolved = (
         pin_column(flat, "session_id")
         .where(F.col("session_id").isNotNull())
         .groupBy("user_pseudo_id", "session_id")
-        .agg(F.min(candidate).alias("best"), *extra)
+        .agg(F.min(source_candidate()).alias("best"), *extra)
     )
     return resolved.select(
         "user_pseudo_id",
@@ -53,12 +57,6 @@ def session_channel(flat: DataFrame) -> DataFrame:
     )
 
 
-def add_segment(units: DataFrame, channels: DataFrame) -> DataFrame:
-    """Attach the channel of the session a unit was first exposed in.
-
-    ``units`` carries ``session_id``; both sides have one row per user and
-    session (and arm), so no join key is hot. Units without a known session
-    have a NULL channel.
-    """
-    keys = ["user_pseudo_id", "session_id"]
-    return units.join(channels.select(*keys, "channel"), keys, "left")
+def resolved_channel(best: Column) -> Column:
+    """The channel that a session's smallest :func:`source_candidate` stands for."""
+    return channel_group(F.coalesce(best["source"], F.lit(DIRECT_SOURCE)), F.coalesce(best["medium"], F.lit(NO_MEDIUM)))

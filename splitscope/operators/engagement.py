@@ -7,6 +7,8 @@ they do not depend on partitioning or row order.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from splitscope.functions.numeric import percent, ratio, round_half_away
 from splitscope.operators.pairing import pair_arms
 
 
+GUARDRAIL_METRICS = ("sessions", "bounce_rate_pct", "avg_session_duration_min", "cart_abandonment_rate_pct")
+
+
 def _share(flag: Column) -> Column:
     return ratio(F.count_if(flag), F.count("*"))
 
@@ -24,33 +29,54 @@ def _mean(count: str) -> Column:
     return ratio(F.sum(count), F.count("*"))
 
 
+def _hundredths() -> Column:
+    return F.floor(F.col("session_duration_min") * F.lit(100.0) + F.lit(0.5))
+
+
 def _mean_duration() -> Column:
-    hundredths = F.floor(F.col("session_duration_min") * F.lit(100.0) + F.lit(0.5))
-    return ratio(F.sum(hundredths), F.count("session_duration_min")) / F.lit(100.0)
+    return ratio(F.sum(_hundredths()), F.count("session_duration_min")) / F.lit(100.0)
 
 
 def _bounced() -> Column:
     return F.col("is_bounce") == 1
 
 
+def guardrail_sums() -> list[Column]:
+    """Aggregates over session metrics that :func:`guardrail_rates` needs; sums of them serve as well."""
+    abandoned = (F.col("added_to_cart") == 1) & (F.col("purchased") == 0)
+    return [
+        F.count("*").alias("session_rows"),
+        F.count_if(_bounced()).alias("bounces"),
+        F.sum(_hundredths()).alias("hundredths"),
+        F.count("session_duration_min").alias("timed"),
+        F.sum("pages_per_session").alias("pages"),
+        F.sum("added_to_cart").alias("carts"),
+        F.count_if(abandoned).alias("abandoned"),
+        F.sum("engagement_events").alias("engaged"),
+    ]
+
+
+def guardrail_rates() -> list[Column]:
+    """The secondary metrics, from the sums."""
+    mean = lambda total: ratio(F.col(total), F.col("session_rows"))
+    duration = ratio(F.col("hundredths"), F.col("timed")) / F.lit(100.0)
+    return [
+        percent(mean("bounces")).alias("bounce_rate_pct"),
+        round_half_away(duration, 2).alias("avg_session_duration_min"),
+        round_half_away(mean("pages"), 2).alias("avg_pages_per_session"),
+        percent(ratio(F.col("abandoned"), F.col("carts"))).alias("cart_abandonment_rate_pct"),
+        round_half_away(mean("engaged"), 2).alias("avg_engagement_events"),
+    ]
+
+
 def guardrail_stats(
-    metrics: DataFrame, experiments: Experiments = LANDING_PAGE, detail: bool = False
+    metrics: DataFrame, experiments: Experiments = LANDING_PAGE, detail: bool = False, segments: Sequence[str] = ()
 ) -> DataFrame:
     """Secondary metrics per variant. ``sessions`` counts distinct users;
     ``detail`` adds ``session_rows``, the rows averaged over."""
-    abandoned = (F.col("added_to_cart") == 1) & (F.col("purchased") == 0)
-    extra = [F.count("*").alias("session_rows")] if detail else []
-    return metrics.groupBy(*experiment_keys(experiments), "variant").agg(
-        F.countDistinct("user_pseudo_id").alias("sessions"),
-        percent(_share(_bounced())).alias("bounce_rate_pct"),
-        round_half_away(_mean_duration(), 2).alias("avg_session_duration_min"),
-        round_half_away(_mean("pages_per_session"), 2).alias("avg_pages_per_session"),
-        percent(ratio(F.count_if(abandoned), F.sum("added_to_cart"))).alias(
-            "cart_abandonment_rate_pct"
-        ),
-        round_half_away(_mean("engagement_events"), 2).alias("avg_engagement_events"),
-        *extra,
-    )
+    keys = [*experiment_keys(experiments), *segments, "variant"]
+    sums = metrics.groupBy(*keys).agg(F.countDistinct("user_pseudo_id").alias("sessions"), *guardrail_sums())
+    return sums.select(*keys, "sessions", *guardrail_rates(), *(["session_rows"] if detail else []))
 
 
 def guardrails(
@@ -58,19 +84,21 @@ def guardrails(
     experiments: Experiments = LANDING_PAGE,
     limits: GuardrailLimits = GuardrailLimits(),
     detail: bool = False,
+    segments: Sequence[str] = (),
 ) -> DataFrame:
     """Control against variant on the (rounded) guardrail metrics.
 
     A metric that is NULL in either arm passes; ``detail`` adds flags that tell
     whether each check had both values.
     """
-    metrics = [
-        "sessions",
-        "bounce_rate_pct",
-        "avg_session_duration_min",
-        "cart_abandonment_rate_pct",
-    ]
-    pairs = pair_arms(stats, experiments, metrics)
+    pairs = pair_arms(stats, experiments, GUARDRAIL_METRICS, segments)
+    return guardrail_checks(pairs, [*experiment_keys(experiments), *segments], limits, detail)
+
+
+def guardrail_checks(
+    pairs: DataFrame, keys: Sequence[str], limits: GuardrailLimits = GuardrailLimits(), detail: bool = False
+) -> DataFrame:
+    """The checks of each pair of arms ``a`` and ``b``, behind the columns ``keys``."""
     a, b = F.col("a"), F.col("b")
 
     def check(failed: Column, label: str) -> Column:
@@ -82,14 +110,14 @@ def guardrails(
     def both(metric: str) -> Column:
         return a[metric].isNotNull() & b[metric].isNotNull()
 
-    bounce, duration, cart = metrics[1:]
+    bounce, duration, cart = GUARDRAIL_METRICS[1:]
     extra = [
         both(bounce).alias("bounce_evaluable"),
         both(duration).alias("duration_evaluable"),
         both(cart).alias("cart_evaluable"),
     ]
     return pairs.select(
-        *experiment_keys(experiments),
+        *keys,
         a.variant.alias("control"),
         b.variant.alias("variant"),
         a.sessions.alias("control_sessions"),
@@ -113,12 +141,12 @@ def guardrails(
 
 
 def engagement_by_variant(
-    metrics: DataFrame, experiments: Experiments = LANDING_PAGE, detail: bool = False
+    metrics: DataFrame, experiments: Experiments = LANDING_PAGE, detail: bool = False, segments: Sequence[str] = ()
 ) -> DataFrame:
     """Engagement per variant. ``sessions`` counts distinct session ids;
     ``detail`` adds ``users`` and ``session_rows``, the rows the rates are
     taken over."""
-    keys = [*experiment_keys(experiments), "variant"]
+    keys = [*experiment_keys(experiments), *segments, "variant"]
     users = F.countDistinct("user_pseudo_id").alias("users")
     extra = [users, F.count("*").alias("session_rows")] if detail else []
     return (
@@ -137,16 +165,28 @@ def engagement_by_variant(
     )
 
 
+def bounce_rates(
+    metrics: DataFrame, experiments: Experiments = LANDING_PAGE, segments: Sequence[str] = ()
+) -> DataFrame:
+    """Share of bounces and page views a session, per variant."""
+    keys = [*experiment_keys(experiments), *segments, "variant"]
+    return metrics.groupBy(*keys).agg(_share(_bounced()).alias("bounce"), _mean("pages_per_session").alias("views"))
+
+
 def bounce_comparison(
-    metrics: DataFrame, experiments: Experiments = LANDING_PAGE
+    metrics: DataFrame, experiments: Experiments = LANDING_PAGE, segments: Sequence[str] = ()
 ) -> DataFrame:
     """Bounce rate and page views of the variant against the control. A tie
     counts as worse."""
-    keys = experiment_keys(experiments)
-    rates = metrics.groupBy(*keys, "variant").agg(
-        _share(_bounced()).alias("bounce"), _mean("pages_per_session").alias("views")
-    )
-    pairs = pair_arms(rates, experiments, ["bounce", "views"])
+    return compare_bounces(bounce_rates(metrics, experiments, segments), experiments, segments)
+
+
+def compare_bounces(
+    rates: DataFrame, experiments: Experiments = LANDING_PAGE, segments: Sequence[str] = ()
+) -> DataFrame:
+    """:func:`bounce_comparison` from the rates per variant."""
+    keys = [*experiment_keys(experiments), *segments]
+    pairs = pair_arms(rates, experiments, ["bounce", "views"], segments)
     a, b = F.col("a"), F.col("b")
     fewer_bounces = F.when(b.bounce < a.bounce, labels.LOWER_IS_BETTER)
     more_views = F.when(b.views > a.views, labels.HIGHER_IS_BETTER)

@@ -2,73 +2,29 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitscope import labels
-from splitscope.config import (
-    LANDING_PAGE,
-    Experiment,
-    Experiments,
-    as_registry,
-    experiment_keys,
-)
+from splitscope.config import LANDING_PAGE, Experiment, Experiments, experiment_keys
 from splitscope.functions.urls import contains_any, variant_label
+from splitscope.operators import registry
 from splitscope.operators.events import page_views, pin_column, pinned
 
 # Fixed value: any landing page, tested or not.
 LANDING_FRAGMENT = "/landing"
 
 
-def arm_column(experiments: Experiments) -> Column:
-    """What a page view exposes its user to, as one small column.
-
-    A label for a single experiment; for a registry an array with one
-    ``(experiment_id, variant)`` per experiment that the URL belongs to. The
-    registry is one literal, so the plan does not grow with it.
-    """
-    location = F.col("page_location")
+def with_arms(flat: DataFrame, experiments: Experiments) -> DataFrame:
+    """Every event with ``[experiment_id,] variant``, null where it exposes nobody. A view that exposes to arms of a registry
+    is there once for each as well, with a null ``event_name``: these rows count nothing."""
+    is_view = F.col("event_name") == "page_view"
     if isinstance(experiments, Experiment):
-        return variant_label(location, experiments)
-
-    def tag(experiment: Column) -> Column:
-        arms = F.filter(experiment["arms"], lambda a: location.contains(a["fragment"]))
-        return F.struct(
-            experiment["experiment_id"].alias("experiment_id"),
-            F.get(arms, F.lit(0))["variant"].alias("variant"),
-        )
-
-    tags = F.transform(_literal(as_registry(experiments)), tag)
-    return F.filter(tags, lambda t: t["variant"].isNotNull())
-
-
-def _literal(registry: tuple[Experiment, ...]) -> Column:
-    """The registry as one constant array of experiments with their arms in order."""
-    rows = [
-        {
-            "experiment_id": e.experiment_id,
-            "arms": [{"fragment": a.url_contains, "variant": a.variant} for a in e.arms],
-        }
-        for e in registry
-    ]
-    shape = "array<struct<experiment_id:string,arms:array<struct<fragment:string,variant:string>>>>"
-    return F.from_json(F.lit(json.dumps(rows)), shape)
-
-
-def has_arm(arm: str, experiments: Experiments) -> Column:
-    column = F.col(arm)
-    return column.isNotNull() if isinstance(experiments, Experiment) else F.size(column) > 0
-
-
-def spread_arms(frame: DataFrame, arm: str, experiments: Experiments) -> DataFrame:
-    """Replace the :func:`arm_column` by ``[experiment_id,] variant``, one row
-    per exposure; rows without an exposure are dropped."""
-    if isinstance(experiments, Experiment):
-        return frame.where(has_arm(arm, experiments)).withColumnRenamed(arm, "variant")
-    others = [c for c in frame.columns if c != arm]
-    return frame.select(*others, F.inline(arm))
+        return pinned(flat, F.when(is_view, variant_label(F.col("page_location"), experiments)).alias("variant"))
+    rows = registry.exposed_rows(pin_column(flat, "page_location"), experiments, is_view, keep=True).drop("place")
+    return rows.withColumn("event_name", F.when(F.col("variant").isNull(), F.col("event_name")))
 
 
 def exposed_views(flat: DataFrame, experiments: Experiments = LANDING_PAGE) -> DataFrame:
@@ -76,9 +32,9 @@ def exposed_views(flat: DataFrame, experiments: Experiments = LANDING_PAGE) -> D
     views = page_views(flat)
     if isinstance(experiments, Experiment):
         name = F.lit(experiments.experiment_id).alias("experiment_id")
-        named = pinned(views, name, arm_column(experiments).alias("variant"))
+        named = pinned(views, name, variant_label(F.col("page_location"), experiments).alias("variant"))
         return named.where(F.col("variant").isNotNull())
-    return views.select("*", F.inline(arm_column(experiments)))
+    return registry.exposed_rows(pin_column(views, "page_location"), experiments, F.lit(True)).drop("place")
 
 
 def exposures(
@@ -105,7 +61,7 @@ def experiment_page_views(
         fragments = [a.url_contains for a in experiments.arms]
         tested = views.where(contains_any(F.col("page_location"), fragments))
     else:
-        tested = views.select("*", F.inline(arm_column(experiments)))
+        tested = registry.exposed_rows(views, experiments, F.lit(True))
     found = tested.groupBy(*keys).agg(F.min("event_timestamp").alias("session_start"))
     return found if limit is None else found.orderBy(*keys).limit(limit)
 
@@ -125,12 +81,24 @@ def classify_variants(
         .distinct()
     )
     if isinstance(experiments, Experiment):
-        found = pages.withColumn("experiment_variant", F.coalesce(arm_column(experiments), unknown))
+        label = variant_label(F.col("page_location"), experiments)
+        found = pages.withColumn("experiment_variant", F.coalesce(label, unknown))
     else:
-        ids = F.array(*[F.lit(e.experiment_id) for e in as_registry(experiments)])
-        variants = F.map_from_entries(arm_column(experiments))
+        found = _per_experiment(pages, experiments, unknown)
         keys = ["experiment_id", *keys]
-        found = pages.withColumns({"_variants": variants, "experiment_id": F.explode(ids)}).select(
-            *keys, F.coalesce(F.col("_variants")[F.col("experiment_id")], unknown).alias("experiment_variant")
-        )
     return found if limit is None else found.orderBy(*keys).limit(limit)
+
+
+def _per_experiment(pages: DataFrame, experiments: Sequence[Experiment], unknown: Column) -> DataFrame:
+    """Every page once per experiment. Labels are found once per URL; only then do the experiments without one come in."""
+    urls = pages.select("page_location").distinct()
+    found = registry.exposed_rows(urls, experiments, F.lit(True), keep=True)
+    label = F.struct("experiment_id", F.col("variant").alias("experiment_variant"))
+    by_url = found.groupBy("page_location").agg(F.collect_list(F.when(F.col("variant").isNotNull(), label)).alias("_own"))
+    ids = F.array(*[F.lit(e.experiment_id) for e in experiments])
+    rest = F.transform(
+        F.array_except(ids, F.col("_own.experiment_id")),
+        lambda i: F.struct(i.alias("experiment_id"), unknown.alias("experiment_variant")),
+    )
+    rows = pages.join(by_url, "page_location").select(*pages.columns, F.inline(F.concat("_own", rest)))
+    return rows.select("experiment_id", *pages.columns, "experiment_variant")

@@ -3,13 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitscope.config import Experiment, Experiments, as_registry, experiment_keys
+from splitscope.config import Experiment, Experiments, experiment_keys
+from splitscope.operators.registry import with_places
+
+
+def placed(stats: DataFrame, experiments: Experiments) -> DataFrame:
+    """Rows per variant with the arm's ``place``, 0 for the control. A registry joins as a relation, whatever its size."""
+    if not isinstance(experiments, Experiment):
+        return with_places(stats, experiments)
+    labels = F.array(*[F.lit(a.variant) for a in experiments.arms])
+    place = (F.array_position(labels, F.col("variant")) - 1).cast("int")
+    return stats.withColumn("place", place).where("place >= 0")
+
+
+def side_by_side(payload: Column) -> list[Column]:
+    """Aggregates over the arms of an experiment: the control's payload ``a`` and the treatments', ``bs``, in order."""
+    treatment = F.when((F.col("place") > 0) & payload.isNotNull(), F.struct("place", payload.alias("b")))
+    return [
+        F.max(F.when(F.col("place") == 0, payload)).alias("a"),
+        F.array_sort(F.collect_list(treatment)).alias("bs"),
+    ]
 
 
 def pair_arms(
@@ -18,29 +35,9 @@ def pair_arms(
     """``[experiment_id, segments...,] a, b``: one row per treatment, with the
     named columns of the control in struct ``a`` and of the treatment in ``b``.
 
-    A conditional aggregation over the few rows of ``stats``; there is no row
-    when either arm is missing.
+    One grouping of the few rows of ``stats`` by experiment and segment; there
+    is no row when either arm is missing.
     """
-    registry = as_registry(experiments)
-    variant = F.col("variant")
-
-    def is_arm(e: Experiment, label: str):
-        test = variant == label
-        if isinstance(experiments, Experiment):
-            return test
-        return test & (F.col("experiment_id") == e.experiment_id)
-
-    is_control = reduce(or_, [is_arm(e, e.control.variant) for e in registry])
-    tests: dict[str, list] = {}
-    for e in registry:
-        for a in e.treatments:
-            tests.setdefault(a.variant, []).append(is_arm(e, a.variant))
-    payload = F.struct("variant", *columns)
     keys = [*experiment_keys(experiments), *segments]
-    wide = stats.groupBy(*keys).agg(
-        F.max(F.when(is_control, payload)).alias("a"),
-        *[F.max(F.when(reduce(or_, t), payload)).alias(f"b{n}") for n, t in enumerate(tests.values())],
-    )
-    found = F.array(*[F.col(f"b{n}") for n in range(len(tests))])
-    pairs = wide.select(*keys, "a", F.explode_outer(found).alias("b"))
-    return pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    wide = placed(stats, experiments).groupBy(*keys).agg(*side_by_side(F.struct("variant", *columns)))
+    return wide.where(F.col("a").isNotNull()).select(*keys, "a", F.explode("bs.b").alias("b"))

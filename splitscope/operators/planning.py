@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import json
-
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitscope.config import LANDING_PAGE, Experiment, Experiments, PowerSettings, experiment_keys
+from splitscope.config import LANDING_PAGE, Experiments, PowerSettings, experiment_keys
 from splitscope.functions.numeric import percent, ratio, round_half_away
+from splitscope.operators.pairing import placed
 
 # The planned effect and the two scenarios around it.
 DEFAULT_GRID = (
@@ -28,13 +27,9 @@ def measured_baselines(
     The baseline is the control's conversion rate; the daily traffic the mean,
     over days with any, of users newly exposed that day.
     """
-    if isinstance(experiments, Experiment):
-        control = F.lit(experiments.control.variant)
-    else:
-        names = {e.experiment_id: e.control.variant for e in experiments}
-        control = F.from_json(F.lit(json.dumps(names)), "map<string,string>")[F.col("experiment_id")]
     segments = [*experiment_keys(experiments), *segments]
-    in_control = F.col("variant") == control
+    units = placed(units, experiments)
+    in_control = F.col("place") == 0
     day = F.to_date(F.timestamp_micros("session_start"))
     daily = (
         units.withColumn("day", day)

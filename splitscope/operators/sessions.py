@@ -6,11 +6,12 @@ every later event of its user, running totals from the newest event backwards
 are attached to the exposing views. Suffix counts never grow with time, so the
 value at the first exposure is simply the maximum over the exposure's rows.
 
-Users are handled in blocks of one minute, all of them alike: running totals
-are taken inside each block, the totals of later blocks are running totals over
-one row per block, and the two are added. So no user's events meet in one task,
-only those of a minute, and one row for each minute in which there are any.
-Events are read and shuffled once; both levels start from that shuffle.
+Users are handled in blocks of one minute, all of them alike, by a prefix sum in
+two levels. Running totals are taken inside each block, where the rows of a
+session and variant shrink to one with its own counts; a second running total,
+over these rows, adds what all later blocks hold. So no user's events meet in one
+task, only those of a minute, and a few rows for each minute in which there are
+any. Events are read once, and both levels come out of one exchange.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from splitscope.config import (
@@ -29,8 +31,8 @@ from splitscope.config import (
     experiment_keys,
 )
 from splitscope.functions.numeric import round_half_away
-from splitscope.operators.events import pinned
-from splitscope.operators.exposure import arm_column, has_arm, spread_arms
+from splitscope.operators.attribution import resolved_channel, source_candidate
+from splitscope.operators.exposure import with_arms
 
 # Counters and the events they count. Event names.
 COUNTED_EVENTS = {
@@ -65,67 +67,78 @@ def _per_counter(template: str) -> list[Column]:
     return [F.expr(template.format(c)).alias(c) for c in COUNTERS]
 
 
-def session_metrics(
+def session_totals(
     flat: DataFrame,
     experiments: Experiments = LANDING_PAGE,
     scope: str = USER_FORWARD,
+    by_channel: bool = False,
 ) -> DataFrame:
-    """Metrics per variant, session and user, from the first exposure on.
-
-    With ``scope='session'`` only events of the same session count (events
-    without a session id form one session). Exposures without a user id or
-    without any time match no events: they keep zero counts and no duration.
-    """
+    """``[experiment_id,] variant, session_id, user_pseudo_id, [channel,] session_start, <counters>, last_ts``: the raw figures
+    of :func:`session_metrics` per variant, session and user. ``channel`` is that of the session, null for sessions without an
+    id and events without a user."""
     if scope not in SCOPES:
         raise ValueError(f"unknown scope {scope!r}")
+    keys = experiment_keys(experiments)
     # Rows without a user are dealt out by what else they have; nothing is counted for them.
     nobody = F.when(F.col(USER).isNull(), F.xxhash64("session_id", TS))
-    seen = F.when(F.col("event_name") == "page_view", arm_column(experiments))
     counts = F.col(USER).isNotNull() & F.col(TS).isNotNull()
     block = F.floor(F.col(TS) / BLOCK_MICROS)
-    events = pinned(flat, seen.alias("_arm")).select(
-        USER, "session_id", TS, "event_name", "_arm",
+    events = with_arms(flat, experiments).select(
+        USER, "session_id", TS, "event_name", *keys, "variant",
         nobody.alias("_nobody"), counts.alias("_counts"), block.alias("_block"),
+        *(["source", "medium"] if by_channel else []),
     )
-    keys = [USER, "_nobody", *(["session_id"] if scope == SESSION else [])]
+    user = [USER, "_nobody", *(["session_id"] if scope == SESSION else [])]
     # Shuffled before the counters are made: the name travels, not six longs.
-    local = events.repartition(*keys, "_block").withColumns(_indicators())
-    by = ", ".join(keys)
+    local = events.repartition(*user, "_block").withColumns(_indicators())
     inside = (
-        f"(PARTITION BY {by}, _block ORDER BY {TS} DESC "
+        f"(PARTITION BY {', '.join(user)}, _block ORDER BY {TS} DESC "
         "RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     )
-    own = [USER, "_nobody", "session_id", TS, "_block", "_arm", "_counts"]
+    timed = f"CASE WHEN _counts THEN {TS} END"
     running = local.select(
-        *own, *_per_counter(f"sum({{}}) OVER {inside}"), F.expr(f"max({TS}) OVER {inside}").alias(LAST)
-    ).where(has_arm("_arm", experiments))
-    later = (
-        f"(PARTITION BY {by} ORDER BY _block DESC "
-        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        "*",
+        *[F.expr(f"sum({c}) OVER {inside}").alias(f"_run_{c}") for c in COUNTERS],
+        F.expr(f"max({timed}) OVER {inside}").alias(f"_run_{LAST}"),
     )
-    blocks = local.where("_counts").groupBy(*keys, "_block").agg(*_per_counter("sum({})"), F.max(TS).alias(LAST))
-    after = blocks.selectExpr(
-        *[f"{k} AS b_{k}" for k in [*keys, "_block"]],
-        *[f"sum({c}) OVER {later} AS later_{c}" for c in COUNTERS],
-        f"max({LAST}) OVER {later} AS later_{LAST}",
+    group = list(dict.fromkeys([*user, USER, "session_id", "_block", *keys, "variant"]))
+    rows = running.groupBy(*group).agg(
+        F.min(TS).alias("session_start"),
+        *[F.max(f"_run_{c}").alias(f"_run_{c}") for c in [*COUNTERS, LAST]],
+        *_per_counter("sum({})"),
+        F.max(F.expr(timed)).alias(LAST),
+        *([F.min(source_candidate()).alias("_best")] if by_channel else []),
     )
-    same = " AND ".join(f"{k} {'<=>' if k == 'session_id' else '='} b_{k}" for k in [*keys, "_block"] if k != "_nobody")
-    suffix = running.join(after, F.expr(same), "left").select(
-        USER, "session_id", TS, "_arm",
-        *_per_counter("{0} + coalesce(later_{0}, 0)"),
-        F.expr(f"CASE WHEN _counts THEN greatest({LAST}, later_{LAST}) END").alias(LAST),
-    )
-    totals = (
-        spread_arms(suffix, "_arm", experiments)
-        .groupBy(*experiment_keys(experiments), USER, "session_id", "variant")
-        .agg(F.min(TS).alias("session_start"), *_per_counter("max({})"), F.max(LAST).alias(LAST))
+    later = f"(PARTITION BY {', '.join(user)} ORDER BY _block DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+    def after(function: str, c: str) -> str:
+        """Over later blocks; rows without a time have no block and nothing after them."""
+        return f"CASE WHEN _block IS NOT NULL THEN {function}({c}) OVER {later} END"
+
+    best = F.min("_best").over(W.partitionBy(USER, "_nobody", "session_id")) if by_channel else None
+    suffix = rows.select(
+        *group, "session_start",
+        *_per_counter(f"_run_{{0}} + coalesce({after('sum', '{0}')}, 0)"),
+        F.expr(f"greatest(_run_{LAST}, {after('max', LAST)})").alias(LAST),
+        *([best.alias("_best")] if by_channel else []),
+    ).where(F.col("variant").isNotNull())
+    found = suffix.groupBy(*keys, USER, "session_id", "variant").agg(
+        F.min("session_start").alias("session_start"),
+        *_per_counter("max({})"),
+        F.max(LAST).alias(LAST),
+        *([F.min("_best").alias("_best")] if by_channel else []),
     )
+    known = F.col(USER).isNotNull() & F.col("session_id").isNotNull()
+    channel = [F.when(known, resolved_channel(F.col("_best"))).alias("channel")] if by_channel else []
+    return found.select(*keys, "variant", "session_id", USER, *channel, "session_start", *COUNTERS, LAST)
+
+
+def metrics_of(totals: DataFrame) -> DataFrame:
+    """The metrics per row of :func:`session_totals`."""
     minutes = (F.col(LAST) - F.col("session_start")).cast("double") / F.lit(float(MICROS_PER_MINUTE))
+    own = [c for c in totals.columns if c not in ("session_start", LAST, *COUNTERS)]
     return totals.select(
-        *experiment_keys(experiments),
-        "variant",
-        "session_id",
-        USER,
+        *own,
         (F.col("page_views") == 1).cast("int").alias("is_bounce"),
         round_half_away(minutes, 2).alias("session_duration_min"),
         F.col("page_views").alias("pages_per_session"),
@@ -136,3 +149,19 @@ def session_metrics(
         "clicks",
         "purchases",
     )
+
+
+def session_metrics(
+    flat: DataFrame,
+    experiments: Experiments = LANDING_PAGE,
+    scope: str = USER_FORWARD,
+    by_channel: bool = False,
+) -> DataFrame:
+    """Metrics per variant, session and user, from the first exposure on.
+
+    With ``scope='session'`` only events of the same session count (events
+    without a session id form one session). Exposures without a user id or
+    without any time match no events: they keep zero counts and no duration.
+    ``by_channel`` adds the session's ``channel``.
+    """
+    return metrics_of(session_totals(flat, experiments, scope, by_channel))

@@ -34,20 +34,10 @@ def variant_stats(
     """Visitors, conversions, rate, standard deviation and Beta(1,1) posterior
     parameters per variant. The sample deviation of a 0/1 column follows from
     its two counts, which makes it exact and independent of row order."""
-    n, c = F.col("visitors"), F.col("conversions")
-    spread = F.sqrt(ratio(c * (n - c), n * (n - 1)))
-    return (
-        units.groupBy(*experiment_keys(experiments), *segments, "variant")
-        .agg(F.count("*").alias("visitors"), F.sum("converted").alias("conversions"))
-        .withColumns(
-            {
-                "cr": ratio(c, n),
-                "stddev": spread,
-                "alpha": c + 1,
-                "beta": n - c + 1,
-            }
-        )
+    counts = units.groupBy(*experiment_keys(experiments), *segments, "variant").agg(
+        F.count("*").alias("visitors"), F.sum("converted").alias("conversions")
     )
+    return rated(counts)
 
 
 def _pairs(stats: DataFrame, experiments: Experiments, segments: Sequence[str]):
@@ -67,7 +57,20 @@ def z_test(
     """Two-proportion z-test. The statistic uses the pooled standard error,
     the 95% interval of the difference the unpooled one. Where the pooled
     error is zero the statistic is NULL and the result not significant."""
-    pairs, keys, a, b = _pairs(stats, experiments, segments)
+    pairs, keys, *_ = _pairs(stats, experiments, segments)
+    return z_scores(pairs, keys)
+
+
+def rated(counts: DataFrame) -> DataFrame:
+    """Counts per arm, ``visitors`` and ``conversions``, with what follows from them."""
+    n, c = F.col("visitors"), F.col("conversions")
+    spread = F.sqrt(ratio(c * (n - c), n * (n - 1)))
+    return counts.withColumns({"cr": ratio(c, n), "stddev": spread, "alpha": c + 1, "beta": n - c + 1})
+
+
+def z_scores(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The test of each pair of rated arms ``a`` and ``b``, behind the columns ``keys``."""
+    a, b = F.col("a"), F.col("b")
     na, nb = a.visitors.cast("double"), b.visitors.cast("double")
     pooled = ratio(a.conversions + b.conversions, a.visitors + b.visitors)
     one = F.lit(1.0)

@@ -14,6 +14,7 @@ from splitscope.config import (
     BOTH,
     LANDING_PAGE,
     USER_FORWARD,
+    Experiment,
     Experiments,
     GuardrailLimits,
     PowerSettings,
@@ -28,6 +29,8 @@ from splitscope.operators import (
     events,
     exposure,
     planning,
+    registry,
+    rollup,
     sessions,
     srm,
     stats,
@@ -66,17 +69,25 @@ class Study:
         reader = self.flat.sparkSession.read.schema(self.flat.schema)
         return replace(self, flat_table=reader.parquet(path).select(*self.flat.columns))
 
+    # Units are measured per design of the registry, and named per experiment where results leave the study.
+
+    @cached_property
+    def _designs(self) -> Experiments:
+        return self.experiments if isinstance(self.experiments, Experiment) else registry.designs(self.experiments)
+
+    def _named(self, frame: DataFrame) -> DataFrame:
+        return frame if isinstance(self.experiments, Experiment) else registry.named(frame, self.experiments)
+
+    def _units_of(self, by_channel: bool) -> DataFrame:
+        return conversion.attributed_units(
+            self.flat, self._designs, self.scope, self.crossover, by_channel=by_channel
+        )
+
     # Planning
 
     def sample_size(self, by_channel: bool = False, grid=planning.DEFAULT_GRID) -> DataFrame:
-        units = conversion.attributed_units(
-            self.flat, self.experiments, self.scope, self.crossover, ["session_id"] if by_channel else []
-        )
-        segments = ["channel"] if by_channel else []
-        if by_channel:
-            units = attribution.add_segment(units, self.session_channel())
-        baselines = planning.measured_baselines(units, self.experiments, segments)
-        return planning.sample_size(baselines, grid, self.power)
+        baselines = planning.measured_baselines(self._units_of(by_channel), self._designs, _segments(by_channel))
+        return planning.sample_size(self._named(baselines), grid, self.power)
 
     # Tracking
 
@@ -88,11 +99,13 @@ class Study:
     ) -> DataFrame:
         return discovery.test_pages(self.flat, count_purchases, top)
 
-    def experiment_page_views(self) -> DataFrame:
-        return exposure.experiment_page_views(self.flat, self.experiments)
+    def experiment_page_views(self, limit: int | None = None) -> DataFrame:
+        if limit is not None:
+            return exposure.experiment_page_views(self.flat, self.experiments, limit)
+        return self._named(exposure.experiment_page_views(self.flat, self._designs))
 
-    def classify_variants(self) -> DataFrame:
-        return exposure.classify_variants(self.flat, self.experiments)
+    def classify_variants(self, limit: int | None = None) -> DataFrame:
+        return exposure.classify_variants(self.flat, self.experiments, limit)
 
     def session_source(self) -> DataFrame:
         return attribution.session_source(self.flat)
@@ -104,39 +117,58 @@ class Study:
 
     @cached_property
     def srm_counts(self) -> DataFrame:
-        return srm.srm_counts(self.flat, self.experiments)
+        counts = srm.srm_counts(self.flat, self._designs)
+        return self._named(counts)
+
+    @cached_property
+    def channel_srm_counts(self) -> DataFrame:
+        """Users per arm and channel of their first exposure to it."""
+        study = replace(self, crossover=BOTH)
+        return self._named(srm.counts_from_units(study._units_of(True), self._designs, _segments(True)))
+
+    def srm_split(self, by_channel: bool = False) -> DataFrame:
+        counts = self.channel_srm_counts if by_channel else self.srm_counts
+        return srm.srm_split(counts, self.experiments, _segments(by_channel))
+
+    def srm_test(self, by_channel: bool = False) -> DataFrame:
+        counts = self.channel_srm_counts if by_channel else self.srm_counts
+        return srm.srm_test(counts, self.experiments, _segments(by_channel))
 
-    def srm_split(self) -> DataFrame:
-        return srm.srm_split(self.srm_counts, self.experiments)
+    # Split and tracking over days, from bitmaps of users
 
-    def srm_test(self) -> DataFrame:
-        return srm.srm_test(self.srm_counts, self.experiments)
+    def srm_bitmaps(self, numbers: DataFrame) -> DataFrame:
+        """Users per day, experiment and variant as bitmaps, by :func:`rollup.numbered_users`; see :meth:`srm_counts_of`."""
+        views = exposure.exposed_views(self.flat, self._designs)
+        return self._named(rollup.user_bitmaps(views, numbers, ["experiment_id", "variant", "event_date"]))
+
+    def srm_counts_of(self, bitmaps: DataFrame, by_day: bool = False) -> DataFrame:
+        """Distinct users per arm over the days of the bitmaps, or per day."""
+        days = ["event_date"] if by_day else []
+        return rollup.rolled_up(bitmaps, ["experiment_id", *days, "variant"])
+
+    def page_bitmaps(self, numbers: DataFrame, count_purchases: bool = False) -> DataFrame:
+        """Users per day, method and test page as bitmaps."""
+        found = discovery.by_method(self.flat, count_purchases)
+        return rollup.user_bitmaps(found, numbers, ["method", "page_location", "event_date"])
 
     # Result
 
     def exposures(self, by_session: bool = False) -> DataFrame:
-        return exposure.exposures(self.flat, self.experiments, by_session)
-
-    @cached_property
-    def _units(self) -> DataFrame:
-        return conversion.attributed_units(
-            self.flat, self.experiments, self.scope, self.crossover
-        )
+        return self._named(exposure.exposures(self.flat, self._designs, by_session))
 
     def conversions(self) -> DataFrame:
-        return conversion.without_times(self._units, self.experiments)
+        return self._named(conversion.without_times(self._units_of(False), self._designs))
+
+    def _stats(self, by_channel: bool) -> DataFrame:
+        return self._named(stats.variant_stats(self._units_of(by_channel), self._designs, _segments(by_channel)))
 
     @cached_property
     def variant_stats(self) -> DataFrame:
-        return stats.variant_stats(self.conversions(), self.experiments)
+        return self._stats(False)
 
     @cached_property
     def channel_stats(self) -> DataFrame:
-        units = conversion.attributed_units(
-            self.flat, self.experiments, self.scope, self.crossover, ["session_id"]
-        )
-        units = attribution.add_segment(units, self.session_channel())
-        return stats.variant_stats(units, self.experiments, ["channel"])
+        return self._stats(True)
 
     def z_test(self, by_channel: bool = False) -> DataFrame:
         return self._test(stats.z_test, by_channel)
@@ -148,42 +180,50 @@ class Study:
         return self._test(stats.effect_size, by_channel)
 
     def _test(self, test, by_channel: bool) -> DataFrame:
-        if by_channel:
-            return test(self.channel_stats, self.experiments, ["channel"])
-        return test(self.variant_stats, self.experiments)
+        return test(self._stats(by_channel), self.experiments, _segments(by_channel))
 
     # Guardrails and engagement
 
+    def _metrics(self, by_channel: bool) -> DataFrame:
+        return sessions.session_metrics(self.flat, self._designs, self.scope, by_channel)
+
     @cached_property
     def session_metrics(self) -> DataFrame:
-        return sessions.session_metrics(self.flat, self.experiments, self.scope)
+        return self._named(self._metrics(False))
+
+    def _guardrail_stats(self, by_channel: bool) -> DataFrame:
+        segments = _segments(by_channel)
+        return self._named(engagement.guardrail_stats(self._metrics(by_channel), self._designs, segments=segments))
 
     @cached_property
     def guardrail_stats(self) -> DataFrame:
-        return engagement.guardrail_stats(self.session_metrics, self.experiments)
+        return self._guardrail_stats(False)
 
-    def guardrails(self, detail: bool = False) -> DataFrame:
-        return engagement.guardrails(self.guardrail_stats, self.experiments, self.limits, detail)
+    def guardrails(self, detail: bool = False, by_channel: bool = False) -> DataFrame:
+        found = self._guardrail_stats(by_channel)
+        return engagement.guardrails(found, self.experiments, self.limits, detail, _segments(by_channel))
 
-    def engagement_by_variant(self) -> DataFrame:
-        return engagement.engagement_by_variant(self.session_metrics, self.experiments)
+    def engagement_by_variant(self, by_channel: bool = False) -> DataFrame:
+        segments = _segments(by_channel)
+        return self._named(engagement.engagement_by_variant(self._metrics(by_channel), self._designs, segments=segments))
 
-    def bounce_comparison(self) -> DataFrame:
-        return engagement.bounce_comparison(self.session_metrics, self.experiments)
+    def bounce_comparison(self, by_channel: bool = False) -> DataFrame:
+        segments = _segments(by_channel)
+        rates = self._named(engagement.bounce_rates(self._metrics(by_channel), self._designs, segments))
+        return engagement.compare_bounces(rates, self.experiments, segments)
 
     # Decision
 
-    def launch_decision(self, min_days: float | None = None) -> DataFrame:
+    def launch_decision(self, min_days: float | None = None, by_channel: bool = False) -> DataFrame:
         """The decision per experiment; ``min_days`` adds a shortest duration."""
-        registry = as_registry(self.experiments)
-        study = replace(self, experiments=registry)
-        counts = study.srm_counts
-        if self.crossover == BOTH:
-            counts = srm.counts_from_units(study.conversions(), registry)
-        return decision.launch_decision(
-            study.z_test(),
-            study.guardrails(),
-            srm.srm_test(counts, registry),
-            self.min_relative_lift_pct,
-            *([] if min_days is None else [decision.run_lengths(study._units), min_days]),
+        study = replace(self, experiments=as_registry(self.experiments))
+        totals = sessions.session_totals(study.flat, study._designs, study.scope, by_channel)
+        segments = _segments(by_channel)
+        summary = study._named(decision.arm_summary(totals, self.crossover, segments))
+        return decision.decided(
+            summary, study.experiments, self.limits, self.min_relative_lift_pct, min_days, segments
         )
+
+
+def _segments(by_channel: bool) -> list[str]:
+    return ["channel"] if by_channel else []
