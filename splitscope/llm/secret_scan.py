@@ -1,9 +1,11 @@
 """Secret scan that unwraps encoded layers.
 
 Each text is a layer on a worklist. Taking a layer finds its secrets and the layers inside it: percent escapes and Unicode escapes
-decoded in place, base64 runs whose bytes are text, and compressed bytes inside base64. Each new layer is scanned and
-unwrapped in turn until none is left; a layer that was seen at the same place ends there, so encodings that reproduce
-themselves terminate. Every layer carries, for each of its characters, the stretch of the original text it came from.
+decoded in place, base64 runs whose bytes are text, and compressed bytes inside base64, percent or ``\\x`` escapes. Each new
+layer is scanned and unwrapped in turn until none is left; a layer that was seen at the same place ends there, so encodings that
+reproduce themselves terminate. Every layer carries, for each of its characters, the stretch of the original text it came from;
+one from compressed bytes comes from them as a whole. Compressed bytes are unpacked in pieces, which overlap, so their size does
+not matter, and bytes in them that are not text stand between the text, not in its way.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The kinds of secrets, in the order in which they are listed.
-KINDS = ("assign", "access", "hex", "oversize")
+KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
@@ -31,8 +34,8 @@ SHORTEST = {"assign": 6, "access": 20, "hex": 24}
 #: Words of which an assignment has one, to pass over texts without.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
-#: Decompressed bytes of a layer beyond which it is reported as ``oversize`` instead of being unwrapped.
-LARGEST_LAYER = 32 << 20
+#: Unpacked bytes that are scanned at a time, and how many of them the next piece begins with again.
+PIECE, OVERLAP = 4 << 20, 64 << 10
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
@@ -46,6 +49,27 @@ READABLE = re.compile(
 )
 #: How compressed bytes begin.
 PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
+#: How compressed bytes begin in percent and in backslash escapes, and what such escapes are made of.
+def _packed_in(mark: str) -> re.Pattern:
+    """The beginnings of compressed bytes, each byte escaped by the mark or, where it can be, plain."""
+
+    def byte(values: bytes) -> str:
+        ways = [f"{mark}{v >> 4:x}{f'[{v & 15:x}{v & 15:X}]' if v & 15 > 9 else f'{v & 15:x}'}" for v in values]
+        ways = [w.replace(f"{mark}f", f"{mark}[fF]").replace(f"{mark}d", f"{mark}[dD]") for w in ways]
+        return "(?:" + "|".join([*ways, *(re.escape(chr(v)) for v in values if 0x20 < v < 0x7F)]) + ")"
+
+    one = lambda raw: "".join(byte(bytes([v])) for v in raw)
+    plain = rf"(?=[^\s{re.escape(mark[0])}]*{re.escape(mark[0])})"  # some escape follows, else "BZh1" is only a word
+    zlib_head = byte(b"\x78") + byte(b"\x01\x5e\x9c\xda")
+    return re.compile("|".join([one(b"\x1f\x8b\x08"), zlib_head + plain, one(b"BZh") + byte(b"123456789") + plain, one(b"\xfd7zXZ\x00")]))
+
+
+PACKED_PERCENT, PACKED_BACKSLASH = _packed_in("%"), _packed_in(r"\\x")
+BY_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/+!*'()$,:;@&=-])+")
+BY_BACKSLASH = re.compile(r"(?:\\x[0-9A-Fa-f]{2}|\\[0abfnrtv\\'\"]|[\x20-\x5b\x5d-\x7e])+")
+ESCAPED_BYTE = re.compile(r"%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\.|.", re.DOTALL)
+#: What the short backslash escapes stand for.
+SHORT_ESCAPES = {"0": 0, "a": 7, "b": 8, "f": 12, "n": 10, "r": 13, "t": 9, "v": 11, "\\": 92, "'": 39, '"': 34}
 #: Texts without such a run of 24 need no search for hexadecimal strings.
 LONG_HEX = re.compile(r"[0-9a-f]{24}")
 
@@ -54,20 +78,26 @@ Span = tuple[int, int, str]
 
 @dataclass
 class Layer:
-    """A text and, for each character, where its source begins and ends; no arrays: it is the source itself."""
+    """A text and, for each character, where its source begins and ends, or one place that all of it comes from; neither: it is
+    the source itself."""
 
     text: str
     begins: np.ndarray | None = None
     ends: np.ndarray | None = None
+    place: tuple[int, int] | None = None
 
     def source(self, start: int, end: int) -> tuple[int, int]:
         """The stretch of the original text that the characters from start to end come from."""
+        if self.place is not None:
+            return self.place
         if self.begins is None:
             return start, end
         return int(self.begins[start]), int(self.ends[end - 1])
 
     def inner(self, text: str, begins: np.ndarray, ends: np.ndarray) -> Layer:
         """A layer made from this one, given places in this one."""
+        if self.place is not None:
+            return Layer(text, place=self.place)
         if self.begins is None:
             return Layer(text, begins, ends)
         return Layer(text, self.begins[begins], self.ends[ends - 1])
@@ -108,19 +138,15 @@ def _unicode(run: str) -> list[tuple[str, int]] | None:
         return [(chr(code), len(run))] if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
     if run[1] == "x":
         return [(chr(int(run[i + 2 : i + 4], 16)), 4) for i in range(0, len(run), 4)]
-    try:
-        text = bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be")
-    except UnicodeDecodeError:
-        return None
-    return [(c, 6 * len(c.encode("utf-16-be")) // 2) for c in text]
+    text = bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be", "surrogatepass")  # half a pair stands for itself
+    return [(c, 6 * len(c.encode("utf-16-be", "surrogatepass")) // 2) for c in text]
 
 
-def _in_place(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
-    """The layer with every run of the pattern decoded; None if there is nothing to decode."""
+def _in_place(layer: Layer, pattern: re.Pattern, decode, taken: list[tuple[int, int]]) -> Layer | None:
+    """The layer with every run of the pattern decoded that is in no taken stretch; None if there is nothing to decode."""
     parts, begins, ends, end = [], [], [], 0
     for m in pattern.finditer(layer.text):
-        chars = decode(m[0])
-        if chars is None:
+        if any(a < m.end() and m.start() < b for a, b in taken) or (chars := decode(m[0])) is None:
             continue
         plain = np.arange(end, m.start())
         widths = np.cumsum([w for _, w in chars])
@@ -155,22 +181,108 @@ def _decompressor(raw: bytes):
     return None
 
 
-def _inflated(raw: bytes) -> tuple[bytes, bool] | None:
-    """The bytes inside compressed ones, of all members on end, and whether the end was reached; None if not compressed.
-
-    More than LARGEST_LAYER if there are that many."""
-    parts, size = [], 0
-    while size <= LARGEST_LAYER and (unpack := _decompressor(raw)) is not None:
-        try:
-            part = unpack.decompress(raw, LARGEST_LAYER + 1 - size)
-        except (zlib.error, OSError, EOFError, lzma.LZMAError):
-            break
-        parts.append(part)
-        size += len(part)
-        if not unpack.eof:
-            return b"".join(parts), False
-        raw = unpack.unused_data
-    return (b"".join(parts), True) if parts else None
+def _inflated(raw: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes inside compressed ones, of all members on end, piece by piece; the last item is b"" if their end was reached."""
+    held, unpack = b"", None
+    for more in raw:
+        held += more
+        while held:
+            if unpack is None:
+                if (unpack := _decompressor(held)) is None:
+                    yield b""
+                    return
+            try:
+                part = unpack.decompress(held, PIECE)
+                if part:
+                    yield part
+                while not unpack.eof and (part := _rest(unpack)):
+                    yield part
+            except (zlib.error, OSError, EOFError, lzma.LZMAError):
+                return
+            if not unpack.eof:
+                held = b""
+                break
+            held, unpack = unpack.unused_data, None
+    if unpack is None:
+        yield b""
+
+
+def _rest(unpack) -> bytes:
+    """What the decompressor still holds back of its input."""
+    if hasattr(unpack, "unconsumed_tail"):
+        return unpack.decompress(unpack.unconsumed_tail, PIECE) if unpack.unconsumed_tail else b""
+    return b"" if unpack.needs_input else unpack.decompress(b"", PIECE)
+
+
+def _peeled(raw: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes inside compressed ones, however often they were compressed; as :func:`_inflated`."""
+    pieces = _inflated(raw)
+    first = next(pieces, None)
+    if first is None:
+        return
+    deeper = _peeled(chain([first], pieces)) if _decompressor(first) is not None else iter(())
+    found = next(deeper, None)
+    if found:
+        yield found
+        yield from deeper
+    else:
+        yield first
+        if first:
+            yield from pieces
+
+
+def _ends(raw: bytes) -> tuple[bool, bool]:
+    """Whether compressed bytes hold any, and whether they are whole."""
+    size, last = 0, None
+    for last in _peeled(iter([raw])):
+        size += len(last)
+    return size > 0, last == b""
+
+
+def _pieces(raw: bytes, place: tuple[int, int]) -> Iterator[Layer]:
+    """The text inside compressed bytes, in overlapping pieces."""
+    held = b""
+    for part in _peeled(iter([raw])):
+        held += part
+        if len(held) >= PIECE:
+            yield Layer(held.decode("utf-8", "replace"), place=place)
+            held = held[-OVERLAP:]
+    if held:
+        yield Layer(held.decode("utf-8", "replace"), place=place)
+
+
+def _from_escapes(layer: Layer, taken: list[tuple[int, int]]) -> Iterator[Layer]:
+    """The texts inside compressed bytes that are written in percent or backslash escapes; adds the stretches they take."""
+    for begin, run, mark in ((PACKED_PERCENT, BY_PERCENT, "%"), (PACKED_BACKSLASH, BY_BACKSLASH, "\\x")):
+        if mark not in layer.text:
+            continue
+        at = 0
+        while (m := begin.search(layer.text, at)) is not None:
+            stretch = run.match(layer.text, m.start())[0]
+            raw, places = bytearray(), []
+            for e in ESCAPED_BYTE.finditer(stretch):
+                places.append(m.start() + e.end())
+                short = SHORT_ESCAPES.get(e[0][-1]) if len(e[0]) == 2 else None
+                raw.append(ord(e[0]) if len(e[0]) == 1 else int(e[0][-2:], 16) if short is None else short)
+            at = m.start() + 1
+            some, _ = _ends(bytes(raw))
+            if some:
+                end = places[len(raw) - _left(bytes(raw)) - 1]
+                at = end
+                taken.append((m.start(), end))
+                yield from _pieces(bytes(raw), layer.source(m.start(), end))
+
+
+def _left(raw: bytes) -> int:
+    """How many bytes stand behind the first compressed member."""
+    unpack = _decompressor(raw)
+    try:
+        unpack.decompress(raw, 1)
+        while not unpack.eof and _rest(unpack):
+            pass
+    except (zlib.error, OSError, EOFError, lzma.LZMAError):
+        return 0
+    return len(unpack.unused_data)
 
 
 def _decoded(body: str) -> bytes:
@@ -179,9 +291,9 @@ def _decoded(body: str) -> bytes:
     return base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
 
 
-def _from_run(layer: Layer, places: np.ndarray, body: str, end: int) -> tuple[list[Layer | Span], bool]:
+def _from_run(layer: Layer, places: np.ndarray, body: str, end: int) -> tuple[list[Iterator[Layer]], bool]:
     """What is inside a base64 run, given the places of its characters, and whether the run is one whole text."""
-    found: list[Layer | Span] = []
+    found: list[Iterator[Layer]] = []
 
     def laid(text: str, shift: int, skipped: int) -> Layer:
         at = skipped + np.cumsum([0, *(len(c.encode()) for c in text)])
@@ -189,45 +301,38 @@ def _from_run(layer: Layer, places: np.ndarray, body: str, end: int) -> tuple[li
 
     def unpacked(raw: bytes, first: int) -> bool:
         """Adds the text inside compressed bytes; whether they are whole."""
-        inside = _inflated(raw)
-        whole = inside is not None and inside[1]
-        while inside is not None and len(inside[0]) <= LARGEST_LAYER and (deeper := _inflated(inside[0])) is not None:
-            inside, whole = deeper, whole and deeper[1]
-        if inside is not None and len(inside[0]) > LARGEST_LAYER:
-            found.append((*layer.source(first, end), "oversize"))
-            return True
-        if inside is not None and (text := _readable(inside[0])) is not None:
-            found.append(layer.inner(text, np.full(len(text), first), np.full(len(text), end)))
-            return whole
-        return False
+        some, whole = _ends(raw)
+        if some:
+            found.append(_pieces(raw, layer.source(first, end)))
+        return some and whole
 
     raw = _decoded(body)
     if len(body) % 4 != 1:
         text = _readable(raw)
         if text is not None:
-            return [laid(text, 0, 0)], True
+            return [iter([laid(text, 0, 0)])], True
         if unpacked(raw, int(places[0])):
             return found, True
     # Something else stands before or behind it: every start is one of four alignments.
     for shift in range(4):
         raw = _decoded(body[shift:])
         for m in READABLE.finditer(raw):
-            found.append(laid(m[0].decode(), shift, m.start()))
+            found.append(iter([laid(m[0].decode(), shift, m.start())]))
         for m in PACKED.finditer(raw):
             if shift or m.start() or len(body) % 4 == 1:
                 unpacked(raw[m.start() :], int(places[shift + m.start() * 4 // 3]))
     return found, False
 
 
-def _from_base64(layer: Layer) -> Iterator[Layer | Span]:
-    """The texts inside the layer's base64 runs, compressed or not; an oversize span for one that is too large.
+def _from_base64(layer: Layer) -> Iterator[Layer]:
+    """The texts inside the layer's base64 runs, compressed or not.
 
     Lines that continue each other are one run; each line is one as well, unless the lines together are one whole text."""
     whole_lines: list[tuple[int, int]] = []
     for m in WRAPPED.finditer(layer.text):
         chars = np.array([c not in "\r\n=" for c in m[0]])
         found, whole = _from_run(layer, m.start() + np.flatnonzero(chars), re.sub(r"[\r\n=]", "", m[0]), m.end())
-        yield from found
+        yield from chain.from_iterable(found)
         if whole:
             whole_lines.append(m.span())
     at = 0
@@ -237,33 +342,34 @@ def _from_base64(layer: Layer) -> Iterator[Layer | Span]:
         if at < len(whole_lines) and whole_lines[at][0] <= m.start():
             continue
         body = m[0].rstrip("=")
-        yield from _from_run(layer, np.arange(m.start(), m.start() + len(body)), body, m.end())[0]
+        yield from chain.from_iterable(_from_run(layer, np.arange(m.start(), m.start() + len(body)), body, m.end())[0])
+
+
+def _inside(layer: Layer) -> Iterator[Layer | None]:
+    """The layers directly inside a layer, one at a time."""
+    yield from _from_base64(layer)
+    taken: list[tuple[int, int]] = []
+    yield from _from_escapes(layer, taken)
+    if "%" in layer.text:
+        yield _in_place(layer, PERCENT, _percent, taken)
+    if "\\" in layer.text or "&#" in layer.text:
+        yield _in_place(layer, UNICODE, _unicode, taken)
 
 
 def scan(text: str) -> tuple[list[Span], set[Span]]:
     """The secrets in plain sight, and these with all that decoding adds."""
     base = find(text)
-    spans, work, seen = set(base), [Layer(text)], set()
+    spans, work, seen = set(base), [_inside(Layer(text))], set()
     while work:
-        layer = work.pop()
-        inner: list[Layer] = []
-        for part in _from_base64(layer):
-            if isinstance(part, Layer):
-                inner.append(part)
-            else:
-                spans.add(part)
-        if "%" in layer.text:
-            inner.append(_in_place(layer, PERCENT, _percent))
-        if "\\" in layer.text or "&#" in layer.text:
-            inner.append(_in_place(layer, UNICODE, _unicode))
-        for new in inner:
-            if new is None or not new.text:
-                continue
+        new = next(work[-1], work)
+        if new is work:
+            work.pop()
+        elif new is not None and new.text:
             mark = (hashlib.sha256(new.text.encode("utf-8", "surrogatepass")).digest(), new.source(0, len(new.text)))
             if mark not in seen:
                 seen.add(mark)
                 spans.update((*new.source(a, b), kind) for a, b, kind in find(new.text))
-                work.append(new)
+                work.append(_inside(new))
     return base, spans
 
 
@@ -281,8 +387,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     The counts and the digest are those of the secrets in plain sight; ``spans`` adds the decoded ones, placed where their
     encoded form stands. Offsets count code points, ends are exclusive. Null and empty texts have none, so their ``spans``
-    is empty. Layers of more than LARGEST_LAYER bytes are reported as ``oversize``, not passed over. Rows are
-    independent; an empty table gives no rows."""
+    is empty. Rows are independent; an empty table gives no rows."""
     inner = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = inner.select("doc_id").schema
     for field in REPORT.split(", "):
@@ -293,7 +398,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             rows = []
             for text in batch.column(1).to_pylist():
                 base, spans = scan(text or "")
-                counts = [sum(kind == k for *_, kind in base) for k in KINDS[:3]]
+                counts = [sum(kind == k for *_, kind in base) for k in KINDS]
                 rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
             new = [pa.array([r[k] for r in rows], pa.int64() if k < 3 else pa.string()) for k in range(5)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *new], names=out.names)

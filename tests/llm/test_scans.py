@@ -151,10 +151,68 @@ def test_decoding_ends():
     assert secret_scan.scan("A" * 100_000)[1] == set()
 
 
-def test_large_layers_are_reported(monkeypatch):
-    monkeypatch.setattr(secret_scan, "LARGEST_LAYER", 1000)
-    packed = base64.b64encode(gzip.compress(b"x" * 5000)).decode()
-    assert secret_scan.joined(secret_scan.scan(packed)[1]).startswith("oversize:0:")
+def test_large_layers_are_scanned_in_pieces(monkeypatch):
+    monkeypatch.setattr(secret_scan, "PIECE", 1000)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 100)
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, lambda t: gzip.compress(bz2.compress(t))):
+        for before in (0, 950, 1950, 5000):
+            inside = b"x" * before + b" " + SECRET.encode() + b" " + b"y" * 4000 + b" " + b"0123456789abcdef" * 2
+            packed = base64.b64encode(pack(inside)).decode()
+            spans = secret_scan.joined(secret_scan.scan(packed)[1])
+            assert spans == f"assign:0:{len(packed)},hex:0:{len(packed)}", (before, spans)
+
+
+def test_a_layer_of_forty_megabytes():
+    packed = base64.b64encode(gzip.compress(b"z" * (40 << 20) + SECRET.encode())).decode()
+    assert secret_scan.joined(secret_scan.scan(f"a {packed}")[1]) == f"assign:2:{2 + len(packed)}"
+
+
+@pytest.mark.parametrize("noise", ["\ufeff", "\u00ad", "\0", b"\xe9", "\ue000", b"\xff\xfe\x00\x01"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_bytes_that_are_not_text_hide_nothing(noise, pack):
+    noise = noise if isinstance(noise, bytes) else noise.encode()
+    for inside in (noise + SECRET.encode(), SECRET.encode() + noise, b"a" + noise + b" " + SECRET.encode() + noise):
+        spans = secret_scan.scan(base64.b64encode(pack(inside)).decode())[1]
+        assert [k for *_, k in spans] == ["assign"], (noise, spans)
+
+
+@pytest.mark.parametrize("lone", ["\\ud83d", "\\udc00", "\\ud83d\\ud83d"])
+def test_half_surrogate_pairs_hide_nothing(lone):
+    escaped = "".join(f"\\u{ord(c):04x}" for c in SECRET)
+    for text in (lone + escaped, escaped + lone):
+        (span,) = secret_scan.scan(text)[1]
+        assert span == (text.index(escaped), text.index(escaped) + len(escaped), "assign")
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_compressed_bytes_in_escapes(pack):
+    raw = pack(SECRET.encode() + b" and more text, some of it twice: some of it twice")
+    written = [
+        quote(raw), quote(raw, safe=""), "".join(f"%{b:02X}" for b in raw), "".join(f"\\x{b:02x}" for b in raw), repr(raw)[2:-1],
+    ]
+    for text in written:
+        (span,) = secret_scan.scan(f"é {text}\nend")[1]
+        assert span[2] == "assign" and span[0] == 2 and span[1] <= 2 + len(text), text
+
+
+def test_base_pass_equals_sql(spark, make_docs):
+    """The plain pass as SQL finds it."""
+    import duckdb
+
+    rnd = random.Random(12)
+    pieces = ["password", "API_KEY", "apikey", "token", " = ", ":", '"', "'", "AKIA", "ABCDEFGH12345678", "deadbeef", "0123456789abcdef", " ", "é", "xyz.", "\n"]
+    rows = [(i, "".join(rnd.choices(pieces, k=rnd.randint(0, 40)))) for i in range(300)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE d(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO d VALUES (?, ?)", rows)
+    assign = """(password|passwd|secret|token|api_?key)["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    assign = re.sub(r"[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", assign.split(")")[0]) + ")" + assign.split(")", 1)[1]
+    sql = f"""SELECT doc_id, len(list_filter(regexp_extract_all(text, $${assign}$$, 2), lambda v: len(v) >= 6)),
+        len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda v: len(v) >= 20)),
+        len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda v: len(v) >= 24)) FROM d"""
+    want = {r[0]: r[1:] for r in con.execute(sql).fetchall()}
+    got = {r["doc_id"]: (r["n_assign"], r["n_access"], r["n_hex"]) for r in secret_scan.secrets(make_docs(rows)).collect()}
+    assert got == want and any(sum(v) for v in want.values())
 
 
 def test_secret_rows(make_docs, odd_rows):
