@@ -1,22 +1,25 @@
 """Document scores by masked pseudo-likelihood.
 
 A small network sees two words on either side of a word and predicts the word in the middle. A document's score is the
-sum, over its words, of the log-probability of each given its neighbours: that of the word's class, times the word's share of its
-class in the whole corpus. The most frequent words are classes of their own, the others fall into buckets by hash. Words above a
-share of the corpus have numbers of their own as neighbours, so the network grows with the vocabulary; the shares of rarer words
-are joined from the counts of all words. Training runs where the data is: in each round every task starts from the same weights,
-takes its own share of documents through stochastic gradient steps, and the weights are averaged by words seen, in a tree.
+sum, over its words, of the log-probability of each given its neighbours. The most frequent words are predicted in two steps, their
+group and the word within it, both from the neighbours; the others as a bucket by hash, times the word's share of its bucket in the
+whole corpus. Words above a share of the corpus have numbers of their own as neighbours, so the network grows with the vocabulary;
+the shares of rarer words are joined from the counts of all words.
+
+Training starts from the words' frequencies, so the network can only add to them. Every document belongs to a shard and a round by
+a hash of its id and text. In each round every shard takes its documents, in order of their hashes, from the same weights through
+stochastic gradient steps, and the weights are averaged by words seen, range by range, in a tree. So neither the weights nor the
+scores depend on how the table is partitioned.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
@@ -24,49 +27,66 @@ from pyspark.sql.types import ArrayType, LongType
 from splitscope.llm.common import flat_text, materialise, runs_of_rows
 from splitscope.llm.near_dedup import word_hashes
 
-#: Words that are classes of their own, buckets for the rest, and the mark beyond either end of a text.
-COMMON, BUCKETS = 192, 64
+#: Words that are predicted by themselves, in groups of so many, buckets for the rest, and the mark beyond either end of a text.
+GROUPS, GROUP_WORDS, BUCKETS = 64, 64, 64
+COMMON = GROUPS * GROUP_WORDS
 VOCABULARY = COMMON + BUCKETS
 EDGE = VOCABULARY
-#: Words that are at least one in so many of the corpus have a row of their own among the neighbours.
-KNOWN = 1 << 20
-#: Neighbours on each side, numbers per word, hidden units.
-REACH, WIDTH, HIDDEN = 2, 12, 32
-#: Averaging rounds, each over every document; words in a step, step size.
-ROUNDS, STEP_WORDS, RATE = 1, 512, 0.1
-#: Weights summed by one task of the averaging tree.
-FAN_IN = 32
+#: Words that are at least one in so many of the corpus are known; and have a row of their own among the neighbours.
+KNOWN, ROWS = 1 << 20, 1 << 17
+#: Numbers per word, hidden units.
+WIDTH, HIDDEN = 12, 24
+#: Rounds, each over its own share of the documents; words in a shard and in a step, step size.
+ROUNDS, SHARD_WORDS, STEP_WORDS, RATE = 2, 1 << 21, 2048, 0.05
+#: Shards summed by one task of the averaging tree, and weights in a range.
+FAN_IN, RANGE = 32, 1 << 16
 CHUNK = 1 << 19
 #: Words whose probabilities are held in memory together.
 SLICE = 8192
 #: Log-probabilities are summed as whole multiples of one part in so many, so that sums do not depend on the order.
 UNIT = 1 << 32
+#: Log-frequency of what does not occur.
+NEVER = -30.0
 
 PLACES = [-2, -1, 1, 2]
-#: "words" has one more row for each known word; it stands last.
-SHAPES = {"mix": (len(PLACES), WIDTH, HIDDEN), "shift": (HIDDEN,), "out": (HIDDEN, VOCABULARY), "bias": (VOCABULARY,), "words": (VOCABULARY + 1, WIDTH)}
-DENSE = sum(int(np.prod(shape)) for name, shape in SHAPES.items() if name != "words")
+#: "words" has one more row for each word beyond the vocabulary that has its own; it stands last.
+SHAPES = {
+    "mix": (len(PLACES), WIDTH, HIDDEN), "shift": (HIDDEN,), "outer": (HIDDEN, GROUPS + BUCKETS), "outer_bias": (GROUPS + BUCKETS,),
+    "inner": (COMMON, HIDDEN), "inner_bias": (COMMON,), "words": (VOCABULARY + 1, WIDTH),
+}
+#: The weights that move at every step.
+DENSE = sum(int(np.prod(SHAPES[name])) for name in ("mix", "shift", "outer", "outer_bias"))
 Weights = dict[str, np.ndarray]
 
 
 @dataclass
 class Vocabulary:
-    """The words with a row of their own, by rising hash, each with its token and class and the log of its share of the class.
+    """The known words, by rising hash, each with its token: a number from 0 on for a common word, by falling frequency, one beyond
+    EDGE for any other; words that are not known share the token of their bucket.
 
-    A token is a row of "words": a common word's class, the bucket of words that are not known, EDGE, and then the known words."""
+    For the tokens beyond EDGE: their buckets, the log of each word's share of its bucket, and their rows of "words". ``outer`` and
+    ``inner`` are the log-frequencies of groups and buckets, and of common words in their groups."""
 
     words: np.ndarray
     tokens: np.ndarray
     buckets: np.ndarray
     log_shares: np.ndarray
+    own_rows: np.ndarray
+    outer: np.ndarray
+    inner: np.ndarray
 
     def classes(self, tokens: np.ndarray) -> np.ndarray:
+        """What is predicted for each token: itself for a common word, else its bucket."""
         return np.concatenate([np.arange(EDGE + 1), self.buckets])[tokens]
 
     def logs(self, tokens: np.ndarray) -> np.ndarray:
-        """The log of each token's share of its class; 0 for words that are not known."""
+        """The log of each token's share of what is predicted; 0 for words that are not known."""
         return np.concatenate([np.zeros(EDGE + 1), self.log_shares])[tokens]
 
+    def rows(self, tokens: np.ndarray) -> np.ndarray:
+        """The row of "words" that stands for each token."""
+        return np.concatenate([np.arange(EDGE + 1), self.own_rows])[tokens]
+
 
 def unpack(flat: np.ndarray) -> Weights:
     sizes = np.cumsum([0, *(int(np.prod(s)) for s in SHAPES.values())])
@@ -74,13 +94,16 @@ def unpack(flat: np.ndarray) -> Weights:
     return {name: flat[a:b].reshape(-1, *shape[1:]) if name == "words" else flat[a:b].reshape(shape) for (name, shape), a, b in zip(SHAPES.items(), sizes, sizes[1:], strict=False)}
 
 
-def initial(buckets: np.ndarray | None = None) -> np.ndarray:
-    """The weights to start from; a known word begins as its bucket does."""
+def initial(known: Vocabulary | None = None) -> np.ndarray:
+    """The weights to start from, which predict by frequency alone; a row beyond the vocabulary begins as its bucket does."""
     rng = np.random.default_rng(11)
-    parts = [rng.normal(0, 0.1 if name in ("words", "out") else 0.3 * (name == "mix"), shape) for name, shape in SHAPES.items()]
-    if buckets is not None:
-        parts.append(parts[-1][buckets])
-    return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
+    parts = {name: np.zeros(shape) for name, shape in SHAPES.items()}
+    parts["mix"], parts["words"] = rng.normal(0, 0.3, SHAPES["mix"]), rng.normal(0, 0.1, SHAPES["words"])
+    if known is not None:
+        parts["outer_bias"], parts["inner_bias"] = known.outer, known.inner
+        beyond = known.own_rows > EDGE
+        parts["words"] = np.concatenate([parts["words"], parts["words"][known.buckets[beyond]]])
+    return np.concatenate([p.ravel() for p in parts.values()]).astype(np.float32)
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -103,24 +126,34 @@ def bucket(word: str = "word"):
 
 
 def vocabulary(counts: DataFrame) -> tuple[Vocabulary, list[int]]:
-    """The words to know, of the rows (word, n) of all words, and how many words of the corpus fall into each bucket."""
+    """The words to know, of the rows (word, n) of all words, and how many words of the corpus fall into each bucket.
+
+    At most KNOWN rows reach the driver, as no more words can be one in so many, and COMMON."""
     top = counts.orderBy(F.desc("n"), "word").limit(COMMON).toPandas()
     buckets = counts.groupBy(bucket().alias("b")).agg(F.sum("n").alias("n")).toPandas()
     totals = np.zeros(BUCKETS, np.int64)
     totals[buckets["b"].to_numpy(np.int64)] = buckets["n"].to_numpy(np.int64)
-    own = np.sort(top["word"].to_numpy(np.int64).view(np.uint64))
-    known = counts.filter(F.col("n") >= F.lit(int(totals.sum()) / KNOWN)).toPandas()
-    np.subtract.at(totals, (top["word"].to_numpy(np.int64).view(np.uint64) >> np.uint64(58)).astype(np.int64), top["n"].to_numpy(np.int64))
+    total = int(totals.sum())
+    own, own_n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    known = counts.filter(F.col("n") >= F.lit(total / KNOWN)).toPandas()
+    np.subtract.at(totals, (own >> np.uint64(58)).astype(np.int64), own_n)
     words, n = known["word"].to_numpy(np.int64).view(np.uint64), known["n"].to_numpy(np.int64)
     rest = ~np.isin(words, own)
     words, n = words[rest], n[rest]
     order = np.argsort(words)
     words, n = words[order], n[order]
     b = (words >> np.uint64(58)).astype(np.int64)
+    frequent = n * ROWS >= total
+    rows = np.where(frequent, EDGE + np.cumsum(frequent), COMMON + b)
     every = np.concatenate([own, words])
     tokens = np.concatenate([np.arange(len(own)), EDGE + 1 + np.arange(len(words))])
     order = np.argsort(every)
-    return Vocabulary(every[order], tokens[order], COMMON + b, np.log(n / totals[b])), totals.tolist()
+    each = np.zeros(COMMON)
+    each[: len(own)] = own_n
+    groups = each.reshape(GROUPS, GROUP_WORDS).sum(axis=1)
+    log = lambda x, of: np.where(x > 0, np.log(np.maximum(x, 1) / np.maximum(of, 1)), NEVER)
+    outer, inner = log(np.concatenate([groups, totals]), total), log(each, np.repeat(groups, GROUP_WORDS))
+    return Vocabulary(every[order], tokens[order], COMMON + b, np.log(n / totals[b]), rows, outer, inner), totals.tolist()
 
 
 def common_words(texts: DataFrame) -> Vocabulary:
@@ -156,22 +189,77 @@ def neighbours(tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
     return out
 
 
+def _softmax(logits: np.ndarray) -> None:
+    logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=1, keepdims=True)
+
+
+def _outer(tokens: np.ndarray) -> np.ndarray:
+    """The group of each common word, or the place of a bucket behind the groups."""
+    return np.where(tokens < COMMON, tokens // GROUP_WORDS, tokens - COMMON + GROUPS)
+
+
+def _by_group(tokens: np.ndarray) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
+    """For each group that occurs: where its words stand, its stretch of the common words, and the words' places in it."""
+    common = np.flatnonzero(tokens < COMMON)
+    group = tokens[common] // GROUP_WORDS
+    order = np.argsort(group, kind="stable")
+    common, group = common[order], group[order]
+    ends = np.searchsorted(group, np.arange(GROUPS + 1))
+    for g in np.flatnonzero(np.diff(ends)):
+        at = common[ends[g] : ends[g + 1]]
+        yield at, slice(g * GROUP_WORDS, (g + 1) * GROUP_WORDS), tokens[at] - g * GROUP_WORDS
+
+
+def _hidden(weights: Weights, seen: np.ndarray) -> np.ndarray:
+    return np.maximum(seen @ weights["mix"].reshape(-1, HIDDEN) + weights["shift"], 0)
+
+
 def log_probabilities(weights: Weights, around: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """The log-probability of each class, or token that is one, given the tokens around it."""
-    mix = weights["mix"].reshape(-1, HIDDEN)
-    out = np.empty(len(tokens), np.float32)
+    """The log-probability of each common word or bucket, given the rows of the words around it."""
+    out = np.empty(len(tokens), weights["mix"].dtype)
     for a in range(0, len(tokens), SLICE):
         near, own = around[a : a + SLICE], tokens[a : a + SLICE]
-        hidden = np.maximum(weights["words"][near].reshape(len(own), -1) @ mix + weights["shift"], 0)
-        logits = hidden @ weights["out"]
-        logits += weights["bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        picked = logits[np.arange(len(own)), own]
-        np.exp(logits, out=logits)
-        out[a : a + SLICE] = picked - np.log(logits.sum(axis=1))
+        hidden = _hidden(weights, weights["words"][near].reshape(len(own), -1))
+
+        def picked(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+            logits -= logits.max(axis=1, keepdims=True)
+            chosen = logits[np.arange(len(at)), at]
+            np.exp(logits, out=logits)
+            return chosen - np.log(logits.sum(axis=1))
+
+        logs = picked(hidden @ weights["outer"] + weights["outer_bias"], _outer(own))
+        for at, part, place in _by_group(own):
+            logs[at] += picked(hidden[at] @ weights["inner"][part].T + weights["inner_bias"][part], place)
+        out[a : a + SLICE] = logs
     return out
 
 
+def gradients(w: Weights, around: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, list, np.ndarray]:
+    """Of the mean negative log-probability: by the dense weights, by each group's (stretch, rows, biases), and by the words
+    around, a row for each."""
+    n = len(tokens)
+    seen = w["words"][around].reshape(n, -1)  # n x (places x width)
+    hidden = _hidden(w, seen)
+    p = hidden @ w["outer"] + w["outer_bias"]
+    _softmax(p)
+    p[np.arange(n), _outer(tokens)] -= 1
+    p /= np.float32(n)
+    back, groups = p @ w["outer"].T, []
+    for at, part, place in _by_group(tokens):
+        own = hidden[at]
+        q = own @ w["inner"][part].T + w["inner_bias"][part]
+        _softmax(q)
+        q[np.arange(len(at)), place] -= 1
+        q /= np.float32(n)
+        back[at] += q @ w["inner"][part]
+        groups.append((part, q.T @ own, q.sum(axis=0)))
+    back *= hidden > 0
+    dense = np.concatenate([(seen.T @ back).ravel(), back.sum(axis=0), (hidden.T @ p).ravel(), p.sum(axis=0)])
+    return dense, groups, (back @ w["mix"].reshape(-1, HIDDEN).T).reshape(-1, WIDTH)
+
+
 class Trainer:
     """Gradient steps from given weights, each scaled by its parameter's past gradients."""
 
@@ -185,88 +273,100 @@ class Trainer:
             self._step(around[a : a + STEP_WORDS], tokens[a : a + STEP_WORDS])
 
     def _step(self, around: np.ndarray, tokens: np.ndarray) -> None:
-        w, n = unpack(self.flat), len(tokens)
-        mix = w["mix"].reshape(-1, HIDDEN)
-        seen = w["words"][around].reshape(n, -1)  # n x (places x width)
-        hidden = np.maximum(seen @ mix + w["shift"], 0)
-        p = hidden @ w["out"]
-        p += w["bias"]
-        p -= p.max(axis=1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True) * np.float32(n)
-        p[np.arange(n), tokens] -= np.float32(1 / n)
-        back = (p @ w["out"].T) * (hidden > 0)
-        dense = np.concatenate([(seen.T @ back).ravel(), back.sum(axis=0), (hidden.T @ p).ravel(), p.sum(axis=0)])
+        w, past = unpack(self.flat), unpack(self.past)
+        dense, groups, near = gradients(w, around, tokens)
+
+        def move(name: str, where, by: np.ndarray) -> None:
+            past[name][where] += by * by
+            w[name][where] -= RATE * by / np.sqrt(past[name][where])
+
+        for part, rows, biases in groups:
+            move("inner", part, rows)
+            move("inner_bias", part, biases)
         # Of the words, only the rows that were seen move.
-        order = np.argsort(around, axis=None)
+        order = np.argsort(around, axis=None, kind="stable")
         rows = around.ravel()[order]
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        sums = np.add.reduceat((back @ mix.T).reshape(-1, WIDTH)[order], first, axis=0)
-        past, rows = unpack(self.past)["words"], rows[first]
-        squares = past[rows] + sums * sums
-        past[rows] = squares
-        w["words"][rows] -= RATE * sums / np.sqrt(squares)
+        move("words", rows[first], np.add.reduceat(near[order], first, axis=0))
         self.past[:DENSE] += dense * dense
         self.flat[:DENSE] -= RATE * dense / np.sqrt(self.past[:DENSE])
-        self.words += n
-
-
-PART = "part long, words long, weights binary"
-
-
-def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One row for a group of weights, weighted by words."""
-    pdf = pdf.sort_values(["words", "weights"])  # a fixed order, so that runs agree to the last bit
-    total = int(pdf["words"].sum())
-    mean = sum(np.frombuffer(w, "<f8") * (n / total) for w, n in zip(pdf["weights"], pdf["words"], strict=True))
-    return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "words": [total], "weights": [mean.astype("<f8").tobytes()]})
-
-
-def train(texts: DataFrame, known: Vocabulary) -> np.ndarray:
-    """The weights after all rounds; the first ones if no text has words."""
-    flat = initial(known.buckets)
-    for _ in range(ROUNDS):
+        self.words += len(tokens)
+
+
+PART = "part long, range long, words long, weights binary"
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """One row for a group's weights of one range, weighted by words; always added in the same order."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["part"])
+    total = sum(r["words"] for r in rows)
+    mean = sum(np.frombuffer(r["weights"], "<f8") * (r["words"] / total) for r in rows)
+    return pa.table({"part": [rows[0]["part"] // FAN_IN], "range": [rows[0]["range"]], "words": [total], "weights": [mean.astype("<f8").tobytes()]})
+
+
+def _averaged(parts: DataFrame) -> np.ndarray | None:
+    """The weights of all shards, averaged; no task holds more than FAN_IN stretches of them."""
+    while parts.select("part").distinct().count() > 1:
+        grouped = parts.groupBy(F.expr(f"part div {FAN_IN}").alias("of"), "range")
+        parts = materialise(grouped.applyInArrow(_summed, PART))
+    rows = parts.orderBy("range").collect()
+    return np.concatenate([np.frombuffer(r["weights"], "<f8") for r in rows]).astype(np.float32) if rows else None
+
+
+def _learner(given: Broadcast) -> Callable[[pa.Table], pa.Table]:
+    """A function that takes a shard's texts through the steps from the given weights, and returns the new ones in ranges."""
+
+    def run(table: pa.Table) -> pa.Table:
+        start, known = given.value
+        trainer = Trainer(start)
+        column = table.sort_by("h")["text"].combine_chunks()
+        data, starts = flat_text(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column)
+        for i, j in runs_of_rows(starts, CHUNK):
+            tokens, before = token_ids(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i], known)
+            trainer.learn(known.rows(neighbours(tokens, before)), known.classes(tokens))
+        ranges = range(0, len(trainer.flat), RANGE) if trainer.words else ()
+        blobs = [trainer.flat[a : a + RANGE].astype("<f8").tobytes() for a in ranges]
+        part = table["shard"][0].as_py()
+        columns = {"part": [part] * len(blobs), "range": list(range(len(blobs))), "words": [trainer.words] * len(blobs), "weights": blobs}
+        types = {"part": pa.int64(), "range": pa.int64(), "words": pa.int64(), "weights": pa.binary()}
+        return pa.table({c: pa.array(v, types[c]) for c, v in columns.items()})
+
+    return run
+
+
+def train(texts: DataFrame, known: Vocabulary, words: int | None = None) -> np.ndarray:
+    """The weights after all rounds; the first ones if no text has words. ``texts`` has ``text`` and may have an ``id``, which
+    deals out equal texts; ``words``: how many there are in all."""
+    if words is None:
+        words = word_counts(texts.select("text")).agg(F.sum("n")).first()[0] or 0
+    shards = max(1, round(words / SHARD_WORDS))
+    h = F.xxhash64("text", "id") if "id" in texts.columns else F.xxhash64("text")
+    keyed = texts.select("text", h.alias("h"))
+    keyed = keyed.select("text", "h", F.pmod("h", F.lit(ROUNDS)).alias("round"), F.pmod(F.shiftright("h", 20), F.lit(shards)).alias("shard"))
+    flat = initial(known)
+    for step in range(ROUNDS):
         given = texts.sparkSession.sparkContext.broadcast((flat, known))
 
-        def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            start, known = given.value
-            trainer = Trainer(start)
-            for batch in batches:
-                data, starts = flat_text(batch.column(0))
-                for i, j in runs_of_rows(starts, CHUNK):
-                    tokens, before = token_ids(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i], known)
-                    trainer.learn(neighbours(tokens, before), known.classes(tokens))
-            if trainer.words:
-                part = TaskContext.get().partitionId()
-                blob = trainer.flat.astype("<f8").tobytes()
-                columns = [pa.array([part]), pa.array([trainer.words]), pa.array([blob], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["part", "words", "weights"])
-
-        parts = materialise(texts.select("text").mapInArrow(run, PART))
-        while parts.count() > 1:
-            parts = materialise(_grouped(parts))
-        last = parts.first()
-        if last is None:
-            break
-        flat = np.frombuffer(last["weights"], "<f8").astype(np.float32)
+        own = keyed.filter(F.col("round") == step).select("shard", "h", "text")
+        flat = _first(_averaged(materialise(own.groupBy("shard").applyInArrow(_learner(given), PART))), flat)
     return flat
 
 
-def _grouped(parts: DataFrame) -> DataFrame:
-    """One row for each FAN_IN neighbouring parts."""
-    rows = parts.withColumn("part", F.expr(f"part div {FAN_IN}")).withColumn("group", F.col("part"))
-    return rows.groupBy("group").applyInPandas(_summed, PART)
+def _first(new: np.ndarray | None, old: np.ndarray) -> np.ndarray:
+    return old if new is None else new
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id``, ``n_words``, ``log_prob`` (sum over the words), ``mean_log_prob``.
 
     Null and empty texts, and texts of white space, have no words, a sum of 0 and a null mean. Equal texts score alike; an
-    empty table gives no rows."""
+    empty table gives no rows. Scores are those of the rows alone, however they are partitioned or ordered."""
     inner = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     counts = materialise(word_counts(inner.select("text")))
     words_known, totals = vocabulary(counts)
-    given = docs.sparkSession.sparkContext.broadcast((train(inner.select("text"), words_known), words_known))
+    total_words = counts.agg(F.sum("n")).first()[0] or 0
+    texts = inner.select(F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("id"))
+    given = docs.sparkSession.sparkContext.broadcast((train(texts, words_known, total_words), words_known))
     out = inner.select("doc_id").schema.add("n_words", "long").add("units", "long").add("rare", ArrayType(LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +377,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             for i, j in runs_of_rows(starts, CHUNK):
                 words, before = word_hashes(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
                 tokens = _tokens(words, known)
-                logs = log_probabilities(weights, neighbours(tokens, before), known.classes(tokens)) + known.logs(tokens)
+                logs = log_probabilities(weights, known.rows(neighbours(tokens, before)), known.classes(tokens)) + known.logs(tokens)
                 total = np.concatenate([[0], np.cumsum(np.rint(logs * UNIT).astype(np.int64))])
                 n[i:j], sums[i:j] = np.diff(before), total[before[1:]] - total[before[:-1]]
                 unknown = (tokens >= COMMON) & (tokens < EDGE)

@@ -133,6 +133,70 @@ def test_gradients_are_those_of_the_scores():
     assert masked_lm.log_probabilities(masked_lm.unpack(trainer.flat), around, tokens).sum() > before
 
 
+def test_gradients_are_the_slopes_of_the_scores():
+    """Each kind of weight against a difference quotient."""
+    rng = np.random.default_rng(4)
+    tokens = np.concatenate([rng.integers(0, 130, 30), rng.integers(masked_lm.COMMON, masked_lm.VOCABULARY, 10)])
+    around = masked_lm.neighbours(tokens, np.array([0, 25, 40]))
+    flat = masked_lm.initial().astype(np.float64) + rng.normal(0, 0.1, len(masked_lm.initial()))
+    w = masked_lm.unpack(flat)
+    loss = lambda f: -masked_lm.log_probabilities(masked_lm.unpack(f), around, tokens).astype(np.float64).mean()
+    dense, groups, near = masked_lm.gradients(w, around, tokens)
+    full = {n: np.zeros_like(v) for n, v in w.items()}
+    at = 0
+    for n in ("mix", "shift", "outer", "outer_bias"):
+        full[n] = dense[at : at + w[n].size].reshape(w[n].shape)
+        at += w[n].size
+    for part, rows, biases in groups:
+        full["inner"][part], full["inner_bias"][part] = rows, biases
+    np.add.at(full["words"], around.ravel(), near)
+    whole = np.concatenate([full[n].ravel() for n in masked_lm.SHAPES])
+    for k in [*rng.choice(np.flatnonzero(np.abs(whole) > 2e-3), 60), *rng.choice(len(whole), 5)]:
+        step = np.zeros(len(flat))
+        step[k] = 1e-5
+        assert (loss(flat + step) - loss(flat - step)) / 2e-5 == pytest.approx(whole[k], rel=1e-3, abs=1e-6)
+
+
+def test_scores_are_those_of_a_plain_scorer(make_docs):
+    """Word by word, from the trained weights and the counts of all words."""
+    rnd = __import__("random").Random(5)
+    vocabulary = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rnd.choices(vocabulary, weights=range(40, 0, -1), k=rnd.randint(1, 30)))) for i in range(60)]
+    docs = make_docs(rows)
+    texts = docs.selectExpr("text", "doc_id AS id")
+    known, _ = masked_lm.vocabulary(masked_lm.word_counts(texts.select("text")))
+    w = masked_lm.unpack(masked_lm.train(texts, known))
+    hashed = {v: int(masked_lm.word_hashes(np.frombuffer(v.encode(), np.uint8), np.array([0, len(v)]))[0][0]) for v in vocabulary}
+    token = {v: int(known.tokens[np.searchsorted(known.words, np.uint64(h))]) for v, h in hashed.items()}
+    def log_softmax(x, k):  # noqa: E306
+        return x[k] - x.max() - math.log(np.exp(x - x.max()).sum())
+    got = {r["doc_id"]: r["log_prob"] for r in masked_lm.scores(docs).collect()}  # noqa: E305
+    for i, text in rows[:20]:
+        t, total = [token[v] for v in text.split()], 0.0
+        for k, own in enumerate(t):
+            near = [t[k + s] if 0 <= k + s < len(t) else masked_lm.EDGE for s in (-2, -1, 1, 2)]
+            hidden = w["shift"].astype(float)
+            for place, x in enumerate(near):
+                hidden = hidden + w["words"][x].astype(float) @ w["mix"][place]
+            hidden = np.maximum(hidden, 0)
+            group, inside = divmod(own, masked_lm.GROUP_WORDS)
+            part = slice(group * masked_lm.GROUP_WORDS, (group + 1) * masked_lm.GROUP_WORDS)
+            total += log_softmax(hidden @ w["outer"] + w["outer_bias"], group)
+            total += log_softmax(w["inner"][part] @ hidden + w["inner_bias"][part], inside)
+        assert got[i] == pytest.approx(total, abs=1e-3)
+
+
+def test_scores_do_not_depend_on_partitions_or_order(make_docs, monkeypatch):
+    monkeypatch.setattr(masked_lm, "SHARD_WORDS", 300)
+    monkeypatch.setattr(masked_lm, "FAN_IN", 2)
+    rnd = __import__("random").Random(6)
+    rows = [(i, " ".join(rnd.choices("abcdefghij", k=rnd.randint(1, 60)))) for i in range(60)] + [(70 + i, "a b c d") for i in range(20)]
+    docs = make_docs(rows)
+    scored = [sorted(map(tuple, masked_lm.scores(docs.repartition(n)).collect())) for n in (1, 4, 32)]
+    assert scored[0] == scored[1] == scored[2]
+    assert len({r[2] for r in scored[0] if r[0] >= 70}) == 1
+
+
 def test_masked_scores_of_odd_rows(make_docs, odd_rows):
     docs = make_docs(odd_rows, clash=True)
     rows = masked_lm.scores(docs).collect()
