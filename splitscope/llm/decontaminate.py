@@ -1,12 +1,13 @@
 """Overlaps of documents with benchmark items that survive substituted words, found by spaced seeds.
 
-Words are runs of letters and digits, lower-cased. A seed hashes the words at the places that a fixed mask cares about, and
+Words are runs of letters and digits, lower-cased; in scripts that are written without spaces every letter is a word. A seed hashes the words at the places that a fixed mask cares about, and
 ignores those between, so a substituted word there does not break it. Documents and items meet where seeds are equal;
 the place of both gives an alignment. Around each such hit the item is laid along the document, and the alignment counts if in
 some window of the item, 13 words or the whole item if it is shorter, at most two words differ (one in items of fewer than 13).
 
 The two masks are chosen so that no such window is missed: whichever one or two of its words differ, one mask fits
-between them. So the result is exact. It uses DataFrame and SQL functions only.
+between them. So the result is exact. Items of fewer than eight words have no room for a substitution: they are looked for word by
+word, by a hash of all of them. It uses DataFrame and SQL functions only.
 """
 
 from __future__ import annotations
@@ -18,15 +19,21 @@ from splitscope.llm.common import materialise, text_or_empty, with_row_id
 
 #: Places that each mask cares about. Fixed values; tests/llm checks by enumeration that they miss no window.
 MASKS = ((0, 1, 2, 3, 5), (0, 1, 4, 6, 7))
-#: Words of the window that has to agree, and the shortest item that is looked for.
+#: Words of the window that has to agree, and of the shortest item that may differ in one.
 WINDOW, SHORTEST = 13, 8
 #: Benchmark seeds (some 40 bytes each) up to which they are sent to every executor instead of being shuffled.
 BROADCAST_SEEDS = 500_000
 
 
+# Scripts that are written without spaces between words.
+UNSPACED = "[" + "".join(rf"\p{{Is{s}}}" for s in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")) + "]"
+
+
 def word_hashes(text: Column) -> Column:
     """An array with a 64-bit hash per word."""
-    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+    lower = F.lower(text)
+    parted = F.when(lower.rlike(UNSPACED), F.regexp_replace(lower, f"({UNSPACED})", " $1 ")).otherwise(lower)
+    words = F.array_remove(F.split(parted, r"[^\p{L}\p{N}]+"), "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
@@ -55,32 +62,60 @@ def _windows() -> Column:
     )
 
 
+def _whole_items(docs: DataFrame, items: DataFrame) -> DataFrame | None:
+    """(rid, item_rid, n_same, n_window) for the items of fewer than eight words that documents hold as they are; None if there
+    are no such items. Only runs of the lengths that items have are hashed."""
+    short = items.filter(F.size("h") < SHORTEST)
+    lengths = sorted(r[0] for r in short.select(F.size("h")).distinct().collect())  # seven at most
+    if not lengths:
+        return None
+
+    def runs(n: int) -> Column:
+        words = ", ".join(f"h[i + {k}]" for k in range(n))
+        places = f"if(size(h) < {n}, array(), sequence(0, size(h) - {n}))"
+        return F.expr(f"array_distinct(transform({places}, i -> named_struct('n', {n}, 'whole', xxhash64({n}, {words}))))")
+
+    of_doc = F.concat(*[runs(n) for n in lengths])
+    read = docs.select("rid", word_hashes(text_or_empty()).alias("h")).select("rid", F.inline(of_doc))
+    asked = short.select(F.col("item").alias("item_rid"), "h").select("item_rid", F.inline(of_doc)).filter(F.size("h") == F.col("n"))
+    if asked.count() <= BROADCAST_SEEDS:
+        asked = F.broadcast(asked)
+    found = read.join(asked, ["n", "whole"])
+    return found.select("rid", "item_rid", F.col("n").alias("n_same"), F.col("n").alias("n_window"))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row (rid, item_rid, n_same, n_window) per document and item that overlap.
 
     ``docs`` and ``benchmark`` have the columns ``rid``, which tells rows apart, and ``text``. The alignment with the most agreeing words of a window
-    counts. Null and empty texts overlap with nothing, nor do items of fewer than eight words."""
+    counts. Null and empty texts, and items without words, overlap with nothing."""
     text = text_or_empty()
-    items = materialise(
-        benchmark.select(F.col("rid").alias("item"), word_hashes(text).alias("h")).filter(F.size("h") >= SHORTEST)
-    )
-    asked = _placed_seeds(items, "item").withColumnRenamed("at", "item_at")
+    items = materialise(benchmark.select(F.col("rid").alias("item"), word_hashes(text).alias("h")).filter(F.size("h") > 0))
+    long = items.filter(F.size("h") >= SHORTEST)
+    asked = _placed_seeds(long, "item").withColumnRenamed("at", "item_at")
     if asked.count() <= BROADCAST_SEEDS:
         asked = F.broadcast(asked)
     read = _placed_seeds(docs.select("rid", word_hashes(text).alias("h")), "rid")
     hits = read.join(asked, "seed").select("rid", "item", (F.col("at") - F.col("item_at")).alias("shift"))
-    hits = materialise(hits.distinct())
-    found = docs.select("rid", text.alias("text")).join(hits, "rid").join(items.withColumnRenamed("h", "words"), "item")
-    hashes = word_hashes(F.col("text")).alias("h")
-    # Written out, as the optimiser would otherwise put the hashing of the text inside the loop over the item's words.
-    laid = materialise(found.select("rid", F.col("item").alias("item_rid"), "shift", hashes, F.col("words").alias("item")))
-    same = F.expr("transform(item, (x, k) -> CASE WHEN get(h, shift + k) = x THEN 1 ELSE 0 END)")
+    sizes = long.select("item", F.size("h").alias("n"))
+    hits = materialise(hits.distinct().join(sizes, "item").groupBy("rid").agg(F.collect_list(F.struct("item", "shift", "n")).alias("hits")))
+    # Written out, as the optimiser would otherwise put the hashing of the text inside the loop over the hits.
+    hashed = materialise(docs.select("rid", text.alias("text")).join(hits, "rid").select("rid", word_hashes(F.col("text")).alias("h"), "hits"))
+    # Of the document, a row for each hit has only the words that the item is laid along.
+    along = F.expr(
+        "transform(hits, x -> named_struct('item_rid', x.item, 'shift', least(x.shift, 0), "
+        "'own', slice(h, greatest(x.shift, 0) + 1, x.n + least(x.shift, 0))))"
+    )
+    laid = hashed.select("rid", F.inline(along)).join(long.select(F.col("item").alias("item_rid"), F.col("h").alias("item")), "item_rid")
+    same = F.expr("transform(item, (x, k) -> CASE WHEN get(own, shift + k) = x THEN 1 ELSE 0 END)")
     laid = laid.select("rid", "item_rid", "item", same.alias("same"), F.least(F.lit(WINDOW), F.size("item")).alias("w"))
     best = laid.select("rid", "item_rid", F.array_max(_windows()).alias("n_same"), F.col("w").alias("n_window"))
     differ = F.when(F.col("n_window") < WINDOW, 1).otherwise(2)
-    return best.filter(F.col("n_same") >= F.col("n_window") - differ).groupBy("rid", "item_rid").agg(
+    found = best.filter(F.col("n_same") >= F.col("n_window") - differ).groupBy("rid", "item_rid").agg(
         F.max("n_same").alias("n_same"), F.first("n_window").alias("n_window")
     )
+    whole = _whole_items(docs, items)
+    return found if whole is None else found.unionByName(whole)
 
 
 def _numbered(table: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, str]:
@@ -92,7 +127,8 @@ def _numbered(table: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
 def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and benchmark item that overlap: ``doc_id``, ``item_id``, ``n_same``, ``n_window``.
 
-    Null and empty texts, and items of fewer than eight words, overlap with nothing. Rows with null or repeated ids count each
+    Null and empty texts, and items without words, overlap with nothing. Items of fewer than eight words overlap where they stand
+    as they are. Rows with null or repeated ids count each
     for themselves; an empty table on either side gives no rows."""
     _, texts, _ = _numbered(docs, id_col, text_col)
     _, items, _ = _numbered(benchmark, "item_id", "text")
@@ -103,7 +139,8 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that overlap with no benchmark item, with all their columns."""
+    """The rows of ``docs`` that overlap with no benchmark item, with all their columns. Null and empty texts stay; an empty
+    table gives an empty one, an empty benchmark drops nothing."""
     docs, texts, rid = _numbered(docs, id_col, text_col)
     pairs = overlaps(texts, _numbered(benchmark, "item_id", "text")[1])
     out = docs.join(pairs.select(F.col("rid").alias(rid)).distinct(), rid, "left_anti")

@@ -156,20 +156,22 @@ def oracle_sql() -> dict[str, str]:
         "op11_walsh_codes": codes_sql(),
         "op12_multi_order_join": GROUPS_SQL,
         "op1_spaced_seeds": r"""
-            WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'),
-                       lambda x: x <> '') AS t FROM documents),
-            b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'),
-                       lambda x: x <> '') AS t FROM benchmark),
+            WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')),
+                       '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])', ' \1 ', 'g'),
+                       '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents),
+            b AS (SELECT item_id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')),
+                       '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])', ' \1 ', 'g'),
+                       '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM benchmark),
             dw AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS p FROM d),
-            bw AS (SELECT item_id, len(t) AS n, unnest(t) AS w, generate_subscripts(t, 1) AS p FROM b WHERE len(t) >= 8),
+            bw AS (SELECT item_id, len(t) AS n, unnest(t) AS w, generate_subscripts(t, 1) AS p FROM b),
             m AS (SELECT doc_id, item_id, n, dw.p - bw.p AS shift, bw.p AS p FROM dw JOIN bw USING (w)),
             c AS (SELECT doc_id, item_id, n, shift, count(*) AS c FROM m GROUP BY ALL
-                  HAVING count(*) >= CASE WHEN n < 13 THEN n - 1 ELSE 11 END),
+                  HAVING count(*) >= CASE WHEN n < 8 THEN n WHEN n < 13 THEN n - 1 ELSE 11 END),
             s AS (SELECT doc_id, item_id, n, shift, unnest(range(1, n - least(n, 13) + 2)) AS s FROM c),
             r AS (SELECT s.doc_id, s.item_id, s.n, s.shift, s.s, count(*) AS same FROM s JOIN m USING (doc_id, item_id, shift)
                   WHERE m.p >= s.s AND m.p < s.s + least(s.n, 13) GROUP BY ALL)
             SELECT doc_id, item_id, max(same)::INT AS n_same, any_value(least(n, 13))::INT AS n_window FROM r
-            GROUP BY doc_id, item_id HAVING max(same) >= any_value(CASE WHEN n < 13 THEN n - 1 ELSE 11 END)""",
+            GROUP BY doc_id, item_id HAVING max(same) >= any_value(CASE WHEN n < 8 THEN n WHEN n < 13 THEN n - 1 ELSE 11 END)""",
         "op9_minhash_odd_sketch": r"""
             WITH RECURSIVE w AS (
                 SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

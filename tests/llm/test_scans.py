@@ -14,6 +14,7 @@ from collections import Counter
 from urllib.parse import quote
 
 import pytest
+import regex
 
 import corpus_pipeline
 from splitscope.llm import decontaminate, secret_scan
@@ -31,7 +32,13 @@ def test_no_window_escapes_the_masks():
 
 
 def _words(text):
-    return [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+    text = regex.sub(r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])", r" \1 ", (text or "").lower())
+    return [w for w in re.split(r"[\W_]+", text) if w]
+
+
+def _least(size):
+    """The words of an item's window that have to agree."""
+    return size - (0 if size < 8 else 1 if size < 13 else 2)
 
 
 def _best(doc, item):
@@ -45,25 +52,27 @@ def _best(doc, item):
 def test_overlaps_are_those_of_all_alignments(spark, make_docs, odd_rows):
     rnd = random.Random(8)
     words = [f"w{i}" for i in range(12)]
-    items = [(i, " ".join(rnd.choices(words, k=k))) for i, k in enumerate([5, 8, 9, 12, 13, 20, 40])]
-    items += [(None, None), (9, ""), (9, items[5][1])]
+    items = [(i, " ".join(rnd.choices(words, k=k))) for i, k in enumerate([1, 2, 5, 7, 8, 9, 12, 13, 20, 40])]
+    items += [(None, None), (9, ""), (9, items[5][1]), (20, "東京タワーは赤い"), (21, "これは日本語で書かれた少し長い質問の文章です。答えは何でしょうか")]
     rows = []
     for i in range(20, 70):
         text = rnd.choices(words, k=rnd.randint(0, 20)) + _words(rnd.choice(items)[1]) + rnd.choices(words, k=5)
         for _ in range(rnd.randint(0, 4)):
             text[rnd.randrange(len(text))] = "other"
         rows.append((i, ", ".join(text).upper()))
+    rows += [(80, f"序 {items[-2][1]}。"), (81, f"ab{items[-1][1]}cd"), (82, items[-1][1].replace("少", "多")), (83, "東京は赤い")]
     docs = make_docs([*odd_rows, *rows], clash=True)
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     got = Counter(tuple(r) for r in decontaminate.benchmark_overlaps(docs, benchmark).collect())
     want = Counter()
     for doc_id, text, *_ in [*odd_rows, *rows]:
         for item_id, item in items:
-            if len(_words(item)) >= 8:
+            if _words(item):
                 best, size = _best(_words(text), _words(item))
-                if best >= size - (2 if size == 13 else 1):
+                if best >= _least(size):
                     want[(doc_id, item_id, best, size)] += 1
-    assert got == want and want
+    assert got == want and {len(_words(i)) for d, k, *_ in want for j, i in items if j == k} >= {1, 2, 5, 7, 8, 40}
+    assert {(80, 20), (81, 21), (82, 21)} <= {k[:2] for k in want} and not any(k[0] == 83 and k[1] >= 20 for k in want if k[1])
     clean = decontaminate.drop_contaminated(docs, benchmark)
     assert clean.columns == docs.columns
     assert Counter(r["doc_id"] for r in clean.collect()) == Counter(
