@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +22,38 @@ def scratch_dir(spark: SparkSession) -> str:
     return (where or spark.sparkContext.getCheckpointDir()).rstrip("/")
 
 
+#: Tables written inside the innermost :func:`tidied`, a list for each.
+_WRITTEN: list[list[str]] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared folder; later work starts from there, also after a lost executor."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
+    for written in _WRITTEN[-1:]:
+        written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidied(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of ``build()``, written to the shared folder, and all tables that were written on the way removed from it."""
+    _WRITTEN.append([])
+    try:
+        kept = materialise(build())
+    finally:
+        written = _WRITTEN.pop()
+    for path in written[:-1]:
+        removed(spark, path)
+    return kept
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """``name``, lengthened until it clashes with no column of ``docs``."""
     taken = {c.lower() for c in docs.columns}

@@ -242,7 +242,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Learns from the rows of :func:`train`, predicts every row from its text alone. ``lang_pred`` is ``und`` with score 0 for
     null texts and texts without letters, and for all if no row is learnable. A null id is not held out, and not learned
-    from. Repeated rows get equal predictions."""
+    from. Repeated rows get equal predictions. More than MOST_LANGUAGES values of ``lang`` raise a ValueError: the column
+    holds something else then."""
     model = train(docs, id_col, text_col)
     out = _labelled(docs, model, id_col, text_col)
     held = F.coalesce(~learnable(id_col), F.lit(False)).alias("held_out")
@@ -250,8 +251,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def drop_unknown(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is known with a probability of ``least`` or more, with all their columns."""
+    """The rows of ``docs`` whose language is known with a probability of ``least`` or more, with all their columns.
+
+    Null texts and texts without letters go. Where no row is learnable no language can be told, and every row stays; an empty
+    table gives an empty one."""
     model = train(docs, id_col, text_col)
+    if model is None:
+        return docs
     docs, rid = with_row_id(docs, id_col)
     good = _labelled(docs, model, rid, text_col).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     out = docs.join(good.select(rid), rid, "left_semi")

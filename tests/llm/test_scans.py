@@ -17,7 +17,9 @@ import pytest
 import regex
 
 import corpus_pipeline
-from splitscope.llm import decontaminate, secret_scan
+from pyspark.sql import functions as F
+
+from splitscope.llm import common, decontaminate, secret_scan
 
 
 def test_no_window_escapes_the_masks():
@@ -263,3 +265,23 @@ def test_pipeline_stages_take_odd_rows(spark, make_docs, odd_rows):
         docs = stage(spark, docs, "/root/testdata/sf0.001")
     assert docs.columns == make_docs(odd_rows, clash=True).columns
     assert corpus_pipeline.STAGES[-1][1](spark, docs.filter("false"), "/root/testdata/sf0.001").count() == 0
+
+
+def test_without_languages_every_row_stays(spark, make_docs, odd_rows):
+    docs = make_docs(odd_rows, clash=True).withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.known_language(spark, docs, "")
+    assert kept.columns == docs.columns and kept.count() == len(odd_rows)
+
+
+def test_stages_of_an_empty_table(spark, make_docs):
+    docs = make_docs([(1, "a")]).filter("false")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.count() == 0, name
+
+
+def test_the_pipeline_leaves_one_table_behind(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "scratch_dir", lambda spark: f"file://{tmp_path}")
+    result = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert len([p for p in tmp_path.iterdir() if p.name.startswith("table-")]) == 1
+    assert result.count() > 0
