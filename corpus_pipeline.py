@@ -6,14 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from splitscope.llm import bpe, decontaminate, exact_dedup, language, near_dedup
-from splitscope.llm.common import materialise
+from splitscope.llm.common import removed, tidied
 
 #: Rank file of the last stage.
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters and those whose language the classifier gives less than even odds."""
+    """Drops texts without letters and those whose language the classifier gives less than even odds; without any row to learn
+    languages from, nothing."""
     return language.drop_unknown(docs)
 
 
@@ -50,7 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. What a stage leaves in the shared folder goes with the next one; the last stage's input stays,
+    as its result is read from there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        docs = tidied(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if before is not None:
+            removed(spark, before)
+        before = docs.inputFiles()[0].rpartition("/")[0] if docs.inputFiles() else None
     return STAGES[-1][1](spark, docs, sf_dir)
