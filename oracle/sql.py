@@ -747,6 +747,7 @@ def statements() -> dict[str, str]:
             *by_session, "SELECT user_pseudo_id, session_id, variant, session_start FROM ex"
         ),
         "conversions": _with(*by_user, "SELECT user_pseudo_id, variant, converted FROM u"),
+        "conversions_bucketed": _with(*by_user, "SELECT user_pseudo_id, variant, converted FROM u"),
         "conversions_in_session": _with(
             *in_session, "SELECT user_pseudo_id, variant, converted FROM u"
         ),

@@ -69,6 +69,20 @@ class Study:
         reader = self.flat.sparkSession.read.schema(self.flat.schema)
         return replace(self, flat_table=reader.parquet(path).select(*self.flat.columns))
 
+    def bucketed(self, table: str, path: str, buckets: int | None = None) -> Study:
+        """As :meth:`flattened`, as a table of the catalog, partitioned by day and bucketed by user.
+
+        Reports per user then aggregate where a bucket is read, without dealing the events out again: of all reports, only what
+        follows the first aggregation is shuffled. Every day has up to ``buckets`` files (default: the number of shuffle
+        partitions), so that a bucket's share of the date range should fit a task."""
+        spark = self.flat.sparkSession
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # One task writes a bucket's files of all days, so that there are no more of them than buckets and days.
+        dealt = self.flat.repartition(buckets, "user_pseudo_id").sortWithinPartitions("event_date")
+        writer = dealt.write.partitionBy("event_date").bucketBy(buckets, "user_pseudo_id")
+        writer.option("path", path).format("parquet").saveAsTable(table)
+        return replace(self, flat_table=spark.table(table).select(*self.flat.columns))
+
     # Units are measured per design of the registry, and named per experiment where results leave the study.
 
     @cached_property

@@ -97,3 +97,24 @@ def test_session_metrics_read_the_events_twice(study):
 def test_decision_reads_the_events_four_times(study):
     """Twice for the sessions, once each for the test and the split."""
     assert len(scans(study.launch_decision())) <= 4
+
+
+def test_reports_over_bucketed_events_do_not_deal_users_out_again(spark, study, tmp_path):
+    bucketed = study.bucketed("bucketed_events", str(tmp_path / "events"), 6)
+    for report in (bucketed.conversions(), bucketed.z_test()):
+        text = plan(report)
+        assert "Bucketed: true" in text and "PartitionFilters: [isnotnull(event_date" in text
+        assert "hashpartitioning(user_pseudo_id" not in text
+    assert sorted(map(str, bucketed.conversions().collect())) == sorted(map(str, study.conversions().collect()))
+    assert sorted(map(str, bucketed.session_metrics.collect())) == sorted(map(str, study.session_metrics.collect()))
+    spark.sql("DROP TABLE bucketed_events")
+
+
+def test_partitioned_tables_are_read_by_folder(spark, tmp_path):
+    path = str(tmp_path / "events")
+    write_events(test_study(spark, "/root/testdata/sf0.001").events, path)
+    two_weeks = Study(read_events(spark, path, "20240108", "20240121"), start_date="20240108", end_date="20240121")
+    days = test_study(spark, "/root/testdata/sf0.001").flat.where("event_date BETWEEN '20240108' AND '20240121'")
+    wanted = days.where("event_name IN ('page_view', 'purchase')").count()
+    (read,) = scans(two_weeks.conversions())
+    assert wanted <= read <= days.count()
