@@ -24,13 +24,13 @@ def rows(df):
     return sorted(map(str, df.select(sorted(df.columns)).collect()))
 
 
-@pytest.mark.parametrize(("scope", "crossover"), [(USER_FORWARD, BOTH), (SESSION, EXCLUDE), (USER_FORWARD, FIRST)])
-def test_thirty_days_one_by_one_equal_one_run(spark, tmp_path, scope, crossover):
+@pytest.mark.parametrize(("scope", "crossover", "days"), [(USER_FORWARD, BOTH, 1), (SESSION, EXCLUDE, 9), (USER_FORWARD, FIRST, 11)])
+def test_thirty_days_one_by_one_equal_one_run(spark, tmp_path, scope, crossover, days):
     flat = study_of(spark, SMALL).flat.withColumn("user_pseudo_id", F.split("user_pseudo_id", "[.]")[0]).cache()
     path = str(tmp_path / "states")
-    for n in range(31):
-        day = f"{date(2024, 1, 1) + timedelta(n):%Y%m%d}"
-        dailies.update(flat, path, REGISTRY, day, day, scope)
+    for n in range(0, 31, days):
+        first, last = (f"{date(2024, 1, 1) + timedelta(k):%Y%m%d}" for k in (n, min(n + days, 31) - 1))
+        dailies.update(flat, path, REGISTRY, first, last, scope)
     got = dailies.units(dailies.read_states(spark, path, START, END), REGISTRY, scope, crossover)
     assert rows(got) == rows(attributed_units(flat, REGISTRY, scope, crossover))
     weeks = dailies.units(dailies.read_states(spark, path, "20240108", "20240121"), REGISTRY, scope, crossover)
