@@ -97,4 +97,5 @@ def test_pages(
         return report
     # Only the first pages of each task meet in the task of their method.
     nth = F.row_number().over(W.partitionBy("method").orderBy(*_order()))
-    return report.withColumn("_nth", nth).where(F.col("_nth") <= top).drop("_nth")
+    best = report.withColumn("_nth", nth).where(F.col("_nth") <= top).drop("_nth")
+    return best.orderBy(F.desc("method"), *_order())
