@@ -35,9 +35,9 @@ EDGE = VOCABULARY
 #: Words that are at least one in so many of the corpus are known; and have a row of their own among the neighbours.
 KNOWN, ROWS = 1 << 20, 1 << 17
 #: Numbers per word, hidden units.
-WIDTH, HIDDEN = 12, 24
+WIDTH, HIDDEN = 12, 16
 #: Rounds, each over its own share of the documents; words in a shard and in a step, step size.
-ROUNDS, SHARD_WORDS, STEP_WORDS, RATE = 2, 1 << 21, 2048, 0.05
+ROUNDS, SHARD_WORDS, STEP_WORDS, RATE = 2, 1 << 21, 16384, 0.5
 #: Shards summed by one task of the averaging tree, and weights in a range.
 FAN_IN, RANGE = 32, 1 << 16
 CHUNK = 1 << 19
