@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -77,15 +78,23 @@ class Vocabulary:
 
     def classes(self, tokens: np.ndarray) -> np.ndarray:
         """What is predicted for each token: itself for a common word, else its bucket."""
-        return np.concatenate([np.arange(EDGE + 1), self.buckets])[tokens]
+        return self._per_token[0][tokens]
 
     def logs(self, tokens: np.ndarray) -> np.ndarray:
         """The log of each token's share of what is predicted; 0 for words that are not known."""
-        return np.concatenate([np.zeros(EDGE + 1), self.log_shares])[tokens]
+        return self._per_token[1][tokens]
 
     def rows(self, tokens: np.ndarray) -> np.ndarray:
         """The row of "words" that stands for each token."""
-        return np.concatenate([np.arange(EDGE + 1), self.own_rows])[tokens]
+        return self._per_token[2][tokens]
+
+    @cached_property
+    def _per_token(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        plain = np.arange(EDGE + 1)
+        return (
+            np.concatenate([plain, self.buckets]), np.concatenate([np.zeros(EDGE + 1), self.log_shares]),
+            np.concatenate([plain, self.own_rows]),
+        )
 
 
 def unpack(flat: np.ndarray) -> Weights:
