@@ -84,6 +84,56 @@ def test_model_is_interpolated_kneser_ney(spark):
         assert math.isclose(math.exp(table[place]), brute(gram), rel_tol=1e-4)
 
 
+def _byte_within_symbol(counts):
+    """As :func:`_kneser_ney`, on tuples of bytes: P(last byte | its symbol, the bytes before)."""
+    def estimate(own, gram):
+        if not gram:
+            return None
+        kinds = Counter(own.values())
+        t = [kinds.get(i, 0) for i in range(5)]
+        if all(t[1:]):
+            y = t[1] / (t[1] + 2 * t[2])
+            off = [min(max(i - (i + 1) * y * t[i + 1] / t[i], 0.05), i - 0.05) for i in (1, 2, 3)]
+        else:
+            off = [0.5] * 3
+        symbol = quality.FOLD[gram[-1]]
+        less = estimate(Counter(g[1:] for g in own), gram[1:]) if len(gram) > 1 else 1 / (quality.FOLD == symbol).sum()
+        context = {g: n for g, n in own.items() if g[:-1] == gram[:-1] and quality.FOLD[g[-1]] == symbol}
+        total = sum(context.values())
+        if not total:
+            return less
+        cut = lambda n: off[min(n, 3) - 1]
+        seen = context.get(gram, 0)
+        return (seen - cut(seen) if seen else 0) / total + sum(map(cut, context.values())) / total * less
+
+    return lambda gram: estimate(counts, gram)
+
+
+@pytest.mark.parametrize("held", [1 << 22, 3])
+def test_perplexities_are_those_of_all_bytes(make_docs, spark, monkeypatch, held):
+    """Every byte is scored, within its symbol too; in one range of four-grams or in many."""
+    monkeypatch.setattr(quality, "RANGE", held)
+    monkeypatch.setattr(quality, "HELD", held)
+    trusted = ["In 1984, on 3 May: 17.5% (A).", "\u4f60\u597d\uff0c\u4e16\u754c", "na\u00efve caf\u00e9\t\r\n", "In 1999, a B"]
+    other = ["In 1748, on 6 May; 98,2% [Z].", "\u597d\u4f60\u3002\u754c\u4e16", "\u0416 x", "a", "!", "\u00e9"]
+    docs = make_docs(list(enumerate([*trusted, *other, None])))
+    labels = spark.createDataFrame([(i, 1) for i in range(len(trusted))], "doc_id long, quality int")
+    got = {r["doc_id"]: r["perplexity"] for r in quality.judged(docs, labels).collect()}
+    counted, symbols = Counter(), Counter()
+    for t in trusted:
+        raw = b"\n" * 3 + t.encode()
+        symbols.update(tuple(quality.FOLD[list(raw[i : i + 4])].tolist()) for i in range(len(raw) - 3))
+        counted.update(tuple(raw[i : i + 4]) for i in range(len(raw) - 3) if (quality.FOLD == quality.FOLD[raw[i + 3]]).sum() > 1)
+    of_symbol, of_byte = _kneser_ney(symbols, quality.SYMBOLS), _byte_within_symbol(counted)
+    for k, t in enumerate([*trusted, *other]):
+        raw = b"\n" * 3 + t.encode()
+        grams = [raw[i : i + 4] for i in range(len(raw) - 3)]
+        log_prob = sum(math.log(of_symbol(tuple(quality.FOLD[list(g)].tolist())) * of_byte(tuple(g))) for g in grams)
+        assert got[k] == pytest.approx(math.exp(-log_prob / len(grams)), rel=1e-4)
+    assert got[len(got) - 1] is None
+    assert sum(of_byte((*b"\n19", b)) for b in b"0123456789") == pytest.approx(1)
+
+
 def test_quality_follows_the_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
