@@ -32,6 +32,8 @@ ORDERS = 3
 PARITY = 1024
 #: Shingles that one task counts at a time, and bytes of text hashed at a time.
 SHARE, CHUNK = 1 << 21, 1 << 22
+#: Destinations for each part; more of them hold less in memory at a time.
+SPREAD = 4
 
 U = np.uint64
 STEP = U(0x9E3779B97F4A7C15)
@@ -106,9 +108,9 @@ def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def _shared_of_part(table: pa.Table) -> pa.Table:
-    """(set_a, n_shared, tokens, ranks) for the sets that share shingles of this part with another set. A rank is the
-    number of sets that have the shingle, as a power of two in eighths."""
+def _shared_of_part(table: pa.Table, ranges: int) -> pa.Table:
+    """(dest, sets, counts, tokens, ranks): the shingles of this part that several sets share, packed by where their sets are
+    gathered. A rank is the number of sets that have the shingle, as a power of two in eighths."""
     part = table["part"][0].as_py() if table.num_rows else 0
     owner = np.repeat(_joined(table["sets"], np.int64), _joined(table["counts"], np.int32))
     raw = _joined(table["tokens"], np.uint8).reshape(-1, 6)
@@ -126,23 +128,68 @@ def _shared_of_part(table: pa.Table) -> pa.Table:
     token = token | U((part & 0xFFFF) << 48)
     order = np.argsort(owner, kind="stable")
     token, owner, rank = token[order], owner[order], rank[order]
-    sets, first = np.unique(owner, return_index=True)
+    sets, first, counts = np.unique(owner, return_index=True, return_counts=True)
     ends = np.append(first, len(owner))
+    # Names are spread evenly, so those of a destination stand side by side.
+    dest = _destination(sets, ranges)
+    at = np.append(np.flatnonzero(np.diff(dest, prepend=-1)), len(sets))
     return pa.table(
         {
-            "set_a": pa.array(sets, pa.int64()),
-            "n_shared": pa.array(np.diff(ends), pa.int64()),
-            "tokens": pa.array([token[i:j].tobytes() for i, j in pairwise(ends)], pa.binary()),
-            "ranks": pa.array([rank[i:j].tobytes() for i, j in pairwise(ends)], pa.binary()),
+            "dest": pa.array(dest[at[:-1]], pa.int64()),
+            "sets": pa.array([sets[i:j].tobytes() for i, j in pairwise(at)], pa.binary()),
+            "counts": pa.array([counts[i:j].astype(np.int32).tobytes() for i, j in pairwise(at)], pa.binary()),
+            "tokens": pa.array([token[ends[i] : ends[j]].tobytes() for i, j in pairwise(at)], pa.binary()),
+            "ranks": pa.array([rank[ends[i] : ends[j]].tobytes() for i, j in pairwise(at)], pa.binary()),
         }
     )
 
 
-def shared_tokens(texts: DataFrame, total: int) -> DataFrame:
-    """(set_a, n_shared, tokens, ranks), perhaps in several rows a set: the shingles that a set shares with others."""
+def _destination(sets: np.ndarray, ranges: int) -> np.ndarray:
+    """Which of so many ranges of equal width the names of sets fall into."""
+    return ((sets >> np.int64(32)) + np.int64(1 << 31)) * ranges >> np.int64(32)
+
+
+def _gathered(heads: pa.Table, packed: pa.Table, percent: int) -> pa.Table:
+    """(rid, n, tokens, ranks) for the heads of a destination of whose shingles enough are shared, from the rows of all parts."""
+    owner = _joined(packed["sets"], np.int64)
+    counts = _joined(packed["counts"], np.int32).astype(np.int64)
+    order = np.argsort(np.repeat(owner, counts), kind="stable")
+    token, rank = _joined(packed["tokens"], U)[order], _joined(packed["ranks"], np.uint8)[order]
+    sets, inverse = np.unique(owner, return_inverse=True)
+    shared = np.append(np.bincount(inverse, counts, len(sets)).astype(np.int64), 0)
+    ends = np.concatenate([[0], np.cumsum(shared)])
+    name, n = (heads[c].to_numpy() for c in ("set_a", "n_shingles"))
+    at = np.searchsorted(sets, name)
+    at[np.append(sets, 0)[at] != name] = len(sets)
+    enough = (shared[at] > 0) & (100 * shared[at] >= percent * n)
+    at = at[enough].tolist()
+    return pa.table(
+        {
+            "rid": pa.array(heads["head"].to_numpy()[enough], pa.int64()),
+            "n": pa.array(n[enough], pa.int64()),
+            "tokens": pa.array([token[ends[i] : ends[i + 1]].tobytes() for i in at], pa.binary()),
+            "ranks": pa.array([rank[ends[i] : ends[i + 1]].tobytes() for i in at], pa.binary()),
+        }
+    )
+
+
+def shared_tokens(texts: DataFrame, heads: DataFrame, total: int, percent: int) -> DataFrame:
+    """(rid, n, tokens, ranks): the shingles that a set shares with others, for each of ``heads`` that may link with another.
+
+    A part sends one row to each destination, however many sets have shingles in it; destinations grow with parts."""
     parts = max(1, -(-total // SHARE))
+    ranges = SPREAD * parts
     dealt = _dealt(texts, parts).repartition(parts, "part")
-    return dealt.groupBy("part").applyInArrow(_shared_of_part, "set_a long, n_shared long, tokens binary, ranks binary")
+    packed = dealt.groupBy("part").applyInArrow(
+        lambda table: _shared_of_part(table, ranges), "dest long, sets binary, counts binary, tokens binary, ranks binary"
+    )
+    dest = F.shiftright((F.shiftright("set_a", 32) + F.lit(1 << 31)) * F.lit(ranges), 32).alias("dest")
+    dealt_heads = heads.select(dest, "head", "n_shingles", "set_a")
+    return (
+        dealt_heads.groupBy("dest")
+        .cogroup(packed.groupBy("dest"))
+        .applyInArrow(lambda own, found: _gathered(own, found, percent), "rid long, n long, tokens binary, ranks binary")
+    )
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -159,7 +206,7 @@ CLASS = "rid long, n long, alone long, shared binary, parity array<long>, prefix
 
 
 def classes(gathered: DataFrame, percent: int) -> DataFrame:
-    """From (rid, n, pieces of tokens and ranks): a class's sorted shared shingles, their parities, and its prefix under each
+    """From (rid, n, tokens, ranks): a class's sorted shared shingles, their parities, and its prefix under each
     order.
 
     Shingles of one class only come first in every order, so its prefixes begin with all of them."""
@@ -168,8 +215,8 @@ def classes(gathered: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for row in batch.to_pylist():
-                token = np.frombuffer(b"".join(p["tokens"] for p in row["pieces"]), U)
-                rank = np.frombuffer(b"".join(p["ranks"] for p in row["pieces"]), np.uint8)
+                token = np.frombuffer(row["tokens"], U)
+                rank = np.frombuffer(row["ranks"], np.uint8)
                 alone = row["n"] - len(token)
                 length = prefix_length(row["n"], percent) - alone
                 firsts = [token[np.lexsort((mix64(token + _salt(k)), rank))[:length]] for k in range(ORDERS)]
@@ -233,10 +280,7 @@ def linked_rows(texts: DataFrame, percent: int) -> DataFrame:
     keys = ["n_shingles", "set_a", "set_b"]
     heads = materialise(named.filter("n_shingles > 0").groupBy(*keys).agg(F.min("rid").alias("head")))
     total = heads.agg(F.sum("n_shingles")).first()[0] or 0
-    shared = shared_tokens(texts, total)
-    pieces = shared.groupBy("set_a").agg(F.sum("n_shared").alias("n_shared"), F.collect_list(F.struct("tokens", "ranks")).alias("pieces"))
-    enough = heads.join(pieces, "set_a").filter(100 * F.col("n_shared") >= percent * F.col("n_shingles"))
-    gathered = enough.select(F.col("head").alias("rid"), F.col("n_shingles").alias("n"), "pieces")
+    gathered = shared_tokens(texts, heads, total, percent)
     known = materialise(classes(gathered, percent))
     rows = materialise(known.select(F.explode(F.col("prefixes")[0]).alias("token"), "rid"))
     parts = meetings.linked(

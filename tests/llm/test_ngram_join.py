@@ -6,6 +6,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from splitscope.llm import meetings, ngram_join
@@ -47,6 +49,30 @@ def test_a_chain_links_through_its_middle(make_docs):
     assert got == {0}
 
 
+def test_parts_send_rows_to_destinations_not_to_sets():
+    """As many rows as destinations, however many sets share shingles; all sets and shingles arrive."""
+    rng = np.random.default_rng(5)
+    names = np.unique(rng.integers(-(2**63), 2**63 - 1, 900, dtype=np.int64))
+    sent = []
+    for part in range(4):
+        tokens = [np.unique(rng.integers(0, 60, 9)).astype("<u8") for _ in names]
+        blob = np.concatenate(tokens).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+        counts = np.array([len(t) for t in tokens], np.int32)
+        row = {"part": [part], "sets": [names.tobytes()], "counts": [counts.tobytes()], "tokens": [blob]}
+        got = ngram_join._shared_of_part(pa.table({c: pa.array(v, pa.int64() if c == "part" else pa.binary()) for c, v in row.items()}), 4)
+        assert got.num_rows == 4 and got["dest"].to_pylist() == [0, 1, 2, 3]
+        sent.append((got, tokens))
+    packed, whole = pa.concat_tables([g for g, _ in sent]), {}
+    for d in range(4):
+        own = names[ngram_join._destination(names, 4) == d]
+        heads = pa.table({"head": own, "n_shingles": np.full(len(own), 30), "set_a": own})
+        for r in ngram_join._gathered(heads, packed.filter(pc.equal(packed["dest"], d)), 1).to_pylist():
+            whole[r["rid"]] = np.frombuffer(r["tokens"], "<u8")
+            assert len(r["ranks"]) == len(whole[r["rid"]])
+    for i, name in enumerate(names.tolist()):
+        assert sorted(whole[name].tolist()) == [p << 48 | int(t) for p, (_, tokens) in enumerate(sent) for t in tokens[i]]
+
+
 def test_every_order_keeps_the_links():
     """Sets of the similarity share a shingle within their prefixes under every order."""
     rnd = random.Random(3)
