@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import pathlib
 import random
 from collections import Counter, defaultdict
 
@@ -179,6 +180,19 @@ def test_long_texts_are_read_in_overlapping_stretches(make_docs):
     assert got == {1: 900, 2: 900}
 
 
+def test_only_spans_stay_in_the_shared_folder(make_docs, spark):
+    """Anchors, contexts and pieces go with the step that needs them."""
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    rnd = random.Random(8)
+    passage = "".join(rnd.choices("abcdefgh", k=900))
+    texts = ["".join(rnd.choices("abcdefgh", k=700)) + passage + "".join(rnd.choices("abcdefgh", k=300)) for _ in range(6)]
+    before = set(folder.glob("table-*"))
+    report = repeats.removal_report(make_docs(list(enumerate(texts))))
+    left = set(folder.glob("table-*")) - before
+    assert all(spark.read.parquet(str(t)).columns == ["rid", "lo", "hi"] for t in left) and len(left) == 3
+    assert all(r["n_removed"] >= len(passage) for r in report.collect())
+
+
 def test_repeated_ids_and_empty_tables(make_docs):
     text = "".join(random.Random(7).choices("abcdefgh", k=500))
     got = repeats.removal_report(make_docs([(1, text), (1, text), (None, "z" * 10)])).collect()
