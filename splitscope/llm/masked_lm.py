@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,9 @@ ROUNDS, SHARD_WORDS, STEP_WORDS, RATE = 2, 1 << 21, 16384, 0.5
 FAN_IN, RANGE = 32, 1 << 16
 CHUNK = 1 << 19
 #: Words whose probabilities are held in memory together.
-SLICE = 8192
+SLICE = 1 << 15
+#: Logits whose exponentials are summed as they are.
+SAFE = 60.0
 #: Log-probabilities are summed as whole multiples of one part in so many, so that sums do not depend on the order.
 UNIT = 1 << 32
 #: Log-frequency of what does not occur.
@@ -174,8 +177,12 @@ def _tokens(words: np.ndarray, known: Vocabulary) -> np.ndarray:
     shared = (COMMON + (words >> np.uint64(58))).astype(np.int64)
     if not len(known.words):
         return shared
-    at = np.minimum(np.searchsorted(known.words, words), len(known.words) - 1)
-    return np.where(known.words[at] == words, known.tokens[at], shared)
+    order = np.argsort(words)  # looked up by rising hash, neighbours in the table follow each other
+    rising = words[order]
+    at = np.minimum(np.searchsorted(known.words, rising), len(known.words) - 1)
+    own = known.words[at] == rising
+    shared[order[own]] = known.tokens[at[own]]
+    return shared
 
 
 def token_ids(data: np.ndarray, starts: np.ndarray, known: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -198,10 +205,30 @@ def neighbours(tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
     return out
 
 
-def _softmax(logits: np.ndarray) -> None:
-    logits -= logits.max(axis=1, keepdims=True)
+def _bounded(logits: np.ndarray) -> None:
+    """Shifts the rows whose exponentials could leave the range of numbers; what happens to a row depends on that row alone."""
+    if not (logits.max(initial=0) <= SAFE and logits[:, 0].min(initial=0) >= -SAFE):
+        most = logits.max(axis=1, keepdims=True)
+        logits -= np.where(np.abs(most) <= SAFE, 0, most).astype(logits.dtype)
+
+
+def _picked(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log-probability of one column in each row; overwrites the logits."""
+    _bounded(logits)
+    chosen = logits[np.arange(len(at)), at]
+    np.exp(logits, out=logits)
+    return chosen - np.log(logits.sum(axis=1))
+
+
+def _errors(logits: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The slopes of the mean negative log-probability of n words by the logits are put in their place, but for a factor for each row.
+
+    Returns these factors. Whoever multiplies fewer columns takes them along, so the logits are gone through less often."""
+    _bounded(logits)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
+    sums = logits @ np.ones(logits.shape[1], logits.dtype)
+    logits[np.arange(len(at)), at] -= sums
+    return (1 / (sums * n))[:, None]
 
 
 def _outer(tokens: np.ndarray) -> np.ndarray:
@@ -209,63 +236,77 @@ def _outer(tokens: np.ndarray) -> np.ndarray:
     return np.where(tokens < COMMON, tokens // GROUP_WORDS, tokens - COMMON + GROUPS)
 
 
-def _by_group(tokens: np.ndarray) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
-    """For each group that occurs: where its words stand, its stretch of the common words, and the words' places in it."""
+def _by_group(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+    """Where the common words stand, group by group, and their places in their groups; each group that occurs, with its stretch
+    of these."""
     common = np.flatnonzero(tokens < COMMON)
-    group = tokens[common] // GROUP_WORDS
-    order = np.argsort(group, kind="stable")
-    common, group = common[order], group[order]
-    ends = np.searchsorted(group, np.arange(GROUPS + 1))
-    for g in np.flatnonzero(np.diff(ends)):
-        at = common[ends[g] : ends[g + 1]]
-        yield at, slice(g * GROUP_WORDS, (g + 1) * GROUP_WORDS), tokens[at] - g * GROUP_WORDS
+    group = (tokens[common] // GROUP_WORDS).astype(np.uint16)  # short keys are sorted by counting
+    common = common[np.argsort(group, kind="stable")]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))]).tolist()
+    return common, tokens[common] % GROUP_WORDS, [(g, slice(a, b)) for g, (a, b) in enumerate(pairwise(ends)) if a < b]
 
 
 def _hidden(weights: Weights, seen: np.ndarray) -> np.ndarray:
-    return np.maximum(seen @ weights["mix"].reshape(-1, HIDDEN) + weights["shift"], 0)
+    """The hidden units, and behind them a unit that is always 1, for the biases."""
+    out = np.ones((len(seen), HIDDEN + 1), seen.dtype)
+    np.maximum(seen @ weights["mix"].reshape(-1, HIDDEN) + weights["shift"], 0, out=out[:, :HIDDEN])
+    return out
+
+
+def _with_biases(weights: Weights) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of "outer", and of "inner" group by group, for :func:`_hidden`.
+
+    A word is a column in both: laid out otherwise, a row's product would differ in its last bits when it stands alone."""
+    inner = np.hstack([weights["inner"], weights["inner_bias"][:, None]]).reshape(GROUPS, GROUP_WORDS, HIDDEN + 1)
+    return np.vstack([weights["outer"], weights["outer_bias"]]), np.ascontiguousarray(inner.transpose(0, 2, 1))
+
+
+def _inner_logits(own: np.ndarray, inner: np.ndarray, stretches: list[tuple[int, slice]]) -> np.ndarray:
+    out = np.empty((len(own), GROUP_WORDS), own.dtype)
+    for g, at in stretches:
+        np.matmul(own[at], inner[g], out=out[at])
+    return out
 
 
 def log_probabilities(weights: Weights, around: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """The log-probability of each common word or bucket, given the rows of the words around it."""
     out = np.empty(len(tokens), weights["mix"].dtype)
+    outer, inner = _with_biases(weights)
     for a in range(0, len(tokens), SLICE):
         near, own = around[a : a + SLICE], tokens[a : a + SLICE]
-        hidden = _hidden(weights, weights["words"][near].reshape(len(own), -1))
-
-        def picked(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-            logits -= logits.max(axis=1, keepdims=True)
-            chosen = logits[np.arange(len(at)), at]
-            np.exp(logits, out=logits)
-            return chosen - np.log(logits.sum(axis=1))
-
-        logs = picked(hidden @ weights["outer"] + weights["outer_bias"], _outer(own))
-        for at, part, place in _by_group(own):
-            logs[at] += picked(hidden[at] @ weights["inner"][part].T + weights["inner_bias"][part], place)
+        hidden = _hidden(weights, weights["words"].take(near, axis=0).reshape(len(own), -1))
+        logs = _picked(hidden @ outer, _outer(own))
+        common, places, stretches = _by_group(own)
+        logs[common] += _picked(_inner_logits(hidden.take(common, axis=0), inner, stretches), places)
         out[a : a + SLICE] = logs
     return out
 
 
 def gradients(w: Weights, around: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, list, np.ndarray]:
-    """Of the mean negative log-probability: by the dense weights, by each group's (stretch, rows, biases), and by the words
-    around, a row for each."""
+    """Of the mean negative log-probability: by the dense weights, by stretches of the common words as (stretch, rows, biases),
+    and by the words around, a row for each."""
     n = len(tokens)
-    seen = w["words"][around].reshape(n, -1)  # n x (places x width)
+    outer, inner = _with_biases(w)
+    seen = w["words"].take(around, axis=0).reshape(n, -1)  # n x (places x width)
     hidden = _hidden(w, seen)
-    p = hidden @ w["outer"] + w["outer_bias"]
-    _softmax(p)
-    p[np.arange(n), _outer(tokens)] -= 1
-    p /= np.float32(n)
-    back, groups = p @ w["outer"].T, []
-    for at, part, place in _by_group(tokens):
-        own = hidden[at]
-        q = own @ w["inner"][part].T + w["inner_bias"][part]
-        _softmax(q)
-        q[np.arange(len(at)), place] -= 1
-        q /= np.float32(n)
-        back[at] += q @ w["inner"][part]
-        groups.append((part, q.T @ own, q.sum(axis=0)))
-    back *= hidden > 0
-    dense = np.concatenate([(seen.T @ back).ravel(), back.sum(axis=0), (hidden.T @ p).ravel(), p.sum(axis=0)])
+    p = hidden @ outer
+    scale = _errors(p, _outer(tokens), n)
+    back = (p @ w["outer"].T) * scale
+    by_outer = (hidden * scale).T @ p
+    common, places, stretches = _by_group(tokens)
+    own = hidden.take(common, axis=0)
+    q = _inner_logits(own, inner, stretches)
+    scale = _errors(q, places, n)
+    own *= scale
+    by_inner, below = np.zeros((COMMON, HIDDEN + 1), p.dtype), np.empty((len(common), HIDDEN), p.dtype)
+    for g, at in stretches:
+        part = slice(g * GROUP_WORDS, (g + 1) * GROUP_WORDS)
+        np.matmul(q[at], w["inner"][part], out=below[at])
+        np.matmul(q[at].T, own[at], out=by_inner[part])
+    back[common] += below * scale
+    back *= hidden[:, :HIDDEN] > 0
+    dense = np.concatenate([(seen.T @ back).ravel(), back.sum(axis=0), by_outer[:HIDDEN].ravel(), by_outer[HIDDEN]])
+    groups = [(slice(0, COMMON), by_inner[:, :HIDDEN], by_inner[:, HIDDEN])]
     return dense, groups, (back @ w["mix"].reshape(-1, HIDDEN).T).reshape(-1, WIDTH)
 
 
@@ -292,11 +333,12 @@ class Trainer:
         for part, rows, biases in groups:
             move("inner", part, rows)
             move("inner_bias", part, biases)
-        # Of the words, only the rows that were seen move.
-        order = np.argsort(around, axis=None, kind="stable")
-        rows = around.ravel()[order]
+        # Of the words, only the rows that were seen move. Row and place are sorted as one number.
+        bits = around.size.bit_length()
+        keys = np.sort(around.ravel().astype(np.int64) << bits | np.arange(around.size))
+        rows = keys >> bits
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        move("words", rows[first], np.add.reduceat(near[order], first, axis=0))
+        move("words", rows[first], np.add.reduceat(near.take(keys & (1 << bits) - 1, axis=0), first, axis=0))
         self.past[:DENSE] += dense * dense
         self.flat[:DENSE] -= RATE * dense / np.sqrt(self.past[:DENSE])
         self.words += len(tokens)

@@ -207,6 +207,34 @@ def test_gradients_are_the_slopes_of_the_scores():
         assert (loss(flat + step) - loss(flat - step)) / 2e-5 == pytest.approx(whole[k], rel=1e-3, abs=1e-6)
 
 
+@pytest.fixture(scope="module")
+def some_words():
+    """Weights, and words of which some are alone in their group."""
+    rng = np.random.default_rng(7)
+    tokens = np.concatenate([rng.integers(0, 130, 500), rng.integers(0, masked_lm.VOCABULARY, 100)])
+    weights = masked_lm.unpack(masked_lm.initial() + rng.normal(0, 0.3, len(masked_lm.initial())).astype(np.float32))
+    return weights, masked_lm.neighbours(tokens, np.array([0, 600])), tokens
+
+
+def test_a_word_scores_alike_in_any_company(some_words):
+    """Bit for bit, whatever other words are scored with it, also where it is the only one of its group."""
+    weights, around, tokens = some_words
+    whole = masked_lm.log_probabilities(weights, around, tokens)
+    alone = [masked_lm.log_probabilities(weights, around[i : i + 1], tokens[i : i + 1])[0] for i in range(len(tokens))]
+    assert whole.tolist() == alone
+
+
+@pytest.mark.parametrize("shift", [-2000.0, -70.0, 0.0, 70.0, 2000.0])
+def test_scores_and_slopes_of_large_logits(some_words, shift):
+    """What all outputs have in common changes nothing; exponentials stay within the range of numbers."""
+    weights, around, tokens = some_words
+    moved = weights | {n: weights[n] + np.float32(shift) for n in ("outer_bias", "inner_bias")}
+    want, got = (masked_lm.log_probabilities(w, around, tokens) for w in (weights, moved))
+    assert np.allclose(got, want, atol=2e-3)
+    for a, b in zip(*(masked_lm.gradients(w, around, tokens)[::2] for w in (weights, moved)), strict=True):
+        assert np.isfinite(b).all() and np.allclose(a, b, atol=1e-4)
+
+
 def test_scores_are_those_of_a_plain_scorer(make_docs):
     """Word by word, from the trained weights and the counts of all words."""
     rnd = __import__("random").Random(5)
